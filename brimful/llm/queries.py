@@ -12,6 +12,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.suffix_dedup import remove_repeats
+
+    kept = remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.packing import pieces, place, shard_count
 
@@ -35,5 +42,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, out))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op6_quality_rules, op9_token_files)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_packing, op6_quality_rules, op9_token_files, op10_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}
