@@ -19,6 +19,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.pii import find
+
+    return find(_documents(spark, sf_dir)).withColumn("base", F.sha2("base", 256)).withColumnRenamed("base", "base_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.packing import pieces, place, shard_count
 
@@ -48,5 +54,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_packing, op6_quality_rules, op9_token_files, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op4_packing, op6_quality_rules, op9_token_files, op10_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}
