@@ -38,11 +38,9 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
             for lo in range(0, len(whole), batch_rows):
                 batch = whole.slice(lo, batch_rows)
                 offsets, data = utf8(batch.column("text"))
-                words = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                known.learn(set().union(*words))
+                packed = known.texts([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], end_id)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, own in zip(batch.column("doc_id").to_pylist(), words, strict=True):
-                    ids = known.of(own, end_id)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
                     n = len(ids) // 4
                     for at in range(0, n, window):
                         for column, value in zip(out, (doc_id, at, min(window, n - at), n, ids[4 * at : 4 * (at + window)]), strict=True):

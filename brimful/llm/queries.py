@@ -33,12 +33,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(cut, shard_count(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.quality_classifier import score, train
+
+    docs = _documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.quality_rules import judge
 
     return judge(_documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.fingerprints import compare_edits
+
+    return compare_edits(_documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.common import scratch_path
     from brimful.llm.token_files import digests, read, write
@@ -54,5 +67,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op4_packing, op6_quality_rules, op9_token_files, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op9_token_files, op10_minhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}

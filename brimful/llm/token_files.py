@@ -37,9 +37,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = 2, batch_rows
             for lo in range(0, len(whole), batch_rows):
                 batch = whole.slice(lo, batch_rows)
                 offsets, data = utf8(batch.column("text"))
-                words = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                known.learn(set().union(*words))
-                packed = [known.of(own, end_id) for own in words]
+                packed = known.texts([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], end_id)
                 sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))

@@ -1,7 +1,9 @@
 """Token ids of whole texts with a public tokenizer.
 
 The tokenizer drops white space and no token crosses it, so a text's ids are the ids of its words in
-order. Words are looked up in a bounded cache that lives as long as the Python worker.
+order. Words are looked up in a bounded cache that lives as long as the Python worker. A word that is not
+there is looked up again in lower case and without the full stops and commas after its last letter or
+digit, which the tokenizer parts from it anyway; what is still unknown in a batch is encoded together.
 """
 
 from __future__ import annotations
@@ -20,6 +22,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """(stem, marks) whose ids in a row are the word's ids."""
+    if b"<|" in word:  # may hold a special token
+        return word, b""
+    stem = word.rstrip(b".,")
+    if stem and len(stem) < len(word) and stem[-1:].isalnum():
+        return stem.lower(), word[len(stem) :]
+    return word.lower(), b""
+
+
 class WordIds(dict):
     """word (UTF-8 bytes) -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -30,24 +42,34 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHE_WORD_BYTES:
-            self[word] = packed
-        return packed
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words of a batch that are not known yet together."""
+    def texts(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """The packed ids of each text, with the end id."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self and len(w) <= CACHE_WORD_BYTES]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, encoded in zip(new, found, strict=True):
-            self[word] = np.array(encoded.ids, "<u4").tobytes()
-
-    def of(self, words: list[bytes], end_id: int) -> bytes:
-        return b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little")
+        end, rows = end_id.to_bytes(4, "little"), []
+        holes: list[tuple[list, int, bytes]] = []
+        for text in texts:
+            words = text.split()
+            row = list(map(self.get, words))
+            if None in row:
+                holes += [(row, i, words[i]) for i, known in enumerate(row) if known is None]
+            row.append(end)
+            rows.append(row)
+        if holes:
+            parts = {word: _parts(word) for word in {word for _, _, word in holes}}
+            new = [w for w in {w for pair in parts.values() for w in pair if w} if w not in self]
+            fresh = dict(zip(new, self._encoded(new), strict=True))
+            of = lambda w: self[w] if w in self else fresh[w]
+            for word, (stem, marks) in parts.items():
+                fresh[word] = of(stem) + of(marks) if marks else of(stem)
+            for row, i, word in holes:
+                row[i] = fresh[word]
+            self.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_WORD_BYTES)
+        return [b"".join(row) for row in rows]
 
 
 _open: dict[str, WordIds] = {}
