@@ -180,6 +180,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_c
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that stand for their component, with their columns."""
+    """One row of docs for each component, with its columns; of rows with one doc_id one stays."""
     kept = near_duplicates(docs, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -12,6 +12,7 @@ than a guard is not judged by that distance; equal rows give equal results; othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -126,40 +127,64 @@ def language_references(docs: DataFrame, min_words: int = 10) -> DataFrame:
     return summed.select("list", "n", F.array(*[f"k{i}" for i in range(N_CLASSES)]).alias("kinds"), F.array(*[f"c{i}" for i in range(N_COMMON)]).alias("common"))
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.25, max_word_distance: float = 0.16, word_distance_noise: float = 1.3, min_class_words: int = 40, min_common_words: int = 40, references: DataFrame | None = None) -> DataFrame:
-    """One row per document with its counts, distances and verdict.
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
-    `docs` has doc_id, text and lang. A document is kept if the base rules pass and neither distance
-    exceeds its limit; a distance is null below its guard or without a reference. The word distance of a
-    text of n words has sampling noise of the order 1/sqrt(n), so its limit is
-    max_word_distance + word_distance_noise / sqrt(n).
+
+@dataclass(frozen=True)
+class Rules:
+    """Limits of the divergence rules.
+
+    The word distance of a text of n words has sampling noise of the order 1/sqrt(n), so its limit is
+    max_word_distance + word_distance_noise / sqrt(n). Texts below a guard are not judged by that distance.
     """
+
+    max_class_distance: float = 0.25
+    max_word_distance: float = 0.16
+    word_distance_noise: float = 1.3
+    min_class_words: int = 40
+    min_common_words: int = 40
+
+    def verdict(self, text: bytes, lang: str, known: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple:
+        """The values of NAMES for a text."""
+        kinds, common, words = profile(text, lang)
+        n, near = len(words), known.get(lang)
+        repeats = repeated_words(text) if n > 5 else 0
+        failed = n < 10 or 100 * repeats > 20 * n
+        by_class = distance(kinds, near[0]) if near and n >= self.min_class_words else None
+        by_word = distance(common, near[1]) if near and n >= self.min_common_words else None
+        kept = not failed and (by_class is None or by_class <= self.max_class_distance) and (by_word is None or by_word <= self.max_word_distance + self.word_distance_noise / n**0.5)
+        return n, len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, kept, by_class, by_word
+
+
+def _known(docs: DataFrame, references: DataFrame | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     rows = (references if references is not None else language_references(docs)).collect()  # at most len(LISTS) rows
-    known = {r["list"]: (np.array(r["kinds"]) / r["n"], np.array(r["common"]) / r["n"]) for r in rows if r["n"]}
+    return {r["list"]: (np.array(r["kinds"]) / r["n"], np.array(r["common"]) / r["n"]) for r in rows if r["n"]}
+
+
+def judge(docs: DataFrame, rules: Rules | None = None, references: DataFrame | None = None) -> DataFrame:
+    """One row per document of docs (doc_id, text, lang) with its counts, distances and verdict."""
+    rules, known = rules or Rules(), _known(docs, references)
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for _, text, lang in _rows(batch):
-                kinds, common, words = profile(text, lang)
-                n = len(words)
-                repeats = repeated_words(text) if n > 5 else 0
-                failed = n < 10 or 100 * repeats > 20 * n
-                near = known.get(lang)
-                by_class = distance(kinds, near[0]) if near and n >= min_class_words else None
-                by_word = distance(common, near[1]) if near and n >= min_common_words else None
-                kept = not failed and (by_class is None or by_class <= max_class_distance) and (by_word is None or by_word <= max_word_distance + word_distance_noise / n**0.5)
-                out.append((n, len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, kept, by_class, by_word))
-            columns = list(zip(*out, strict=True)) if out else [()] * 9
-            kinds_of = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True))], names=["doc_id", *names])
+            out = [rules.verdict(text, lang, known) for _, text, lang in _rows(batch)]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(NAMES)
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *NAMES])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
     return docs.select(F.col("doc_id").cast("long"), _list_of(F.col("lang")).alias("list"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(verdicts, schema)
 
 
-def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows of docs whose text passes, with their columns; a doc_id must name one row."""
-    passed = judge(docs, **limits).where("kept").select("doc_id")
-    return docs.join(passed, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of docs whose text passes, with their columns."""
+    rules, known = rules or Rules(), _known(docs, None)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8(batch.column("text"))
+            langs = [x if x in COMMON_WORDS else "other" for x in batch.column("lang").to_pylist()]
+            good = [rules.verdict(data[offsets[i] : offsets[i + 1]].tobytes(), lang, known)[NAMES.index("kept")] for i, lang in enumerate(langs)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(passing, docs.schema)

@@ -25,6 +25,43 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_documents(spark, sf_dir)).withColumn("base", F.sha2("base", 256)).withColumnRenamed("base", "base_sha256")
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.preferences import format_pairs, mismatched_pairs
+
+    pairs = format_pairs(mismatched_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    counted = lambda side: F.aggregate(f"{side}_spans", F.lit(0), lambda n, x: n + x.end - x.start).cast("long").alias(f"{side}_counted")
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    return pairs.select("pair_id", "n_prompt_turns", *digests, counted("chosen"), counted("rejected"))
+
+
+OP3_SQL = """
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS pair_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT pair_id, max(k) AS answer FROM t WHERE role = 'assistant' GROUP BY pair_id),
+own AS (SELECT a.pair_id, a.answer, t.text FROM a JOIN t ON t.pair_id = a.pair_id AND t.k = a.answer),
+n AS (SELECT pair_id, answer, text, coalesce(lead(text) OVER (ORDER BY pair_id), first_value(text) OVER (ORDER BY pair_id)) AS other FROM own),
+s AS (
+  SELECT t.pair_id, t.k, t.role, t.text, CASE WHEN t.k = n.answer THEN n.other ELSE t.text END AS swapped,
+         n.text <> n.other AND t.k >= n.answer AS after
+  FROM t JOIN n USING (pair_id)),
+r AS (
+  SELECT pair_id, k, role, after,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown,
+         '<|' || role || '|>' || chr(10) || swapped || '<|end|>' || chr(10) AS reshown,
+         length(text) + 8 AS size, length(swapped) + 8 AS resize
+  FROM s)
+SELECT pair_id, CAST(count(*) FILTER (NOT after) AS BIGINT) AS n_prompt_turns,
+       sha256(coalesce(string_agg(shown, '' ORDER BY k) FILTER (NOT after), '')) AS prompt_sha256,
+       sha256(coalesce(string_agg(shown, '' ORDER BY k) FILTER (after), '')) AS chosen_sha256,
+       sha256(coalesce(string_agg(reshown, '' ORDER BY k) FILTER (after), '')) AS rejected_sha256,
+       CAST(coalesce(sum(size) FILTER (after AND role = 'assistant'), 0) AS BIGINT) AS chosen_counted,
+       CAST(coalesce(sum(resize) FILTER (after AND role = 'assistant'), 0) AS BIGINT) AS rejected_counted
+FROM r GROUP BY pair_id
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.packing import pieces, place, shard_count
 
@@ -52,6 +89,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(_documents(spark, sf_dir))
 
 
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.pieces import decode_pieces, sample_pieces
+
+    decoded = decode_pieces(sample_pieces(_documents(spark, sf_dir)))
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.common import scratch_path
     from brimful.llm.token_files import digests, read, write
@@ -67,5 +111,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op9_token_files, op10_minhash_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL}
