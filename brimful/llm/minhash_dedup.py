@@ -13,7 +13,8 @@ A bucket is never expanded into its pairs:
 2. In each bucket every class is a candidate with the bucket's smallest and largest class. Confirmed links
    give components.
 3. Buckets that still hold several components are joined once more, members outside the bucket's main
-   component against all members of another component, so that no link between components is lost.
+   component against members of other components, so that no link between components is lost. Pairs are
+   left out only where exact bounds on their common shingles rule the similarity out.
 
 Defined cases: a text without words (or null) has no shingles and is its own component; a document of
 fewer than five words has its word sequence as its only shingle; equal rows, rows with the same doc_id
@@ -146,6 +147,72 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         labels = labels.drop("was")
 
 
+def _traits(mixed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, shared, pivot, held, bits): bounds on what a document of mixed buckets can have in common with another.
+
+    `shared` counts its shingles that another of these documents has too. The pivot is one document of the
+    component that is the main one in most of its buckets, the one with least of its own; `bits` tells which of
+    the pivot's shingles the document holds, `held` how many. Of documents with one pivot, the common shingles
+    are at most the bits both have and the lesser number of shared shingles beside the pivot's. A main component
+    without such a document gives no pivot (null).
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                own = shingles(data[a:b].tobytes(), width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc_id)), pa.array(own.view(np.int64))], names=["id", "shingle"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            (at, left), (bt, right) = utf8(batch.column("text")), utf8(batch.column("pivot_text"))
+            held, bits = [], []
+            for i in range(len(batch)):
+                if text != right[bt[i] : bt[i + 1]].tobytes():
+                    text = right[bt[i] : bt[i + 1]].tobytes()
+                    pivot = shingles(text, width)
+                has = np.isin(pivot, shingles(left[at[i] : at[i + 1]].tobytes(), width), assume_unique=True)
+                held.append(int(has.sum()))
+                bits.append(np.packbits(np.append(has, np.zeros(-len(has) % 64, bool))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "held", "bits"])
+
+    ids = mixed.groupBy("id", "n", "component", "main").agg(F.count("*").alias("buckets")).groupBy("id", "n", "component").agg(F.max_by("main", F.struct("buckets", "main")).alias("main"))
+    ids = written(ids, "mixed-ids")
+    owned = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(split, "id long, shingle long")
+    lonely = owned.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("lonely"))
+    ids = written(ids.join(lonely, "id", "left").withColumn("shared", F.col("n") - F.coalesce("lonely", F.lit(0))).drop("lonely"), "shared")
+    pivots = written(ids.where("component = main").groupBy("main").agg(F.max_by("id", F.struct(F.col("shared") / F.col("n"), -F.col("id"))).alias("pivot")), "pivots")
+    paired = written(ids.join(pivots, "main").select("id", "pivot"), "paired")
+    for side, name in (("id", "text"), ("pivot", "pivot_text")):
+        paired = paired.join(docs.select(F.col("doc_id").alias(side), F.col("text").alias(name)), side)
+    compared = paired.select("id", "pivot", "text", "pivot_text").mapInArrow(compare, "id long, held long, bits array<long>")
+    return ids.select("id", "shared", "main").join(pivots, "main", "left").drop("main").join(compared, "id", "left")
+
+
+def _across(mixed: DataFrame, traits: DataFrame, percent: int, step: float = 1.05) -> DataFrame:
+    """Distinct pairs (a, b) of different components in one bucket whose bounds allow a link.
+
+    A link of similarity t has an overlap of t / (1 + t) * (|x| + |y|) at least. The shared shingles of one
+    side bound the partner's size, so the join goes by geometric size bins.
+    """
+    need = percent / (100 + percent)
+    size_bin = lambda n: F.floor(F.log(n) / float(np.log(step))).cast("int")
+    low, high = percent / 100 * F.col("n"), F.col("shared") / need - F.col("n")
+    rows = mixed.join(traits, "id")
+    bins = F.explode(F.sequence(size_bin(F.greatest(F.lit(1.0), low - 1)), size_bin(F.least(high, 100 / percent * F.col("n")) + 1)))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "shared", "pivot", "held", "bits")]
+    outside = rows.where(F.col("component") != F.col("main")).where(high >= low).select("key", *side("x"), bins.alias("bin"))
+    inside = rows.where(F.col("shared") * 100 >= percent * F.col("n")).select("key", *side("y"), size_bin(F.col("n").cast("double")).alias("bin"))
+    reaches = lambda most: most * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
+    both = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, x: n + x)
+    beside = F.least(F.col("shared_x") - F.least("shared_x", "held_x"), F.col("shared_y") - F.least("shared_y", "held_y"))
+    by_pivot = F.when(F.col("pivot_x") == F.col("pivot_y"), reaches(both + beside)).otherwise(F.lit(True))
+    pairs = outside.join(inside, (outside["key"] == inside["key"]) & (outside["bin"] == inside["bin"]) & (F.col("component_x") != F.col("component_y")) & reaches(F.least("shared_x", "shared_y")) & by_pivot)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     rows = texts(docs, id_col, text_col)
@@ -154,22 +221,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_c
 
     keys = _keys(classes)
     shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(keys.select("key", "id").join(shared, "key"), "members")
+    members = written(keys.join(shared, "key"), "members")
     pairs = members.select(F.col("id").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = written(_with_sides(pairs, classes).where(_could_link("a", "b", percent)).select("a", "b"), "candidates")
     links = written(confirm(first, rows, percent, width), "links")
     found = components(links)
 
-    # Buckets with several components: what is outside the largest meets all members of other components.
-    labelled = members.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # Buckets that still hold several components: what is outside the largest meets members of other components.
+    labelled = members.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counted = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-    mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mixed = written(labelled.join(mixed, "key"), "mixed")
-    outside = mixed.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    inside = mixed.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    across = outside.join(inside, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = written(_with_sides(across, classes).where(_could_link("a", "b", percent)).select("a", "b"), "across").join(first, ["a", "b"], "left_anti")
+    across = written(_across(mixed, written(_traits(mixed, rows, width), "traits"), percent), "across")
+    across = written(_with_sides(across, classes).where(_could_link("a", "b", percent)).select("a", "b").join(first, ["a", "b"], "left_anti"), "across-candidates")
     more = written(confirm(across, rows, percent, width), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brimful.functions.binding import let
 from brimful.llm.common import written
 
 # A match can only begin where a run of its characters begins, or where the last match ended; saying so
@@ -45,11 +46,6 @@ CONTEXT_CHARS = 32
 BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _running(items: Column) -> Column:
     """Structs (s, e, f) from structs (n, f): e is the running sum of n, s = e - length(f). In blocks, to stay near linear."""
 

@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brimful.functions.binding import let
 from brimful.llm.common import written
 from brimful.llm.fingerprints import next_ids
-from brimful.llm.pii import let
 
 END = "<|end|>\n"
 
