@@ -1 +1,12 @@
-"""See the modules of this package."""
+"""Whole jobs, and the registered queries."""
+
+from __future__ import annotations
+
+from typing import Any
+
+
+def load() -> tuple[dict[str, Any], dict[str, str]]:
+    """(queries, SQL) of the library's own operators."""
+    from brimful.plans import queries
+
+    return queries.QUERY, queries.SQL
