@@ -29,6 +29,7 @@ N_SUBSETS = len(LEVELS) * SUBSETS
 MOST_RARE, MOST_COMMON = 2000, 20
 BROADCAST_TERMS = 500_000
 NEEDED = 3
+NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
@@ -47,23 +48,26 @@ def lexicon(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, key: list[str], lexicon_table: DataFrame) -> DataFrame:
-    """(key..., hashes array): for each key the hash of its sorted distinct terms in every subset, null where it has none.
+    """(key..., facts, hashes array): for each key the hash of its sorted distinct terms in every subset, null where it has none.
 
-    `rows` has the key columns and `text`, one row for each key, all rows of a document in one partition
-    if it is dealt by one of the key columns. Every key comes out, through a term in no subset.
+    `rows` has the key columns, `text` and a struct `facts` that travels with one term only; one row for each
+    key, all rows of a document in one partition if it is dealt by one of the key columns. Every key comes
+    out, through a term in no subset.
     """
     n = lexicon_table.count()
     nothing = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("mask"))
     table = lexicon_table.unionByName(nothing)
     table = F.broadcast(table) if n <= BROADCAST_TERMS else table
-    hashed = F.concat(F.transform(terms(F.col("text")), lambda w: F.xxhash64(w)), F.array(F.lit(0).cast("long")))
-    found = rows.select(*key, F.explode(hashed).alias("term")).join(table, "term").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("own"))
+    kind = rows.schema["facts"].dataType
+    hashed = F.transform(terms(F.col("text")), lambda w: F.struct(F.xxhash64(w).alias("term"), F.lit(None).cast(kind).alias("facts")))
+    every = F.concat(hashed, F.array(F.struct(F.lit(0).cast("long").alias("term"), F.col("facts"))))
+    found = rows.select(*key, F.inline(every)).join(table, "term").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("term", "mask"))).alias("own"), F.first("facts", ignorenulls=True).alias("facts"))
 
     def subset(k: int) -> Column:
         own = F.filter("own", lambda x: x.mask.bitwiseAND(F.lit(1 << k)) != 0)
         return F.when(F.exists("own", lambda x: x.mask.bitwiseAND(F.lit(1 << k)) != 0), F.xxhash64(F.transform(own, lambda x: x.term)))
 
-    return found.select(*key, F.array(*(subset(k) for k in range(N_SUBSETS))).alias("hashes"))
+    return found.select(*key, "facts", F.array(*(subset(k) for k in range(N_SUBSETS))).alias("hashes"))
 
 
 def shown(hashes: Column, text_hash: Column) -> Column:
@@ -96,9 +100,10 @@ def next_ids(rows: DataFrame) -> DataFrame:
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last quarter is the next document's beginning."""
-    rows = texts(docs)
+    # A key that is never null keeps Spark from filtering one use of the dealt texts, so both share one shuffle.
+    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     table = written(lexicon(rows), "lexicon")
-    following = written(next_ids(rows), "following")
+    following = written(next_ids(rows.where(F.col("doc_id") != NO_ID)), "following")
 
     # All copies of a doc_id stand in one partition, numbered by text.
     numbered = rows.repartition("doc_id").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
@@ -106,13 +111,14 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     needs = rows.groupBy("doc_id").agg(F.max(quarter).alias("need")).join(following, "doc_id")
     heads = numbered.where("copy = 1").join(needs.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), "need"), "doc_id").select(F.col("of").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, need)").alias("head"))
     both = numbered.join(heads, "doc_id", "left").withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce(F.expr("substring(head, 1, cast(floor(length(text) / 4) as int))"), F.lit(""))))
-    facts = both.select("doc_id", "copy", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("text_hash"), F.xxhash64("edited").alias("edited_hash"), F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("x"))
-    key = ["doc_id", "copy", "next_id", "n_chars", "edited_sha256", "text_hash", "edited_hash", "version"]
-    prints = fingerprints(facts.select(*key[:-1], "x.version", "x.text"), key, table)
+    facts = F.struct("next_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.xxhash64("text").alias("text_hash"), F.xxhash64("edited").alias("edited_hash"))
+    versions = F.inline(F.array(F.struct(F.lit(0).alias("version"), F.col("text"), facts.alias("facts")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"), facts.alias("facts"))))
+    prints = fingerprints(both.select("doc_id", "copy", versions), ["doc_id", "copy", "version"], table)
     pick = lambda v: F.max(F.when(F.col("version") == v, F.col("hashes")))
-    made = written(prints.groupBy(*key[:-1]).agg(pick(0).alias("own"), pick(1).alias("new")), "fingerprints")
+    made = prints.groupBy("doc_id", "copy").agg(F.first("facts").alias("facts"), pick(0).alias("own"), pick(1).alias("new"))
+    made = written(made.select("doc_id", "copy", "facts.*", "own", "new"), "fingerprints")
 
     after = made.where("copy = 1").select(F.col("doc_id").alias("next_id"), F.col("own").alias("next_own"), F.col("text_hash").alias("next_hash"))
     rated = made.join(after, "next_id", "left")
     alike = lambda a, ha, b, hb: F.coalesce(F.when(F.col(ha) == F.col(hb), 1.0), likeness(F.col(a), F.col(b)), F.lit(0.0))
-    return rated.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own"), F.col("text_hash")).alias("fingerprint"), shown(F.col("new"), F.col("edited_hash")).alias("edited_fingerprint"), alike("own", "text_hash", "new", "edited_hash").alias("near_edited"), alike("own", "text_hash", "next_own", "next_hash").alias("near_next"))
+    return rated.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), shown(F.col("own"), F.col("text_hash")).alias("fingerprint"), shown(F.col("new"), F.col("edited_hash")).alias("edited_fingerprint"), alike("own", "text_hash", "new", "edited_hash").alias("near_edited"), alike("own", "text_hash", "next_own", "next_hash").alias("near_next"))
