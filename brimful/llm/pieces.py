@@ -31,7 +31,7 @@ MARK = "▁"
 TOP = 0x110000  # above every character
 LITERAL_MARK = "\udc81"  # cannot occur in decoded UTF-8
 SEGMENTS = re.compile(" +[^ ]*").findall
-MAX_NODES = 8_000_000
+MAX_NODES = 1_000_000
 BLOCK_BYTES = 1 << 20
 
 
