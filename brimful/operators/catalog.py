@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brimful.functions.text import lookup_upc
 
 FIELDS = ("abv", "ml", "units")
 COLUMNS = ("source", "source_rank", "row_seq", "name", "category", "abv", "ml", "units", "upc")
-ORDER = F.struct("source_rank", "row_seq")
+
+
+def _order() -> Column:
+    """Place of a row in order of trust."""
+    return F.struct("source_rank", "row_seq")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def enrich_by_upc(products: DataFrame) -> DataFrame:
     Rows without a barcode stay out of the shuffle. First values are aggregates, which combine before it.
     """
     coded = products.where("upc is not null")
-    first = [F.min_by(f, F.when(F.col(f).isNotNull(), ORDER)).alias(f"first_{f}") for f in FIELDS]
+    first = [F.min_by(f, F.when(F.col(f).isNotNull(), _order())).alias(f"first_{f}") for f in FIELDS]
     known = coded.groupBy("upc").agg(*first)
     filled = [F.coalesce(c, f"first_{c}").alias(c) if c in FIELDS else F.col(c) for c in products.columns]
     return coded.join(known, "upc").select(*filled).unionByName(products.where("upc is null"))
@@ -52,8 +56,8 @@ def build_catalog(*sources: DataFrame) -> DataFrame:
 
 def fill_and_dedupe(products: DataFrame) -> DataFrame:
     rest = [c for c in products.columns if c not in (*FIELDS, "upc")]
-    kept = F.min_by(F.struct(*rest), ORDER).alias("r")
-    first = [F.min_by(f, F.when(F.col(f).isNotNull(), ORDER)).alias(f) for f in FIELDS]
+    kept = F.min_by(F.struct(*rest), _order()).alias("r")
+    first = [F.min_by(f, F.when(F.col(f).isNotNull(), _order())).alias(f) for f in FIELDS]
     coded = products.where("upc is not null").groupBy("upc").agg(kept, *first).select("r.*", "upc", *FIELDS)
     return coded.select(*products.columns).unionByName(dedupe(products.where("upc is null")))
 
@@ -81,7 +85,7 @@ def require_abv(products: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lookup(catalog: DataFrame, codes: DataFrame) -> DataFrame:
     """codes (upc) with the product of the same barcode; of several products the last one, NULL where none has it."""
     key = catalog.where("upc is not null").withColumn("code", lookup_upc(F.col("upc")))
-    last = key.groupBy("code").agg(F.max_by(F.struct("name", "category", "abv", "ml", "units"), ORDER).alias("product"))
+    last = key.groupBy("code").agg(F.max_by(F.struct("name", "category", "abv", "ml", "units"), _order()).alias("product"))
     return codes.withColumn("code", lookup_upc(F.col("upc"))).join(last, "code", "left").drop("code")
 
 

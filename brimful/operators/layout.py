@@ -17,6 +17,9 @@ NAME_TRIM = r"""^[$.,%|•·()/\-–—_"'*°:; ]+|[$.,%|•·()/\-–—_"'*°:
 SERVING_TRIM = r"^[$.,%|•()/\-]+|[$.,%|•()/\-]+$"
 
 
+MOST_PARAMS = 100
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Fixed values of the page cut, as fractions of the page."""
@@ -201,23 +204,27 @@ class Page:
 def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, line) of boxes (page_id, box_id, text, min_x, min_y, max_x, max_y), y upwards.
 
-    `params` may have param_id and columns named like Thresholds: every page is then assembled under every row
-    of it, and param_id comes out too.
+    `params`, a few rows with param_id and columns named like Thresholds, has every page assembled under each of
+    them in turn; param_id comes out too.
     """
-    rows = tokens_of(boxes)
-    names = [f.name for f in fields(Thresholds)]
-    keys = ["page_id"]
+    names = {f.name for f in fields(Thresholds)}
+    choices = [(None, Thresholds())]
     if params is not None:
-        rows, keys = rows.withColumn("one", F.lit(1)).join(F.broadcast(params.withColumn("one", F.lit(1))), "one").drop("one"), ["page_id", "param_id"]
+        given = [r.asDict() for r in params.limit(MOST_PARAMS + 1).collect()]
+        if len(given) > MOST_PARAMS:
+            raise ValueError(f"more than {MOST_PARAMS} parameter rows")
+        choices = [(r["param_id"], Thresholds(**{k: v for k, v in r.items() if k in names})) for r in given]
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("box_id")
-        chosen = {n: page[n].iloc[0].item() for n in names if n in page.columns}
-        lines = Page(page, Thresholds(**chosen)).lines()
-        return pd.DataFrame({**{k: page[k].iloc[0] for k in keys}, "line_no": np.arange(len(lines), dtype=np.int32), "line": lines})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", line_no int, line string")
+        out = []
+        for param_id, thresholds in choices:
+            lines = Page(page, thresholds).lines()
+            out += [(page["page_id"].iloc[0], param_id, i, line) for i, line in enumerate(lines)]
+        return pd.DataFrame(out, columns=["page_id", "param_id", "line_no", "line"])
+
+    lines = tokens_of(boxes).groupBy("page_id").applyInPandas(run, "page_id string, param_id string, line_no int, line string")
+    return lines.drop("param_id") if params is None else lines
 
 
 def variants(spark: SparkSession) -> DataFrame:

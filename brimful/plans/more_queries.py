@@ -45,8 +45,8 @@ def page_gutter_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VOTES}, c AS (SELECT page_id, row_no, coalesce(bool_or(max_x <= 0.5e0 AND 0.5e0 <= after AND after - max_x >= 0.045e0), false) AS votes, bool_or(min_x < 0.5e0 AND 0.5e0 < max_x) AS spans, bool_or(max_x <= 0.5e0) AND bool_or(min_x >= 0.5e0) AS both FROM v GROUP BY page_id, row_no)
-    SELECT page_id, 0.5e0 AS x, CAST(count(*) FILTER (votes) AS BIGINT) AS voters, CAST(count(*) FILTER (NOT votes AND (spans OR both)) AS BIGINT) AS crossers FROM c GROUP BY page_id""",
+    f"""WITH {VOTES}, c AS (SELECT page_id, row_no, coalesce(bool_or(max_x <= 0.5e0 AND 0.5e0 <= after AND after - max_x >= 0.045e0), false) AS votes, bool_or(min_x < 0.5e0 AND 0.5e0 < max_x) AS spans, bool_or(max_x <= 0.5e0) AND bool_or(min_x >= 0.5e0) AS sides FROM v GROUP BY page_id, row_no)
+    SELECT page_id, 0.5e0 AS x, CAST(count(*) FILTER (votes) AS BIGINT) AS voters, CAST(count(*) FILTER (NOT votes AND (spans OR sides)) AS BIGINT) AS crossers FROM c GROUP BY page_id""",
     b=DUCK_BOXES,
 )
 def page_gutter_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV7, EV8, LN19: lines and priced rows of each page under four variants of the layout."""
     lines = Y.assemble(_boxes(spark, sf_dir), Y.variants(spark))
     priced = F.contains("line", F.lit("$")) & F.col("line").rlike("[A-Za-z]")
-    return lines.groupBy("page_id").pivot("param_id", [f"veto={v} chaining={c}" for v in (False, True) for c in (False, True)]).agg(F.count("*").alias("lines"), F.count_if(priced).alias("priced"))
+    return lines.groupBy("page_id").pivot("param_id", [f"veto={v} chaining={c}" for v in (False, True) for c in (False, True)]).agg(F.count("line").alias("lines"), F.sum(priced.cast("int")).alias("priced"))
 
 
 @query()
@@ -143,22 +143,23 @@ def _shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @query(
-    """WITH v AS (SELECT * FROM e WHERE CASE kind WHEN 'add' THEN trim(name) <> '' ELSE true END),
-    b AS (SELECT session_id, item_id, count(*) FILTER (kind = 'add') AS adds, count(*) FILTER (kind = 'remove') AS removes FROM v GROUP BY session_id, item_id)
-    SELECT count(*) AS sessions FROM (SELECT DISTINCT session_id FROM b WHERE adds > 0 AND removes = 0) s""",
-    e=EDITS.replace("event_id % 4", "event_id"),
+    """WITH a AS (SELECT session_id, item_id, max(seq) FILTER (kind = 'add' AND trim(name) <> '') AS added, max(seq) FILTER (kind = 'remove') AS removed FROM e GROUP BY session_id, item_id)
+    SELECT session_id, count(*) AS items FROM a WHERE added IS NOT NULL AND (removed IS NULL OR added > removed) GROUP BY session_id""",
+    e=EDITS,
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM1: sessions with live items after their edit stream, read as files in micro-batches."""
+    """SM1: live items of sessions after their edit stream, read as files in micro-batches."""
     folder = _shared_folder(spark, "sessions")
-    adapt(spark, sf_dir, EDITS).withColumn("item_id", F.expr("cast(regexp_extract(name, '[0-9]+', 0) as bigint)").cast("long")).withColumn("item_id", F.coalesce("item_id", F.lit(-1).cast("long"))).select("session_id", F.col("seq").cast("long"), "item_id", "kind", "name", "value", "count").write.parquet(f"{folder}/events")
+    adapt(spark, sf_dir, EDITS).select("session_id", F.col("seq").cast("long"), "item_id", "kind", "name", "value", "count").write.parquet(f"{folder}/events")
     events = spark.readStream.schema(spark.read.parquet(f"{folder}/events").schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/events")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/live")
 
     Z.stream_sessions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/live").agg(F.count_distinct("session_id").alias("sessions"))
+    live = spark.read.parquet(f"{folder}/live")
+    last = live.groupBy("session_id").agg(F.max("seq").alias("last"))
+    return live.join(last, "session_id").where("seq = last").groupBy("session_id").agg(F.count("*").alias("items"))
 
 
 @query()

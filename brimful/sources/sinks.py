@@ -1,13 +1,24 @@
-"""Writing catalogs (SNK1)."""
+"""Writing catalogs (SNK1), and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brimful.operators.catalog import coverage
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written below spark.checkpoint.dir and read again, so that several uses compute it once."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def catalog_meta(products: DataFrame, note: str = "") -> DataFrame:
     """One row about a catalog: counts, sources and a note."""
     sources = products.agg(F.array_sort(F.collect_set("source")).alias("sources"))  # the few names of the sources
