@@ -229,7 +229,7 @@ def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
 
 def variants(spark: SparkSession) -> DataFrame:
     """The four variants of the bench: with and without gutter veto and chaining."""
-    return spark.createDataFrame([(f"veto={v} chaining={c}", v, c) for v in (False, True) for c in (False, True)], "param_id string, gutter_veto boolean, chaining boolean")
+    return spark.createDataFrame([("base", False, False), ("veto", True, False), ("chaining", False, True), ("both", True, True)], "param_id string, gutter_veto boolean, chaining boolean")
 
 
 def gap_sweep(spark: SparkSession, multiples: tuple[float, ...] = (1.4, 1.6, 1.8, 2.0, 2.2, 2.4, 2.8, 3.2, 4.0)) -> DataFrame:

@@ -73,7 +73,7 @@ def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV7, EV8, LN19: lines and priced rows of each page under four variants of the layout."""
     lines = Y.assemble(_boxes(spark, sf_dir), Y.variants(spark))
     priced = F.contains("line", F.lit("$")) & F.col("line").rlike("[A-Za-z]")
-    return lines.groupBy("page_id").pivot("param_id", [f"veto={v} chaining={c}" for v in (False, True) for c in (False, True)]).agg(F.count("line").alias("lines"), F.sum(priced.cast("int")).alias("priced"))
+    return lines.groupBy("page_id").pivot("param_id", ["base", "veto", "chaining", "both"]).agg(F.count("line").alias("lines"), F.sum(priced.cast("int")).alias("priced"))
 
 
 @query()
