@@ -1,16 +1,22 @@
 """Quality rules: repetition and length rules, then divergence from language references.
 
 A document's histogram of character classes and of common words is compared with its language's
-reference by Jensen-Shannon distance. References are means over all documents of the language
-(every document weighs the same, so long ones do not dominate); they are summed in Spark and have five
-rows at most: the four languages that have a word list, and "other" for the rest and for null.
+reference by Jensen-Shannon distance. A reference is built from the documents that pass the base rules:
+their mean in each group of sources (every document weighs the same, so long ones do not dominate), then
+the median of these means, in which a group of n documents weighs sqrt(n). So one source full of junk
+moves no reference, though it may hold most documents of a language. Means are summed in Spark; sources
+are dealt to SOURCE_GROUPS groups by hash, so that few rows reach the driver: those of the four languages
+that have a word list, and of "other" for the rest and for null. "other" mixes languages: its distances
+are given, but nothing is rejected by them.
 
 Defined cases: a null or empty text has no words and fails the base rules; a document with fewer words
-than a guard is not judged by that distance; equal rows give equal results; other columns are ignored.
+than a guard is not judged by that distance; equal rows give equal results; without a column source all
+documents are of one source; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +40,8 @@ SYMBOLS = b"#*$%&|<>"
 N_CLASSES = len(CLASSES) + 2
 LISTS = [*COMMON_WORDS, "other"]
 N_COMMON = 31
+#: Groups of sources, and documents below which a group joins the other small ones: a mean of few is too rough for a median.
+SOURCE_GROUPS, MIN_GROUP_DOCS = 1024, 20
 
 CLASS_OF = np.full(256, len(CLASSES), np.uint8)
 CLASS_OF[128:] = len(CLASSES) + 1
@@ -103,28 +111,53 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, str]]:
         yield i, data[offsets[i] : offsets[i + 1]].tobytes(), lang
 
 
-def language_references(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """(list, n, kinds array, common array): sums of the documents' shares by word list, over all documents with min_words words."""
+def base_failed(n_words: int, repeats: int) -> bool:
+    return n_words < 10 or 100 * repeats > 20 * n_words
+
+
+def _group_of(docs: DataFrame) -> F.Column:
+    return F.pmod(F.xxhash64("source"), F.lit(SOURCE_GROUPS)) if "source" in docs.columns else F.lit(0).cast("long")
+
+
+def language_references(docs: DataFrame) -> DataFrame:
+    """(list, source_group, n, kinds array, common array): sums of the documents' shares, over those that pass the base rules."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: (np.zeros(N_CLASSES), np.zeros(N_COMMON)) for k in LISTS}
-        counts = dict.fromkeys(LISTS, 0)
+        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        counts: Counter[tuple[str, int]] = Counter()
         for batch in batches:
-            for _, text, lang in _rows(batch):
+            groups = batch.column("source_group").to_pylist()
+            for i, text, lang in _rows(batch):
                 kinds, common, words = profile(text, lang)
-                if len(words) >= min_words:
-                    counts[lang] += 1
-                    sums[lang][0][:] += kinds
-                    sums[lang][1][:] += common
-        used = [k for k in LISTS if counts[k]]
+                if not base_failed(len(words), repeated_words(text) if len(words) >= 10 else 0):
+                    key = lang, groups[i]
+                    if key not in sums:
+                        sums[key] = np.zeros(N_CLASSES), np.zeros(N_COMMON)
+                    counts[key] += 1
+                    sums[key][0][:] += kinds
+                    sums[key][1][:] += common
         yield pa.RecordBatch.from_pydict(
-            {"list": pa.array(used, pa.string()), "n": pa.array([counts[k] for k in used], pa.int64()), "kinds": pa.array([sums[k][0].tolist() for k in used], pa.list_(pa.float64())), "common": pa.array([sums[k][1].tolist() for k in used], pa.list_(pa.float64()))}
+            {"list": pa.array([k[0] for k in sums], pa.string()), "source_group": pa.array([k[1] for k in sums], pa.int64()), "n": pa.array([counts[k] for k in sums], pa.int64()), "kinds": pa.array([x.tolist() for x, _ in sums.values()], pa.list_(pa.float64())), "common": pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.float64()))}
         )
 
-    parts = docs.select(_list_of(F.col("lang")).alias("list"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(partial, "list string, n long, kinds array<double>, common array<double>")
+    parts = docs.select(_list_of(F.col("lang")).alias("list"), _group_of(docs).alias("source_group"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(partial, "list string, source_group long, n long, kinds array<double>, common array<double>")
     total = [F.sum(F.col("kinds")[i]).alias(f"k{i}") for i in range(N_CLASSES)] + [F.sum(F.col("common")[i]).alias(f"c{i}") for i in range(N_COMMON)]
-    summed = parts.groupBy("list").agg(F.sum("n").alias("n"), *total)
-    return summed.select("list", "n", F.array(*[f"k{i}" for i in range(N_CLASSES)]).alias("kinds"), F.array(*[f"c{i}" for i in range(N_COMMON)]).alias("common"))
+    summed = parts.groupBy("list", "source_group").agg(F.sum("n").alias("n"), *total)
+    return summed.select("list", "source_group", "n", F.array(*[f"k{i}" for i in range(N_CLASSES)]).alias("kinds"), F.array(*[f"c{i}" for i in range(N_COMMON)]).alias("common"))
+
+
+def central(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Shares in the middle of the groups' means, each a row of sums over n documents: the median weighted by sqrt(n), scaled to 1 in all."""
+    small = n < MIN_GROUP_DOCS
+    if small.any():
+        sums, n = np.vstack([sums[~small], sums[small].sum(axis=0)]), np.append(n[~small], n[small].sum())
+    means, weights = sums / n[:, None], np.sqrt(n)
+    order = np.argsort(means, axis=0, kind="stable")
+    reached = np.cumsum(weights[order], axis=0)
+    half = weights.sum() / 2
+    pick = lambda side: np.take_along_axis(means, np.take_along_axis(order, np.argmax(side, axis=0)[None], 0), 0)[0]
+    middle = (pick(reached >= half * (1 - 1e-12)) + pick(reached > half * (1 + 1e-12))) / 2
+    return middle / middle.sum() if middle.sum() > 0 else sums.sum(axis=0) / n.sum()
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -149,16 +182,22 @@ class Rules:
         kinds, common, words = profile(text, lang)
         n, near = len(words), known.get(lang)
         repeats = repeated_words(text) if n > 5 else 0
-        failed = n < 10 or 100 * repeats > 20 * n
+        failed = base_failed(n, repeats)
         by_class = distance(kinds, near[0]) if near and n >= self.min_class_words else None
         by_word = distance(common, near[1]) if near and n >= self.min_common_words else None
-        kept = not failed and (by_class is None or by_class <= self.max_class_distance) and (by_word is None or by_word <= self.max_word_distance + self.word_distance_noise / n**0.5)
+        alike = (by_class is None or by_class <= self.max_class_distance) and (by_word is None or by_word <= self.max_word_distance + self.word_distance_noise / n**0.5)
+        kept = not failed and (lang == "other" or alike)
         return n, len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, kept, by_class, by_word
 
 
 def _known(docs: DataFrame, references: DataFrame | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    rows = (references if references is not None else language_references(docs)).collect()  # at most len(LISTS) rows
-    return {r["list"]: (np.array(r["kinds"]) / r["n"], np.array(r["common"]) / r["n"]) for r in rows if r["n"]}
+    rows = (references if references is not None else language_references(docs)).collect()  # at most len(LISTS) * SOURCE_GROUPS rows
+    known = {}
+    for name in sorted({r["list"] for r in rows}):
+        own = sorted((r for r in rows if r["list"] == name), key=lambda r: r["source_group"])
+        n = np.array([r["n"] for r in own])
+        known[name] = tuple(central(np.array([r[c] for r in own]), n) for c in ("kinds", "common"))
+    return known
 
 
 def judge(docs: DataFrame, rules: Rules | None = None, references: DataFrame | None = None) -> DataFrame:

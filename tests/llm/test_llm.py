@@ -123,6 +123,24 @@ def test_quality_rules(docs, empty):
     assert judge(empty).count() == 0 and keep_good(empty).count() == 0
 
 
+def test_quality_rules_with_a_source_of_junk(spark):
+    from brimful.llm.quality_rules import judge
+
+    rng = random.Random(11)
+    common = "the of and to in a is that for it".split()
+    clean = lambda: " ".join(rng.choice(common if rng.random() < 0.4 else WORDS) for _ in range(80))
+    digits = lambda: " ".join(str(rng.randrange(10**6)) + "#$%" for _ in range(80))
+    for junk in (digits, lambda: "the " * 80):
+        rows = [(i, clean(), "en", f"s{i % 6}") for i in range(240)] + [(1000 + i, junk(), "en", "hot") for i in range(120)]
+        got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got[i]["kept"] for i in range(240)) and not any(got[1000 + i]["kept"] for i in range(120))
+    # The hot source holds most of a language; a source column is not needed; a mixed list rejects by the base rules only.
+    rows = [(i, clean(), "en", f"s{i % 6}") for i in range(240)] + [(1000 + i, digits(), "en", "hot") for i in range(700)]
+    assert judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept and doc_id < 1000").count() == 240
+    rows = [(i, clean(), None) for i in range(30)] + [(100, "слово дело " + prose(rng, 8) + " " + " ".join(f"мир{i}" for i in range(60)), "ru")]
+    assert judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").count() == 31
+
+
 def _ids(text):
     import public_tokenizers
     from tokenizers import Tokenizer
