@@ -34,6 +34,29 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_digest(text: F.Column) -> F.Column:
+    """What tells unlike texts apart; a null text is the empty text."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def is_key(rows: DataFrame) -> bool:
+    """Whether doc_id has no nulls and no repeats."""
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def keyed(rows: DataFrame, null_first: bool) -> DataFrame:
+    """(key, doc_id, digest, text): one row for each distinct (doc_id, text) of `rows` of texts(), keys ascending by doc_id and digest."""
+    once = rows.withColumn("digest", text_digest(F.col("text"))).groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    by_id = F.col("doc_id").asc_nulls_first() if null_first else F.col("doc_id").asc_nulls_last()
+    return written(once.orderBy(by_id, "digest").select(F.monotonically_increasing_id().alias("key"), "doc_id", "digest", "text"), "keyed")
+
+
+def by_key(rows: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+    """rows (doc_id, digest, ...) with the columns `names` of values (doc_id, digest, ...); null doc_ids meet null doc_ids."""
+    right = values.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), *names)
+    return rows.join(right, rows["doc_id"].eqNullSafe(right["__id"]) & (rows["digest"] == right["__digest"])).drop("__id", "__digest")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column; nulls are empty."""
     kind = pa.large_binary()

@@ -18,8 +18,10 @@ A bucket is never expanded into its pairs:
 
 Defined cases: a text without words (or null) has no shingles and is its own component; a document of
 fewer than five words has its word sequence as its only shingle; equal rows, rows with the same doc_id
-included, share a class; null doc_ids are left out of links and get a null component; further columns are
-ignored.
+included, share a class; unlike texts with one doc_id are documents of their own, told apart by the text's
+digest. In near_duplicates null doc_ids are left out of links, get a null component and are kept; in keep_one
+a document without a doc_id is compared like any other, but stays only if no near copy has one. Where doc_ids
+are null or repeat, documents get a key of their own first. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimful.llm.common import mix64, texts, utf8, windows, word_hashes, written
+from brimful.llm.common import by_key, is_key, keyed, mix64, text_digest, texts, utf8, windows, word_hashes, written
 
 WORDS, CHUNKS, PER_CHUNK, VALUE_BITS = 5, 10, 4, 16
 N_VALUES = CHUNKS * PER_CHUNK
@@ -213,11 +215,10 @@ def _across(mixed: DataFrame, traits: DataFrame, percent: int, step: float = 1.0
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    rows = texts(docs, id_col, text_col)
+def _near_duplicates(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of rows (doc_id, text), whose doc_ids are a key."""
     own = written(sets(rows, width), "sets")
-    classes = written(own.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n_shingles", "values"), "doc_id").alias("r")).select("set_hash", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.values").alias("values")), "classes")
+    classes = written(own.where("set_hash is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n_shingles", "values"), "doc_id").alias("r")).select("set_hash", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.values").alias("values")), "classes")
 
     keys = _keys(classes)
     shared = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("size > 1"), "buckets")
@@ -240,11 +241,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_c
         found = components(links.unionByName(more))
 
     of_class = written(classes.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id")), "components")
-    out = own.join(of_class, "set_hash", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = own.join(of_class, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _by_own_key(keys: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, component_id, kept) for every row of keyed(); component_id is a doc_id."""
+    found = _near_duplicates(keys.select(F.col("key").alias("doc_id"), "text"), percent, width).withColumnRenamed("doc_id", "key")
+    names = keys.select(F.col("key").alias("component_id"), F.col("doc_id").alias("component"))
+    found = found.join(names, "component_id").select("key", "n_shingles", F.col("component").alias("component_id"), "kept")
+    return keys.select("key", "doc_id", "digest").join(found, "key").drop("key")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    rows = texts(docs, id_col, text_col)
+    if is_key(rows):
+        return _near_duplicates(rows, percent, width)
+    known = rows.where("doc_id is not null")
+    found = written(_by_own_key(keyed(known, null_first=False), percent, width), "by-own-key")
+    joined = by_key(known.select("doc_id", text_digest(F.col("text")).alias("digest")), found, "n_shingles", "component_id", "kept")
+    alone = sets(rows.where("doc_id is null"), width).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return joined.select("doc_id", "n_shingles", "component_id", "kept").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row of docs for each component, with its columns; of rows with one doc_id one stays."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of docs for each component, with its columns; of rows with one doc_id and one text one stays."""
+    rows = texts(docs)
+    if is_key(rows):
+        kept = _near_duplicates(rows, percent, WORDS).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = _by_own_key(keyed(rows, null_first=False), percent, WORDS).where("kept").select("doc_id", "digest")
+    # Of equal texts with one doc_id the least row by its other columns stays, whatever the order they come in.
+    others = F.to_json(F.struct(F.col("text").isNull().alias("no_text"), *[c for c in docs.columns if c != "text"]))
+    once = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest")).agg(F.min_by(F.struct(*docs.columns), others).alias("row"))
+    return by_key(once, found).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brimful.llm.common import written
+from brimful.llm.common import by_key, is_key, keyed, text_digest, texts, written
 from brimful.llm.minhash_dedup import keep_one
 from brimful.llm.packing import pieces, place, shard_count
 from brimful.llm.pii import redact
@@ -24,10 +24,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; bytes left of a cut character go too."""
-    kept = remove_repeats(docs).select("doc_id", "n_removed", F.make_valid_utf8(F.col("kept").cast("string")).alias("left"))
+    """Documents without the passages that an earlier one has; bytes left of a cut character go too.
+
+    Unlike texts with one doc_id, or with none, are documents of their own, earlier or later by their digest; rows
+    with equal texts and one doc_id are one document, so each of them stays.
+    """
+    rows = texts(docs)
+    keys = None if is_key(rows) else keyed(rows, null_first=True)
+    kept = remove_repeats(rows if keys is None else keys, id_col="doc_id" if keys is None else "key")
+    kept = kept.select("doc_id", "n_removed", F.make_valid_utf8(F.col("kept").cast("string")).alias("left"))
     left = F.when(F.col("n_removed") > 0, F.regexp_replace("left", "�", "")).otherwise(F.col("left"))
-    joined = docs.drop("text").join(kept.select("doc_id", left.alias("text")), "doc_id")
+    kept = kept.select("doc_id", left.alias("left"))
+    if keys is None:
+        joined = docs.drop("text").join(kept.withColumnRenamed("left", "text"), "doc_id")
+    else:
+        named = keys.select("key", "doc_id", "digest").join(kept.withColumnRenamed("doc_id", "key"), "key")
+        joined = by_key(docs.withColumn("digest", text_digest(F.col("text"))), named, "left").withColumn("text", F.col("left"))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

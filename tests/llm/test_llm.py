@@ -97,6 +97,46 @@ def test_near_duplicates_equal_brute_force(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated doc_ids with unlike texts, a near copy under another id, equal rows, and one passage in several."""
+    rng = random.Random(3)
+    unlike = [prose(rng, 60) for _ in range(6)]
+    passage = prose(rng, 25)
+    ids = [None, None, 7, 7, 7, 9]
+    rows = [(i, f"{t} {passage}" if k % 2 else t, "en", "s", 0) for k, (i, t) in enumerate(zip(ids, unlike, strict=True))]
+    copy = [(8, rows[3][1], "en", "s", 0), (8, prose(rng, 60), "en", "s", 0), (11, rows[0][1], "en", "s", 0), rows[2], rows[1]]
+    return rows, copy, spark.createDataFrame(rows + copy, ODD_SCHEMA).repartition(3)
+
+
+def test_null_and_repeated_ids_keep_unlike_texts(spark, odd):
+    from brimful.llm.minhash_dedup import keep_one, near_duplicates
+
+    rows, copy, docs = odd
+    want = sorted([(r[0] or -1, r[1]) for r in [*rows[1:], copy[1], copy[2]]])
+    for own in (docs, docs.repartition(5)):
+        kept = keep_one(own)
+        assert kept.columns == docs.columns and sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == want
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True)] * 3 + [(7, 7, True)] * 4 + [(8, 7, False), (8, 8, True), (9, 9, True), (11, 11, True)], key=str)
+
+
+def test_pipeline_suffix_stage_with_null_and_repeated_ids(spark, odd):
+    import corpus_pipeline
+
+    rows, copy, docs = odd
+    got = corpus_pipeline.suffix_dedup(spark, docs.where("doc_id is null or doc_id = 7"), "").collect()
+    assert len(got) == 7 and all(r["n_chars"] == len(r["text"]) for r in got)
+    texts = [r["text"] for r in got]
+    starts = [t[:250] for t in texts]  # what comes before the passage stays
+    assert sorted(starts) == sorted(r[1][:250] for r in [*rows[:5], copy[3], copy[4]])
+    # The passage stands in rows 1 (twice, as equal rows) and 3: it stays with the null doc_id.
+    assert sum(t == rows[1][1] for t in texts) == 2 and not any(t == rows[3][1] for t in texts)
+
+
 def test_personal_data(docs, rows, empty):
     from brimful.llm.pii import find, redact
 
