@@ -11,11 +11,14 @@ bucket, and only there they are sorted:
    all its windows go; or first of its kind beside other runs of that gram, its bytes are needed. So
    copies are collapsed to one run each before any text is dealt.
 3. The bytes of those runs go to the bucket, whose suffixes are sorted deep-shallow; in each group of
-   equal windows all but those of the smallest doc_id go.
+   equal windows all but those of the smallest doc_id go. Where more than HOT_RUNS different runs share a
+   gram (the edges of a passage that many documents have), their windows are dealt one by one instead, by a
+   hash of their bytes; equal ones of a chunk are first collapsed to those of its smallest doc_id.
 4. The ranges return to their documents and are cut out.
 
-Documents are handled in chunks dealt by the hash of doc_id; chunks and buckets are of fixed size, so
-their number grows with the input and not their size. Hashes of runs (64 bits within one gram's bucket)
+Documents are handled in chunks dealt by the hash of doc_id; the number of chunks and buckets grows with
+the input, so that their usual size does not. In step 2 all runs of one gram meet in one bucket, 20 bytes
+each; in step 3 a window that every chunk has comes once from each chunk. Hashes of runs (64 bits within one gram's bucket)
 stand for their bytes in step 2.
 
 Defined cases: a null or empty text has no windows; a null doc_id is smaller than every other; rows with
@@ -39,6 +42,8 @@ from brimful.llm.suffix_sort import sort_windows
 WIDTH, GRAM = 50, 24
 CHUNK_TEXT_BYTES, BUCKET_TEXT_BYTES = 512 << 10, 4 << 20
 SEGMENT = 1 << 19
+#: Different runs of one gram above which their windows are dealt one by one.
+HOT_RUNS = 1024
 #: An odd multiplier of the rolling hash, and a fixed random value for each byte.
 BASE = 0x9E3779B97F4A7C15 | 1
 VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -147,8 +152,8 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def answer(messages: pa.Table) -> pa.Table:
-    """Codes for the runs of one bucket: 0 nothing, 1 an earlier document has the same run, 2 its bytes are needed."""
+def answer(messages: pa.Table, hot_runs: int = HOT_RUNS) -> pa.Table:
+    """Codes for the runs of one bucket: 0 nothing, 1 an earlier document has the same run, 2 its bytes are needed, 3 its windows are."""
     grams = [_unpack(x, "<u4") for x in messages.column("grams").to_pylist()]
     if not grams:
         return _table([], ANSWER)
@@ -164,7 +169,7 @@ def answer(messages: pa.Table) -> pa.Table:
     which_gram, which_run = np.cumsum(new_gram) - 1, np.cumsum(new_run) - 1
     several = np.maximum.reduceat(docs, at_gram) != np.minimum.reduceat(docs, at_gram)
     kinds = np.add.reduceat(new_run.astype(np.int64), at_gram)
-    code = np.where(docs > docs[at_run][which_run], 1, np.where(kinds[which_gram] > 1, 2, 0)) * several[which_gram]
+    code = np.where(docs > docs[at_run][which_run], 1, np.where(kinds[which_gram] > hot_runs, 3, np.where(kinds[which_gram] > 1, 2, 0))) * several[which_gram]
     codes = np.zeros(len(order), np.uint8)
     codes[order] = code
     rows = []
@@ -174,6 +179,21 @@ def answer(messages: pa.Table) -> pa.Table:
     return _table(rows, ANSWER)
 
 
+def single_windows(data: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, first, hashes of first) of the windows at `at`: those equal to one of a smaller id, the others, and a hash of their bytes."""
+    padded = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    _, kind = np.unique(padded.view(f"V{padded.shape[1]}").ravel(), return_inverse=True)
+    least = np.full(kind.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, ids)
+    later = ids > least[kind]
+    first = np.flatnonzero(~later)
+    hashes = np.zeros(len(first), np.uint64)
+    for column in padded[first].view(np.uint64).T:
+        hashes = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + column)
+    return np.flatnonzero(later), first, hashes
+
+
 def sort_bucket(messages: pa.Table, width: int = WIDTH) -> pa.Table:
     """Ranges of windows that an earlier document has too, from the run texts of one bucket."""
     rows = messages.select(["chunk", "grams", "docs", "doc_index", "starts", "counts", "bytes"]).to_pylist()
@@ -199,11 +219,8 @@ def sort_bucket(messages: pa.Table, width: int = WIDTH) -> pa.Table:
     return _table(out, CUTS)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs."""
-    rows = texts(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, n_buckets = max(8, math.ceil(size / CHUNK_TEXT_BYTES)), max(8, math.ceil(size / BUCKET_TEXT_BYTES))
+def sent_runs(dealt: DataFrame, n_buckets: int, width: int = WIDTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """Rows of SEND: what goes for certain, and what must be sorted in bucket goes_to; dealt has (doc_id, text, chunk)."""
     mod = np.uint64(n_buckets)
 
     def ask(key: tuple, chunk: pa.Table) -> pa.Table:
@@ -220,12 +237,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
             return _table([], SEND)
         ids, offsets, data = _documents(chunk)
         runs, which = Runs(data, offsets, width, gram), int(chunk.column("chunk")[0].as_py())
-        out, gone = [], []
+        out, gone, hot = [], [], []
         for bucket, own in _by_bucket(((runs.gram >> np.uint64(32)) % mod).astype(np.int64)):
             if bucket not in found:
                 continue
             code = found[bucket]
             gone.append(own[code == 1])
+            hot.append(own[code == 3])
             own = own[code == 2]
             if len(own):
                 lo = offsets[runs.doc[own]] + runs.start[own]
@@ -234,8 +252,34 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
         gone = np.sort(np.concatenate(gone)) if gone else np.zeros(0, np.int64)
         if len(gone):
             out.append((which, False, which, b"", b"", _pack(runs.doc[gone]), _pack(runs.start[gone]), _pack(runs.count[gone]), b""))
+        hot = np.concatenate(hot) if hot else np.zeros(0, np.int64)
+        if len(hot):
+            count = runs.count[hot]
+            doc = np.repeat(runs.doc[hot], count)
+            start = np.repeat(runs.start[hot] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            later, first, hashes = single_windows(data, offsets[doc] + start, ids[doc], width)
+            if len(later):
+                out.append((which, False, which, b"", b"", _pack(doc[later]), _pack(start[later]), _pack(np.ones(len(later), np.int64)), b""))
+            for bucket, own in _by_bucket((hashes % mod).astype(np.int64)):
+                own = first[own]
+                parts = np.lib.stride_tricks.sliding_window_view(data, width)[offsets[doc[own]] + start[own]]
+                out.append((bucket, True, which, b"", _pack(ids[doc[own]]), _pack(doc[own]), _pack(start[own]), _pack(np.ones(len(own), np.int64)), _pack(parts)))
         return _table(out, SEND)
 
+    def codes_of(key: tuple, messages: pa.Table) -> pa.Table:
+        return answer(messages, hot_runs)
+
+    by_chunk = dealt.groupBy("chunk")
+    codes = by_chunk.applyInArrow(ask, _ddl(ASK)).groupBy("bucket").applyInArrow(codes_of, _ddl(ANSWER))
+    return by_chunk.cogroup(codes.groupBy("chunk")).applyInArrow(send, _ddl(SEND))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs."""
+    rows = texts(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_chunks, n_buckets = max(8, math.ceil(size / CHUNK_TEXT_BYTES)), max(8, math.ceil(size / BUCKET_TEXT_BYTES))
+
     def cut(key: tuple, chunk: pa.Table, cuts: pa.Table) -> pa.Table:
         if not len(chunk):
             return _table([], KEPT)
@@ -259,7 +303,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks))).repartition("chunk")
     by_chunk = dealt.groupBy("chunk")
-    codes = by_chunk.applyInArrow(ask, _ddl(ASK)).groupBy("bucket").applyInArrow(answer, _ddl(ANSWER))
-    sent = by_chunk.cogroup(codes.groupBy("chunk")).applyInArrow(send, _ddl(SEND))
+    sent = sent_runs(dealt, n_buckets, width, gram, hot_runs)
     cuts = sent.groupBy("goes_to", "is_text").applyInArrow(settle, _ddl(CUTS))
     return by_chunk.cogroup(cuts.groupBy("chunk")).applyInArrow(cut, _ddl(KEPT))

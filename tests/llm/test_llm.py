@@ -63,6 +63,29 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_spreads_a_passage_of_many_documents(spark, docs):
+    from brimful.llm.suffix_dedup import _unpack, remove_repeats, sent_runs
+
+    rng = random.Random(2)
+    passage = "This very line of fifty-three bytes is in all of them"
+    letters = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=90))
+    many = spark.createDataFrame([(i, f"{letters()}{passage}{letters()}") for i in range(1500)], "doc_id long, text string")
+    dealt = many.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    sizes = {}
+    for limit in (64, 1024, 1 << 40):
+        groups = {}
+        for r in sent_runs(dealt, 8, hot_runs=limit).where("is_text").collect():
+            groups[r["goes_to"]] = groups.get(r["goes_to"], 0) + int(_unpack(r["counts"], "<i8").sum())
+        sizes[limit] = max(groups.values()) / sum(groups.values())
+    assert sizes[64] < 0.2 and sizes[64] < sizes[1 << 40] / 2
+    # What goes does not depend on the limit; the test above confirms it by brute force.
+    for own in (docs, many):
+        a, b = (sorted(map(tuple, remove_repeats(own, hot_runs=n).collect())) for n in (1, 1 << 40))
+        assert a == b
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in remove_repeats(many).collect()}
+    assert passage in got[0] and not any(passage in got[i] for i in range(1, 1500))
+
+
 def test_suffix_sort_orders_windows():
     from brimful.llm.suffix_sort import sort_windows
 
