@@ -76,6 +76,12 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def text_blocks(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold about `limit` bytes each; a longer text stands alone."""
+    for lo, hi in blocks(utf8(batch.column("text"))[0], limit):
+        yield batch.slice(lo, hi - lo)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finisher over unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))

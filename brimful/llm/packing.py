@@ -1,12 +1,13 @@
 """Packing token ids into fixed windows by best-fit decreasing.
 
 Tokenizing cuts every document into full windows and one rest. Pieces are dealt by the hash of
-(doc_id, start) to shards of a fixed number of tokens, so a shard's size does not grow with the input
+their columns to shards of a fixed number of tokens, so a shard's size does not grow with the input
 and a very long document is spread. In a shard the rests go, longest first, each into the open window
 with the least remaining room that still takes it; a segment tree over remaining capacities finds it.
 
 Defined cases: a null or empty text is the end id alone; equal rows give equal pieces, each placed once;
-an empty table gives no pieces; further columns of the pieces travel along.
+a null doc_id is kept, and pieces without one are dealt by their other columns; a very long text is cut like any
+other; an empty table gives no pieces; further columns of the documents are ignored, those of the pieces travel along.
 """
 
 from __future__ import annotations
@@ -20,33 +21,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimful.llm.common import texts, utf8
+from brimful.llm.common import text_blocks, texts
 from brimful.llm.tokens import default_path, word_ids
 
 WINDOW = 4096
 #: Bytes of text whose tokens make one shard: some hundred windows, so the last open one hardly counts.
 SHARD_TEXT_BYTES = 8 << 20
+#: Texts whose words are looked up together.
+BLOCK_TEXT_BYTES = 4 << 20
 
 
-def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = 2, batch_rows: int = 512) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = 2) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): every document's ids cut into full windows and a rest."""
     path = path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(path)
         for whole in batches:
-            for lo in range(0, len(whole), batch_rows):
-                batch = whole.slice(lo, batch_rows)
-                offsets, data = utf8(batch.column("text"))
-                packed = known.texts([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], end_id)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), packed, strict=True):
-                    n = len(ids) // 4
-                    for at in range(0, n, window):
-                        for column, value in zip(out, (doc_id, at, min(window, n - at), n, ids[4 * at : 4 * (at + window)]), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+            for batch in text_blocks(whole, BLOCK_TEXT_BYTES):
+                ends, ids = known.texts(batch.column("text"), end_id)
+                size = np.diff(ends)
+                parts = -(-size // window)
+                doc = np.repeat(np.arange(len(size)), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                bounds = np.append(ends[doc] + start, len(ids)).astype(np.int32) * 4
+                cuts = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))])
+                columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(np.minimum(window, size[doc] - start)), pa.array(size[doc]), cuts]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return texts(docs).mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
@@ -102,17 +103,18 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def place(cut: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most `window` tokens."""
+    """Adds sequence_id and offset to pieces of at most `window` tokens, in place of columns of these names."""
+    cut = cut.drop("sequence_id", "offset")
 
-    def fit(shard: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         numbers, shard["offset"] = best_fit_decreasing(shard["length"].to_numpy(), window)
-        shard["sequence_id"] = (shard["__shard"].to_numpy(np.int64) << 32) + numbers
-        return shard.drop(columns="__shard")
+        shard["sequence_id"] = (int(key[0]) << 32) + numbers
+        return shard
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    dealt = cut.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("__shard").applyInPandas(fit, f"{schema}, offset long, sequence_id long")
+    dealt = cut.groupBy(F.pmod(F.xxhash64(*cut.columns), F.lit(shards)).cast("int"))
+    return dealt.applyInPandas(fit, f"{schema}, offset long, sequence_id long")
 
 
 def shard_count(docs: DataFrame) -> int:

@@ -21,27 +21,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brimful.llm.common import texts, utf8
+from brimful.llm.common import text_blocks, texts
+from brimful.llm.packing import BLOCK_TEXT_BYTES
 from brimful.llm.tokens import default_path, word_ids
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def encode(docs: DataFrame, path: str | None = None, end_id: int = 2, batch_rows: int = 512) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     """Rows of the files, in ranges of doc_id."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, at = word_ids(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for lo in range(0, len(whole), batch_rows):
-                batch = whole.slice(lo, batch_rows)
-                offsets, data = utf8(batch.column("text"))
-                packed = known.texts([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], end_id)
-                sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                columns = [batch.column("doc_id"), pa.array(np.full(len(batch), part, np.int32)), pa.array(at + ends[:-1]), pa.array(sizes), ids]
+            for batch in text_blocks(whole, BLOCK_TEXT_BYTES):
+                ends, ids = known.texts(batch.column("text"), end_id)
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+                columns = [batch.column("doc_id"), pa.array(np.full(len(batch), part, np.int32)), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), column]
                 at += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
 
