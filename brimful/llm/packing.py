@@ -28,7 +28,7 @@ WINDOW = 4096
 #: Bytes of text whose tokens make one shard: some hundred windows, so the last open one hardly counts.
 SHARD_TEXT_BYTES = 8 << 20
 #: Texts whose words are looked up together.
-BLOCK_TEXT_BYTES = 4 << 20
+BLOCK_TEXT_BYTES = 2 << 20
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = 2) -> DataFrame:

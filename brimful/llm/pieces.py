@@ -33,7 +33,7 @@ MARK = "▁"
 TOP = 0x110000  # above every character
 LITERAL_MARK = "\udc81"  # cannot occur in decoded UTF-8
 #: Nodes in a worker's cache; beyond it the cache starts anew, and the next blocks fill it again.
-MAX_NODES = 4_000_000
+MAX_NODES = 2_000_000
 BLOCK_BYTES = 1 << 20
 #: A bound above every draw.
 ALWAYS = np.uint32((1 << 32) - 1)

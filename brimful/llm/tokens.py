@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: ASCII marks that never join a letter or digit in one token. Apostrophes do, and angle and upright bars may spell special tokens.
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Small letters of ASCII and Latin-1 in UTF-8.
