@@ -8,7 +8,8 @@ span classifier, naive Bayes over span features, and spans above even odds are a
 an added span never overlaps one.
 
 Defined cases: a null or empty text has no spans; equal rows give equal rows; without candidates nothing
-is added; further columns are ignored by find() and kept by redact(). Positions count code points.
+is added; a null doc_id and rows with one doc_id are rows like any other; further columns are ignored by find()
+and kept by redact(), whatever their names. Positions count code points.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}+"
+SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+"
 LOCAL = r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[{](?:at|AT)[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?[(\[{](?:dot|DOT)[)\]}] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[{](?:at|AT)[)\]}] ?[A-Za-z0-9-]++(?: ?[(\[{](?:dot|DOT)[)\]}] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"
 ADDED = {"email_spelled": SPELLED, "phone_local": LOCAL, "secret": SECRET}
 # Gazetteers and context words of each kind.
 GAZETTEER = {"email_spelled": r"(?i)(com|org|net|edu|gov|info|de|fr|es|uk|io)$", "phone_local": r"^\(?[2-9][0-9]{2}", "secret": r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk[_-]|pk_|xox[abp]-|eyJ|AIza)"}
@@ -191,7 +192,6 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets."""
-    columns = docs.columns
     weights = learn(annotate(docs.select("text")).select(F.inline("pii_candidates")))
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -204,4 +204,5 @@ def redact(docs: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform(_accepted(weights), lambda x: F.struct(x.s.alias("at"), x.e.alias("e"), x.kind.alias("kind"))))
     done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s.out, F.substring(text, s["at"] + 1, F.length(text))))
     new = F.when(F.size("pii_base") + F.size("pii_candidates") > 0, done).otherwise(F.col("text"))
-    return annotate(docs).withColumn("text", new).select(*columns)
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    return annotate(boxed).withColumn("text", new).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
