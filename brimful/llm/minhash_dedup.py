@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimful.llm.common import by_key, is_key, keyed, mix64, text_digest, texts, utf8, windows, word_hashes, written
+from brimful.llm.common import blocks, by_key, discard, is_key, keyed, mix64, text_digest, texts, utf8, windows, word_hashes, written
 
 WORDS, CHUNKS, PER_CHUNK, VALUE_BITS = 5, 10, 4, 16
 N_VALUES = CHUNKS * PER_CHUNK
@@ -139,14 +139,16 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("component")), name)
     while True:
+        old = [labels]
         heard = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "id").select("id", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
         lower = written(lower, name)
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
         labels = written(lower.join(jump, "component", "left").select("id", "was", F.coalesce("next", "component").alias("component")), name)
+        discard([*old, lower])
         if labels.where("component <> was").isEmpty():
+            discard([edges])
             return labels.select("id", "component")
-        labels = labels.drop("was")
 
 
 def _traits(mixed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -162,9 +164,10 @@ def _traits(mixed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
-                own = shingles(data[a:b].tobytes(), width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc_id)), pa.array(own.view(np.int64))], names=["id", "shingle"])
+            for lo, hi in blocks(offsets, 1 << 20):
+                own = [shingles(data[a:b].tobytes(), width) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
+                ids = batch.column("doc_id").slice(lo, hi - lo).to_numpy().repeat(list(map(len, own)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(own).view(np.int64))], names=["id", "shingle"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, pivot = None, np.zeros(0, np.uint64)

@@ -274,8 +274,21 @@ def sent_runs(dealt: DataFrame, n_buckets: int, width: int = WIDTH, gram: int =
     return by_chunk.cogroup(codes.groupBy("chunk")).applyInArrow(send, _ddl(SEND))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs."""
+def whole_characters(gone: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes of all UTF-8 characters that lose a byte; no character crosses the offsets."""
+    if not len(data):
+        return gone
+    leads = (data & 0xC0) != 0x80
+    leads[offsets[:-1][np.diff(offsets) > 0]] = True
+    first = np.flatnonzero(leads)
+    return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(data))))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS, characters: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs.
+
+    With `characters`, a character that a removed passage cuts in two goes whole.
+    """
     rows = texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks, n_buckets = max(8, math.ceil(size / CHUNK_TEXT_BYTES)), max(8, math.ceil(size / BUCKET_TEXT_BYTES))
@@ -290,6 +303,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
             np.add.at(covered, lo, 1)
             np.add.at(covered, lo + _unpack(counts, "<i8") + width - 1, -1)
         gone = np.cumsum(covered[:-1]) > 0
+        gone = whole_characters(gone, data, offsets) if characters else gone
         out = []
         for doc_id, a, b in zip(ids.tolist(), offsets[:-1], offsets[1:], strict=True):
             mask = gone[a:b]
