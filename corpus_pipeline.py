@@ -24,17 +24,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; bytes left of a cut character go too.
+    """Documents without the passages that an earlier one has; characters that a passage cuts in two go whole.
 
     Unlike texts with one doc_id, or with none, are documents of their own, earlier or later by their digest; rows
     with equal texts and one doc_id are one document, so each of them stays.
     """
     rows = texts(docs)
     keys = None if is_key(rows) else keyed(rows, null_first=True)
-    kept = remove_repeats(rows if keys is None else keys, id_col="doc_id" if keys is None else "key")
-    kept = kept.select("doc_id", "n_removed", F.make_valid_utf8(F.col("kept").cast("string")).alias("left"))
-    left = F.when(F.col("n_removed") > 0, F.regexp_replace("left", "�", "")).otherwise(F.col("left"))
-    kept = kept.select("doc_id", left.alias("left"))
+    kept = remove_repeats(rows if keys is None else keys, id_col="doc_id" if keys is None else "key", characters=True)
+    kept = kept.select("doc_id", F.col("kept").cast("string").alias("left"))
     if keys is None:
         joined = docs.drop("text").join(kept.withColumnRenamed("left", "text"), "doc_id")
     else:
