@@ -44,7 +44,9 @@ SELECT row_number() OVER (ORDER BY query) AS query_id, query FROM (
 EDITS = """
 SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id % 4 AS item_id,
   CASE event_type WHEN 'signup' THEN 'add' WHEN 'purchase' THEN 'set_price' WHEN 'click' THEN 'correct_abv' WHEN 'view' THEN 'set_package' WHEN 'error' THEN 'remove' ELSE 'correct_size' END AS kind,
-  CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'item ' || CAST(event_id AS VARCHAR(20)) END AS name, value, CAST(event_id % 7 AS INT) AS count, 'unknown' AS category
+  CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'item ' || CAST(event_id AS VARCHAR(20)) END AS name, value, CAST(event_id % 7 AS INT) AS count,
+  CASE event_id % 5 WHEN 0 THEN 'nonAlcoholic' WHEN 1 THEN 'draftBeer' WHEN 2 THEN 'shot' ELSE 'unknown' END AS category,
+  CAST(event_id % 12 AS DOUBLE) AS abv, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 16 + 1 AS DOUBLE) END AS size_oz, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS price
 FROM {events}
 """
 SESSIONS = """
@@ -52,13 +54,16 @@ SELECT DISTINCT user_id AS session_id, event_id % 2 AS item_id FROM {events}
 """
 #: Price-list lines: for each list a section header and its offers, numbers as decimals so that both engines print them alike.
 LINES = f"""
-SELECT CAST(list_id AS VARCHAR(20)) AS list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY item_no, part) AS INT) AS line_no, line FROM (
-  SELECT list_id, item_no, 1 AS part,
-    name || CASE WHEN item_no % 3 = 0 THEN ' ' || CAST(CAST(abv AS DECIMAL(6, 1)) AS VARCHAR(9)) || '% ABV' ELSE '' END || CASE WHEN price_cents IS NULL THEN '' ELSE ' $' || CAST(CAST(price_cents / 100.0 AS DECIMAL(12, 2)) AS VARCHAR(20)) END AS line
-  FROM ({OFFERS}) a
-  UNION ALL SELECT list_id, item_no, 0, CASE item_no % 5 WHEN 0 THEN 'WINES' WHEN 1 THEN 'DRAFT BEER' WHEN 2 THEN 'KITCHEN' WHEN 3 THEN 'REDS $' || CAST(item_no AS VARCHAR(9)) ELSE 'COCKTAILS...$12' END FROM ({OFFERS}) b WHERE item_no % 4 = 1
-  UNION ALL SELECT list_id, item_no, 2, '(HOUSE STYLE) ' || CAST(CAST(abv AS DECIMAL(6, 1)) AS VARCHAR(9)) || '% 12oz' FROM ({OFFERS}) c WHERE item_no % 7 = 2) l
+SELECT CAST(list_id AS VARCHAR(20)) AS list_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY item_no, part) AS INT) AS line_no,
+  CASE part
+    WHEN 0 THEN CASE item_no % 5 WHEN 0 THEN 'WINES' WHEN 1 THEN 'DRAFT BEER' WHEN 2 THEN 'KITCHEN' WHEN 3 THEN 'REDS $' || CAST(item_no AS VARCHAR(9)) ELSE 'COCKTAILS...$12' END
+    WHEN 1 THEN name || CASE WHEN item_no % 3 = 0 THEN ' ' || CAST(CAST(abv AS DECIMAL(6, 1)) AS VARCHAR(9)) || '% ABV' ELSE '' END || CASE WHEN price_cents IS NULL THEN '' ELSE ' $' || CAST(CAST(price_cents / 100.0 AS DECIMAL(12, 2)) AS VARCHAR(20)) END
+    ELSE '(HOUSE STYLE) ' || CAST(CAST(abv AS DECIMAL(6, 1)) AS VARCHAR(9)) || '% 12oz' END AS line
+FROM (SELECT *, {{each of 0, 1, 2}} AS part FROM ({OFFERS}) o) l
+WHERE part = 1 OR (part = 0 AND item_no % 4 = 1) OR (part = 2 AND item_no % 7 = 2)
 """
+#: A row for each of some numbers, in either engine's words.
+EACH_OF = re.compile(r"\{each of ([0-9, ]+)\}")
 
 
 def tables_of(sql: str) -> list[str]:
@@ -66,8 +71,9 @@ def tables_of(sql: str) -> list[str]:
 
 
 def adapt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    sql = EACH_OF.sub(r"explode(array(\1))", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
 
 
 def sql_of(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{(\w+)\}", r"\1", EACH_OF.sub(r"unnest([\1])", sql))

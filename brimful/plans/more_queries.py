@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +10,11 @@ from brimful.operators import layout as Y
 from brimful.operators.knowledge import brand_table, style_table
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import EDITS, LINES, adapt
-from brimful.plans.queries import query
+from brimful.plans.queries import BASE, EDITED, query
+from brimful.sources.sinks import shared_path
 from brimful.streaming import streams as Z
 
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of price-list lines, 40 lines to a page, at places that follow from line and word."""
     lines = adapt(spark, sf_dir, LINES)
@@ -138,34 +137,29 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_report(done.ranked, done.resolved)
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
-
-
-@query(
-    """WITH a AS (SELECT session_id, item_id, max(seq) FILTER (kind = 'add' AND trim(name) <> '') AS added, max(seq) FILTER (kind = 'remove') AS removed FROM e GROUP BY session_id, item_id)
-    SELECT session_id, count(*) AS items FROM a WHERE added IS NOT NULL AND (removed IS NULL OR added > removed) GROUP BY session_id""",
-    e=EDITS,
-)
+@query(EDITED, e=EDITS, s=BASE + " WHERE false")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM1: live items of sessions after their edit stream, read as files in micro-batches."""
-    folder = _shared_folder(spark, "sessions")
-    adapt(spark, sf_dir, EDITS).select("session_id", F.col("seq").cast("long"), "item_id", "kind", "name", "value", "count").write.parquet(f"{folder}/events")
-    events = spark.readStream.schema(spark.read.parquet(f"{folder}/events").schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/events")
+    """SM1: live items of sessions after their edit stream, which comes in four parts; state is carried from one to the next."""
+    folder = shared_path(spark, "sessions")
+    edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
+    longest = edits.agg(F.max("seq")).first()[0] or 0
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/live")
 
-    Z.stream_sessions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    for part in range(4):
+        edits.where((F.col("seq") > part * longest / 4) & (F.col("seq") <= (part + 1) * longest / 4)).write.mode("append").parquet(f"{folder}/events")
+        events = spark.readStream.schema(edits.schema).parquet(f"{folder}/events")
+        Z.stream_sessions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     live = spark.read.parquet(f"{folder}/live")
-    last = live.groupBy("session_id").agg(F.max("seq").alias("last"))
-    return live.join(last, "session_id").where("seq = last").groupBy("session_id").agg(F.count("*").alias("items"))
+    last = live.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
+    return live.join(last, ["session_id", "epoch"]).where("item_id is not null").drop("epoch", "seq", "late")
 
 
 @query()
 def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM2: lists ranked as their files arrive."""
-    folder = _shared_folder(spark, "lists")
+    folder = shared_path(spark, "lists")
     adapt(spark, sf_dir, LINES).repartition(4, "list_id").write.parquet(f"{folder}/lines")
     lines = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/lines")
     keep = lambda ranked, epoch: ranked.write.mode("append").parquet(f"{folder}/ranked")

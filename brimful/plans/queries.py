@@ -32,7 +32,7 @@ def query(sql: str | None = None, **tables: str) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         QUERY[function.__name__] = function
         if sql is not None:
-            heads = ", ".join(f"{name} AS ({sql_of(text)})" for name, text in tables.items())
+            heads = ", ".join(f"{name} AS MATERIALIZED ({sql_of(text)})" for name, text in tables.items())
             SQL[function.__name__] = (f"WITH {heads}" if heads else "") + (", " + sql.strip()[5:] if heads and sql.strip().startswith("WITH ") else " " + sql)
         return function
 
@@ -504,20 +504,28 @@ def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.adopt_attributes(rows).withColumn("item_no", F.col("item_no").cast("long"))
 
 
-@query(
-    """WITH v AS (SELECT * FROM e WHERE CASE kind WHEN 'add' THEN trim(name) <> '' WHEN 'set_price' THEN round(value * 100) > 0 WHEN 'set_package' THEN count >= 1 ELSE true END),
-    b AS (SELECT session_id, item_id, min(seq) AS start FROM (SELECT session_id, item_id, -1 AS seq FROM s UNION ALL SELECT session_id, item_id, seq FROM v WHERE kind = 'add') x GROUP BY session_id, item_id),
-    alive AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.session_id = b.session_id AND v.item_id = b.item_id AND kind = 'remove' AND v.seq > b.start)),
-    l AS (SELECT v.*, alive.start FROM v JOIN alive ON v.session_id = alive.session_id AND v.item_id = alive.item_id WHERE v.seq >= alive.start)
-    SELECT a.session_id, a.item_id, coalesce(s.name, max(CASE WHEN l.kind = 'add' AND l.seq = l.start THEN trim(l.name) END)) AS name, coalesce(CAST(arg_max(round(l.value * 100), l.seq) FILTER (l.kind = 'set_price') AS INT), s.price_cents) AS price_cents,
-      coalesce(arg_max(l.value, l.seq) FILTER (l.kind = 'correct_abv'), s.abv) AS abv, CASE WHEN count(*) FILTER (l.kind = 'correct_abv') > 0 THEN false ELSE coalesce(s.abv_estimated, false) END AS abv_estimated, coalesce(arg_max(l.count, l.seq) FILTER (l.kind = 'set_package'), s.count, 1) AS count
-    FROM alive a LEFT JOIN s ON a.session_id = s.session_id AND a.item_id = s.item_id LEFT JOIN l ON a.session_id = l.session_id AND a.item_id = l.item_id GROUP BY a.session_id, a.item_id, s.name, s.price_cents, s.abv, s.abv_estimated, s.count""",
-    e=EDITS, s="SELECT session_id, item_id, 'base' AS name, CAST(500 AS INT) AS price_cents, 5e0 AS abv, true AS abv_estimated, CAST(2 AS INT) AS count FROM (" + SESSIONS + ") b",
-)
+#: What a log of edits leaves of items, in SQL; `s` holds the items at the start.
+EDITED = """WITH v AS (SELECT *, CAST(round(CASE kind WHEN 'add' THEN price ELSE value END * 100) AS INT) AS cents FROM e WHERE CASE kind WHEN 'add' THEN trim(name) <> '' WHEN 'set_price' THEN round(value * 100) > 0 WHEN 'remove' THEN true WHEN 'set_package' THEN true ELSE value IS NOT NULL END),
+    r AS (SELECT session_id, item_id, max(seq) AS removed FROM v WHERE kind = 'remove' GROUP BY session_id, item_id),
+    l AS (SELECT v.* FROM v LEFT JOIN r ON v.session_id = r.session_id AND v.item_id = r.item_id WHERE v.kind <> 'remove' AND v.seq > coalesce(r.removed, -1)),
+    b AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.session_id = s.session_id AND r.item_id = s.item_id)),
+    a AS (SELECT *, row_number() OVER (PARTITION BY session_id, item_id ORDER BY seq) AS k FROM l WHERE kind = 'add'),
+    t AS (SELECT session_id, item_id, -1 AS start, name, category, price_cents, abv, abv_estimated, size_oz, size_estimated, count FROM b
+      UNION ALL SELECT session_id, item_id, seq, trim(name), CASE WHEN category = 'nonAlcoholic' THEN 'unknown' ELSE category END, CASE WHEN cents > 0 THEN cents END, abv, false, size_oz, false, greatest(1, count) FROM a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE b.session_id = a.session_id AND b.item_id = a.item_id))
+    SELECT t.session_id, t.item_id, t.name, t.category, coalesce(arg_max(l.cents, l.seq) FILTER (l.kind = 'set_price'), t.price_cents) AS price_cents, coalesce(arg_max(l.value, l.seq) FILTER (l.kind = 'correct_abv'), t.abv) AS abv,
+      t.abv_estimated AND count(*) FILTER (l.kind = 'correct_abv') = 0 AS abv_estimated,
+      coalesce(arg_max(CASE WHEN l.kind = 'set_package' THEN l.size_oz ELSE l.value END, l.seq) FILTER (l.kind = 'correct_size' OR (l.kind = 'set_package' AND l.size_oz IS NOT NULL)), t.size_oz) AS size_oz,
+      t.size_estimated AND count(*) FILTER (l.kind = 'correct_size' OR (l.kind = 'set_package' AND l.size_oz IS NOT NULL)) = 0 AS size_estimated,
+      coalesce(arg_max(greatest(1, l.count), l.seq) FILTER (l.kind = 'set_package'), t.count) AS count
+    FROM t LEFT JOIN l ON t.session_id = l.session_id AND t.item_id = l.item_id AND l.seq > t.start AND l.kind <> 'add'
+    GROUP BY t.session_id, t.item_id, t.name, t.category, t.price_cents, t.abv, t.abv_estimated, t.size_oz, t.size_estimated, t.count"""
+BASE = "SELECT session_id, item_id, 'base' AS name, 'wineGlass' AS category, CAST(500 AS INT) AS price_cents, 5e0 AS abv, true AS abv_estimated, CASE WHEN item_id = 0 THEN 12e0 END AS size_oz, item_id = 0 AS size_estimated, CAST(2 AS INT) AS count FROM (" + SESSIONS + ") b"
+
+
+@query(EDITED, e=EDITS, s=BASE)
 def session_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ED1, ED2: live items of sessions after all their edits."""
-    base = adapt(spark, sf_dir, SESSIONS).select("session_id", "item_id", F.lit("base").alias("name"), F.lit(500).alias("price_cents"), F.lit(5.0).alias("abv"), F.lit(True).alias("abv_estimated"), F.lit(None).cast("double").alias("size_oz"), F.lit(False).alias("size_estimated"), F.lit(2).alias("count"))
-    return D.apply_edits(base, adapt(spark, sf_dir, EDITS)).select("session_id", "item_id", "name", "price_cents", "abv", "abv_estimated", "count")
+    return D.apply_edits(adapt(spark, sf_dir, BASE), adapt(spark, sf_dir, EDITS))
 
 
 @query()

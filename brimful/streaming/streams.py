@@ -10,51 +10,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brimful.operators.sessions import valid_edits
 from brimful.operators.value import rank_packages
 from brimful.plans.pipeline import rank_lists
 
-ITEM = "item_id long, name string, price_cents int, abv double, size_oz double, count int"
-OUTPUT = f"session_id long, seq long, {ITEM}"
-STATE = "last long, items string"
+ITEM = "item_id long, name string, category string, price_cents int, abv double, abv_estimated boolean, size_oz double, size_estimated boolean, count int"
+OUTPUT = f"session_id long, seq long, late long, {ITEM}"
+STATE = "last long, late long, items string"
+
+
+def _known(x: Any) -> Any:
+    """The value, or None for what pandas shows in place of null."""
+    return None if pd.isna(x) else x
 
 
 def apply_one(items: dict[int, dict[str, Any]], event: Any) -> None:
-    """One edit on a session's items; edits of items that are not there, and invalid ones, change nothing."""
-    item = items.get(event.item_id)
-    if event.kind == "add" and item is None and isinstance(event.name, str) and event.name.strip():
-        items[event.item_id] = {"name": event.name.strip(), "price_cents": None, "abv": None, "size_oz": None, "count": 1}
+    """One row of valid_edits() on a session's items; edits of items that are not there change nothing."""
+    item, kind = items.get(event.item_id), event.kind
+    if kind == "add" and item is None:
+        cents, abv, size, count = map(_known, (event.cents, event.abv, event.size_oz, event.count))
+        items[event.item_id] = {"name": event.name, "category": event.category, "price_cents": None if cents is None else int(cents), "abv": abv, "abv_estimated": False, "size_oz": size, "size_estimated": False, "count": int(count or 1)}
     elif item is None:
         return
-    elif event.kind == "remove":
+    elif kind == "remove":
         items.pop(event.item_id)
-    elif event.kind == "set_price" and event.value > 0:
-        item["price_cents"] = int(event.value * 100 + 0.5) or None
-    elif event.kind in ("correct_abv", "correct_size"):
-        item["abv" if event.kind == "correct_abv" else "size_oz"] = float(event.value)
-    elif event.kind == "set_package" and event.count >= 1:
-        item["count"] = int(event.count)
-
-
-def stream_sessions(events: DataFrame) -> DataFrame:
+    elif kind == "set_price":
+        item["price_cents"] = int(event.cents)
+    elif kind == "correct_abv":
+        item.update(abv=float(event.value), abv_estimated=False)
+    elif kind == "correct_size":
+        item.update(size_oz=float(event.value), size_estimated=False)
+    elif kind == "set_package":
+        item["count"] = int(_known(event.count) or 1)
+        if _known(event.size_oz) is not None:
+            item.update(size_oz=float(event.size_oz), size_estimated=False)
+
+
+def stream_sessions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """After each batch the live items of every session that changed, as of its last event.
 
-    Events (session_id, seq, item_id, kind, name, value, count) of a session are applied by seq within a batch;
-    batches come in order. State is one row for each session.
+    Events (see valid_edits()) of a session are applied by seq within a batch; batches come in order. An event whose
+    seq is not above the last one applied came too late: it is left out and counted in `late`. A session without
+    items gives one row without item_id. State is one row for each session; with `idle_ms` it goes when a session
+    has had no event for so long, and later events begin a new session.
     """
     import json
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, stored = state.get if state.exists else (-1, "[]")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, late, stored = state.get if state.exists else (-1, 0, "[]")
         items = {i: values for i, values in json.loads(stored)}
         rows = pd.concat(list(batches)).sort_values("seq")
+        late += int((rows["seq"] <= last).sum())
         for event in rows[rows["seq"] > last].itertuples(index=False):
             apply_one(items, event)
             last = int(event.seq)
-        state.update((last, json.dumps(list(items.items()))))
-        columns = ["session_id", "seq", "item_id", "name", "price_cents", "abv", "size_oz", "count"]
-        yield pd.DataFrame([{"session_id": key[0], "seq": last, "item_id": i, **v} for i, v in items.items()], columns=columns)
-
-    return events.groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+        state.update((last, late, json.dumps(list(items.items()))))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        columns = [c.split()[0] for c in OUTPUT.split(", ")]
+        live = [{"item_id": i, **v} for i, v in items.items()] or [{}]
+        out = pd.DataFrame([{"session_id": key[0], "seq": last, "late": late, **row} for row in live], columns=columns)
+        yield out.astype({"item_id": "Int64", "price_cents": "Int32", "count": "Int32", "abv": "float64", "size_oz": "float64", "abv_estimated": "boolean", "size_estimated": "boolean"})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return valid_edits(events).groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "update", timeout)
 
 
 def rank_live(items: DataFrame) -> DataFrame:
