@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from brimful.functions.sizes import abv_ceiling, default_abv, default_pour_oz
 from brimful.functions.text import glyph_tokens
 from brimful.functions.vocabulary import BRANDS, CATEGORIES, STYLES
-from brimful.operators.search import specific_match
-
-#: Lookup tables up to this size are broadcast into a substring join; larger ones are found by their first three letters.
-BROADCAST_ROWS = 20_000
+from brimful.operators.search import specific_match, substring_join
 
 
 def brand_table(spark: SparkSession) -> DataFrame:
@@ -34,12 +31,7 @@ def category_table(spark: SparkSession) -> DataFrame:
 
 def _contained(names: DataFrame, table: DataFrame, values: Column) -> DataFrame:
     """(name, r): for each name the row of `table` (key, priority, ...) whose key its lower-case form contains, first by priority."""
-    lowered = names.withColumn("lowered", F.lower("name"))
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = lowered.join(F.broadcast(table), F.contains("lowered", "key"))
-    else:
-        pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("lowered"))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring("lowered", i, n)))))
-        pairs = lowered.withColumn("piece", F.explode(pieces)).join(table.withColumn("piece", F.substring("key", 1, 3)), "piece").where(F.contains("lowered", "key"))
+    pairs = substring_join(names.withColumn("lowered", F.lower("name")), "lowered", table, "key")
     return pairs.groupBy("name").agg(F.min_by(values, "priority").alias("r"))
 
 
@@ -100,24 +92,51 @@ def glyph_best(menu: list[str], brands: list[tuple[int, list[str]]]) -> int | No
     return None if best is None else best[1]
 
 
+def _resembling(words: DataFrame, brands: DataFrame) -> DataFrame:
+    """(word, priority): brands with a word, or all words in one, that a menu word could stand for.
+
+    A unit of a brand is split into one part more than edits are allowed, so that a part is left whole in the word,
+    moved by that many places at most; of a part up to three letters are looked up. A word cut short shares its beginning.
+    """
+    length = F.length("unit")
+    single = F.explode(F.transform("tokens", lambda t: F.struct(t.alias("unit"), F.when(F.length(t) >= 7, 2).when(F.length(t) >= 4, 1).otherwise(0).alias("edits"))))
+    joined = brands.select("priority", F.array_join("tokens", "").alias("unit"), F.lit(2).alias("edits"))
+    units = brands.select("priority", single.alias("u")).select("priority", "u.*").unionByName(joined).where(length > F.col("edits"))
+    begins = F.transform(F.sequence(F.lit(0), F.col("edits")), lambda k: F.floor(k * length / (F.col("edits") + 1)).cast("int"))
+    ends = lambda k: F.floor((k + 1) * length / (F.col("edits") + 1)).cast("int")
+    part = F.explode(F.transform(begins, lambda at, k: F.struct((at + 1).alias("at"), F.substring("unit", at + 1, F.least(F.lit(3), ends(k) - at)).alias("piece"))))
+    keyed = units.select("priority", "unit", "edits", part.alias("p")).select("priority", "unit", "edits", "p.*").distinct()
+    cut = brands.select("priority", F.explode("tokens").alias("unit")).select("priority", "unit", F.lit(-1).alias("edits"), F.lit(1).alias("at"), F.substring("unit", 1, 3).alias("piece")).distinct()
+    places = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*(F.struct(i.alias("place"), F.substring("word", i, F.lit(n)).alias("piece")) for n in (1, 2, 3))))))
+    held = words.select("word", places.alias("p")).select("word", "p.*").where("length(piece) > 0").distinct()
+    near = (F.abs(F.col("place") - F.col("at")) <= F.col("edits")) & (F.abs(F.length("word") - length) <= F.col("edits")) & (F.levenshtein("word", "unit") <= F.col("edits"))
+    shortened = (F.col("edits") == -1) & (F.col("place") == 1) & (F.length("word") >= 3) & F.startswith("unit", "word")
+    return held.join(keyed.unionByName(cut), "piece").where(near | shortened).select("word", "priority").distinct()
+
+
 def glyph_match(names: DataFrame, brands: DataFrame) -> DataFrame:
     """(name, label, category, abv) of brands whose glyphs a misread name resembles.
 
-    `brands` is a dimension table: it is collected, and refused beyond BROADCAST_ROWS.
+    Names and brands meet where a word of one could be a misread word of the other; each name is then compared with
+    its own candidates only. Priorities of brands are distinct.
     """
-    rows = brands.orderBy("priority").select("label", "category", "abv", glyph_tokens(F.col("key")).alias("tokens")).limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} brands; match them in parts")
-    folded = [(i, r["tokens"]) for i, r in enumerate(rows)]
-    found = [(r["label"], r["category"], r["abv"]) for r in rows]
+    kinds = "name string, label string, category string, abv double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = [(name, i) for name, menu in zip(batch["name"], batch["tokens"], strict=True) if len(menu) and (i := glyph_best(list(menu), folded)) is not None]
-            yield pd.DataFrame([(name, *found[i]) for name, i in hits], columns=["name", "label", "category", "abv"])
-
-    tokens = names.select("name").distinct().select("name", glyph_tokens(F.lower("name")).alias("tokens"))
-    return tokens.mapInPandas(run, "name string, label string, category string, abv double")
+            out = []
+            for name, menu, brands_of in zip(batch["name"], batch["menu"], batch["brands"], strict=True):
+                best = glyph_best(list(menu), [(i, list(b["tokens"])) for i, b in enumerate(brands_of)])
+                if best is not None:
+                    out.append((name, *(brands_of[best][c] for c in ("label", "category", "abv"))))
+            yield pd.DataFrame(out, columns=["name", "label", "category", "abv"])
+
+    menus = names.select("name").distinct().select("name", glyph_tokens(F.lower("name")).alias("menu"))
+    table = brands.select("priority", "label", "category", "abv", glyph_tokens(F.col("key")).alias("tokens"))
+    owned = menus.select("name", F.explode(F.array_distinct("menu")).alias("word"))
+    met = owned.join(_resembling(owned.select("word").distinct(), table), "word").select("name", "priority").distinct()
+    candidates = met.join(table, "priority").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("priority", "tokens", "label", "category", "abv"))).alias("brands"))
+    return menus.join(candidates, "name").select("name", "menu", "brands").mapInPandas(run, kinds)
 
 
 def estimate_note(kind: Column, matched: Column, abv: Column, category: Column) -> Column:

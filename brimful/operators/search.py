@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brimful.functions.text import fold, match_tier, words
 from brimful.functions.vocabulary import GENERIC_WORDS
 
 GRAM = 3
-#: Below this many rows the query table is broadcast and compared with every name.
-BROADCAST_QUERIES = 2_000
 
 
 def index_catalog(catalog: DataFrame) -> DataFrame:
@@ -18,29 +16,28 @@ def index_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("folded", fold(F.col("name"))).where("folded <> ''")
 
 
-def _grams(text):  # noqa: ANN001, ANN202
-    """All substrings of GRAM characters, distinct."""
-    last = F.greatest(F.lit(0), F.length(text) - GRAM + 1)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.substring(text, i, F.lit(GRAM))))
+def pieces(text: Column, width: int = GRAM) -> Column:
+    """All distinct substrings of 1 to `width` characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
+    every = F.flatten(F.transform(at, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in range(1, width + 1)))))
+    return F.filter(F.array_distinct(every), lambda x: x != "")
 
 
-def _longest(text):  # noqa: ANN001, ANN202
-    return F.array_max(F.transform(words(text), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+def substring_join(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """Each row of texts beside each row of keys whose `key` is in its `text`; an empty key is in none.
 
+    They meet by one piece of the key, of GRAM characters or the whole of a shorter key: the one that the fewest
+    texts hold, so that common letters make no large group. Keys without such a piece in any text drop out at once.
+    """
+    held = texts.select(F.explode(pieces(F.col(text))).alias("__piece")).groupBy("__piece").agg(F.count("*").alias("__held"))
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1)), lambda i: F.substring(F.col(key), i, F.lit(GRAM)))
+    rated = keys.select(key).where(F.col(key) != "").distinct().withColumn("__piece", F.explode(F.array_distinct(own))).join(held, "__piece")
+    rarest = rated.groupBy(key).agg(F.min_by("__piece", F.struct("__held", "__piece")).alias("__piece"))
+    return texts.withColumn("__piece", F.explode(pieces(F.col(text)))).join(keys.join(rarest, key), "__piece").drop("__piece").where(F.contains(text, key))
 
-def _candidates(names: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs that can match. Whatever the tier, a name contains every word of the query.
 
-    Few queries are compared with all names in one pass over the catalog, as a broadcast. Many are joined by
-    a three-letter piece of their longest word; queries of shorter words are joined by their one or two
-    letters, which names give for every place.
-    """
-    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return names.join(F.broadcast(asked), F.contains("folded", "first_word"))
-    piece = F.when(F.length("first_word") >= GRAM, F.substring("first_word", 1, GRAM)).otherwise(F.col("first_word"))
-    short = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("folded")), lambda i: F.array(F.substring("folded", i, F.lit(1)), F.substring("folded", i, F.lit(2))))))
-    keyed = names.withColumn("piece", F.explode(F.array_distinct(F.concat(_grams(F.col("folded")), short))))
-    return keyed.join(asked.withColumn("piece", piece), "piece").drop("piece")
+def _longest(text: Column) -> Column:
+    return F.array_max(F.transform(words(text), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
 
 
 def search(catalog: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
@@ -51,7 +48,8 @@ def search(catalog: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame
     """
     names = catalog if "folded" in catalog.columns else index_catalog(catalog)
     asked = queries.select("query_id", fold(F.col("query")).alias("asked")).where("asked <> ''").withColumn("first_word", _longest(F.col("asked")))
-    hits = _candidates(names, asked).withColumn("tier", match_tier(F.col("folded"), F.col("asked"))).where("tier is not null")
+    # Whatever the tier, a name contains every word of the query.
+    hits = substring_join(names, "folded", asked, "first_word").withColumn("tier", match_tier(F.col("folded"), F.col("asked"))).where("tier is not null")
     order = Window.partitionBy("query_id").orderBy("tier", F.length("folded"), "folded", "product_id")
     ranked = hits.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
     return ranked.drop("first_word")
