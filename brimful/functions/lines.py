@@ -131,12 +131,15 @@ def parse_item(line: Column) -> Column:
 def outside_brackets(line: Column) -> Column:
     """The characters outside all brackets; unbalanced ones do not count."""
 
-    def step(s: Column, c: Column) -> Column:
-        opens, closes = is_in(c, ["(", "["]), is_in(c, [")", "]"])
+    def step(s: Column, part: Column) -> Column:
+        opens, closes = F.rlike(part, F.lit(r"^[(\[]")), F.rlike(part, F.lit(r"^[)\]]"))
         depth = F.when(opens, s.depth + 1).when(closes, F.greatest(F.lit(0), s.depth - 1)).otherwise(s.depth)
-        return F.struct(depth.alias("depth"), F.when(opens | closes | (s.depth > 0), s.out).otherwise(F.concat(s.out, c)).alias("out"))
+        rest = F.regexp_replace(part, r"^[()\[\]]", "")
+        return F.struct(depth.alias("depth"), F.when(depth > 0, s.out).otherwise(F.concat(s.out, F.array(rest))).alias("out"))
 
-    cut = F.aggregate(F.split(line, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda s: s.out)
+    # Cut before each bracket: a part is left out as a whole or kept without its bracket.
+    parts = F.split(line, r"(?=[()\[\]])")
+    cut = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")), step, lambda s: F.array_join(s.out, ""))
     return F.when(line.rlike(r"[()\[\]]"), cut).otherwise(line)
 
 

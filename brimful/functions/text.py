@@ -128,11 +128,3 @@ def glyph_fold(word: Column) -> Column:
 
 def glyph_tokens(name: Column) -> Column:
     return F.filter(F.transform(F.split(name, r"[ \-/\t\n]"), glyph_fold), lambda w: (w != "") & (w != "and"))
-
-
-def word_budget(length: Column) -> Column:
-    return F.when(length < 5, 0).when(length < 9, 1).otherwise(2)
-
-
-def total_budget(length: Column) -> Column:
-    return F.when(length < 12, 1).when(length < 20, 2).otherwise(3)

@@ -106,11 +106,13 @@ def map_headers(columns: list[str], wanted: dict[str, list[str]]) -> tuple[dict[
 
 
 def profile_source(rows: DataFrame, order: str = "row_seq") -> DataFrame:
-    """(column, filled, total, first, second): filled cells of each column and its first two samples in row order."""
+    """(column, filled, total, first, second, rows): filled cells of each column, its first two samples and the cells of the first three rows, in row order."""
     columns = [c for c in rows.columns if c != order]
     cells = rows.select(F.col(order).alias("o"), *(F.col(c).cast("string").alias(c) for c in columns)).unpivot("o", columns, "column", "value")
     stated = F.trim("value") != ""
     counts = cells.groupBy("column").agg(F.count_if(stated).alias("filled"), F.count("*").alias("total"))
     place = F.row_number().over(Window.partitionBy("column").orderBy("o"))
     samples = cells.where(stated).withColumn("place", place).where("place <= 2").groupBy("column").agg(F.max(F.when(F.col("place") == 1, F.col("value"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("value"))).alias("second"))
-    return counts.join(samples, "column", "left")
+    top = rows.orderBy(order).limit(3).select(F.col(order).alias("o"), *(F.col(c).cast("string").alias(c) for c in columns)).unpivot("o", columns, "column", "value")
+    heads = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "value"))), lambda x: F.coalesce(x.value, F.lit(""))).alias("rows"))
+    return counts.join(samples, "column", "left").join(heads, "column", "left").withColumn("rows", F.array_join("rows", " | "))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brimful.functions.sizes import abv_ceiling, default_abv, default_pour_oz
+from brimful.functions.sizes import abv_ceiling, default_abv, default_pour_oz, suggest_package, suggest_pour
 from brimful.functions.text import glyph_tokens
 from brimful.functions.vocabulary import BRANDS, CATEGORIES, STYLES
 from brimful.operators.search import specific_match, substring_join
@@ -211,3 +211,29 @@ def resolve(items: DataFrame, profiles: DataFrame) -> DataFrame:
     size = size_with_provenance(F.col("read_size_oz"), F.col("p.category"), F.col("p.typical_oz"))
     rows = rows.withColumn("status", status).withColumn("a", abv).withColumn("s", size)
     return rows.select("list_id", "item_no", "name", "price_cents", F.col("p.category").alias("category"), "status", F.col("a.value").alias("abv"), F.col("a.is_estimated").alias("abv_estimated"), F.col("a.note").alias("abv_note"), F.col("s.value").alias("size_oz"), F.col("s.is_estimated").alias("size_estimated"), F.col("s.note").alias("size_note"))
+
+
+def prefilled_packages(products: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(product_id, name, abv, abv_estimated, note, label, oz, count): a form for each product (product_id, name, category, abv, ml, units).
+
+    Its own strength or else the typical one of its profile(), always an estimate, and the package.
+    """
+    known = profiles.select("name", F.col("section").alias("__section"), "typical_abv", "note")
+    rows = products.withColumn("__section", F.coalesce("category", F.lit("unknown"))).join(known, ["name", "__section"], "left")
+    package = suggest_package(F.col("name"), F.col("__section"), F.col("ml"), F.col("units"))
+    own = F.concat("name", F.lit(" at its typical label strength, not read off this package"))
+    rows = rows.select("product_id", "name", F.coalesce("abv", "typical_abv").alias("abv"), F.lit(True).alias("abv_estimated"), F.when(F.col("abv").isNotNull(), own).otherwise(F.col("note")).alias("note"), package.alias("p"))
+    return rows.select("product_id", "name", "abv", "abv_estimated", "note", "p.label", "p.oz", "p.count")
+
+
+def prefilled_drinks(drinks: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(name, abv, abv_estimated, note, label, oz): a form for each drink (name, category, abv) with a pour.
+
+    A name that was typed has null category and abv: its profile() gives the strength and the category of the pour.
+    """
+    known = profiles.select("name", F.col("section").alias("__section"), F.col("category").alias("__category"), "typical_abv", "typical_oz", "note")
+    rows = drinks.withColumn("__section", F.coalesce("category", F.lit("unknown"))).join(known, ["name", "__section"], "left")
+    pour = suggest_pour(F.col("name"), F.coalesce("category", "__category"), F.col("typical_oz"))
+    own = F.concat("name", F.lit(" at its typical strength, not read off the menu"))
+    rows = rows.select("name", F.coalesce("abv", "typical_abv").alias("abv"), F.lit(True).alias("abv_estimated"), F.when(F.col("abv").isNotNull(), own).otherwise(F.col("note")).alias("note"), pour.alias("p"))
+    return rows.select("name", "abv", "abv_estimated", "note", "p.label", "p.oz")

@@ -64,7 +64,7 @@ def provenance_counts(ranked: DataFrame) -> DataFrame:
 
 def outcomes(resolved: DataFrame) -> DataFrame:
     """(list_id, ranked, needs_price, excluded): how many of each, and the names of the latter two in item order."""
-    names = lambda status: F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("item_no", "name")))), lambda x: x.name)
+    names = lambda status: F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("item_no", "name")))), lambda x: x["name"])
     return resolved.groupBy("list_id").agg(F.count_if(F.col("status") == "ranked").alias("ranked"), names("needs_price").alias("needs_price"), names("excluded").alias("excluded"))
 
 
@@ -73,9 +73,21 @@ def number_text(x: Column) -> Column:
     return F.regexp_replace(F.format_string("%.4f", F.round(x, 4)), r"\.?0+$", "")
 
 
+def session_headers(resolved: DataFrame) -> DataFrame:
+    """(list_id, ranked, needs_price, excluded, priced, items, fraction, low_confidence, read, estimated) of every list.
+
+    The last two split the ranked items by where their strength comes from.
+    """
+    ranked = F.col("status") == "ranked"
+    counts = resolved.groupBy("list_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ranked", "needs_price", "excluded")), F.count_if(ranked & ~F.col("abv_estimated")).alias("read"), F.count_if(ranked & F.col("abv_estimated")).alias("estimated"))
+    return counts.join(quality_gate(resolved), "list_id")
+
+
 def session_report(ranked: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(list_id, kind, place, text): ranked rows with value, price, strength, size and category, then names without price, then excluded names."""
+    """(list_id, kind, place, text): the header (see session_headers()), ranked rows with value, price, strength, size and category, then names without price, then excluded names."""
     mark = lambda flag: F.when(F.col(flag), " est").otherwise(" read")
     row = F.concat(F.col("name"), F.lit(" | "), number_text(F.col("value")), F.lit(" | $"), number_text(F.col("price_cents") / 100), F.lit(" | "), number_text(F.col("abv")), F.lit("%"), mark("abv_estimated"), F.lit(" | "), number_text(F.col("size_oz")), F.lit("oz"), mark("size_estimated"), F.lit(" | "), F.col("category"))
     rest = resolved.where("status <> 'ranked'").select("list_id", F.col("status").alias("kind"), F.col("item_no").cast("long").alias("place"), F.col("name").alias("text"))
-    return ranked.select("list_id", F.lit("ranked").alias("kind"), F.col("rank").alias("place"), row.alias("text")).unionByName(rest)
+    head = F.format_string("%d ranked, %d without price, %d excluded; %d of %d priced%s; strength %d read, %d estimated", "ranked", "needs_price", "excluded", "priced", "items", F.when(F.col("low_confidence"), " (few)").otherwise(""), "read", "estimated")
+    heads = session_headers(resolved).select("list_id", F.lit("header").alias("kind"), F.lit(0).cast("long").alias("place"), head.alias("text"))
+    return heads.unionByName(ranked.select("list_id", F.lit("ranked").alias("kind"), F.col("rank").cast("long").alias("place"), row.alias("text"))).unionByName(rest)

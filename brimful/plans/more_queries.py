@@ -9,9 +9,10 @@ from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
 from brimful.operators.knowledge import brand_table, style_table
 from brimful.plans import pipeline as P
-from brimful.plans.adapters import EDITS, LINES, adapt
+from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
-from brimful.sources.sinks import shared_path
+from brimful.sources.readers import brand_dimension, export_boxes, read_catalog, read_exports
+from brimful.sources.sinks import shared_path, write_catalog
 from brimful.streaming import streams as Z
 
 
@@ -92,8 +93,44 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK7: boxes of each page as text."""
-    return E.box_dump(_boxes(spark, sf_dir))
+    """SNK7: boxes of each page as text, and its lines."""
+    boxes = _boxes(spark, sf_dir)
+    return E.box_dump(boxes, boxes.groupBy("page_id", F.col("row_no").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "text"))), lambda b: b.text), " ").alias("line")))
+
+
+@query(
+    """SELECT source, row_seq, name, CASE WHEN category = 'shot' THEN 'unknown' ELSE category END AS category, abv, ml, units, upc FROM (SELECT *, trim(name) AS t FROM c) x WHERE t <> ''""",
+    c=CATALOG,
+)
+def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4, SNK1: a catalog written, then read; a category that the library lacks becomes unknown."""
+    folder = shared_path(spark, "catalog")
+    rows = adapt(spark, sf_dir, CATALOG)
+    write_catalog(rows.withColumn("category", F.when(F.col("category") == "shot", "firewater").otherwise(F.col("category"))), folder)
+    return read_catalog(spark, f"{folder}/products", rows.limit(0)).select("source", "row_seq", "name", "category", "abv", "ml", "units", "upc")
+
+
+@query("SELECT lower(label) AS key, label, 'cocktail' AS category, abv, CAST(row_number() OVER (ORDER BY length(label) DESC, label) - 1 AS INT) AS priority FROM (SELECT p_name || ' ' || p_brand AS label, CAST(max(p_size) AS DOUBLE) AS abv FROM part GROUP BY 1) b")
+def source_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC8: a brand file, written from the names of parts, as a table of brands."""
+    folder = shared_path(spark, "brands")
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.max("p_size").cast("double").alias("abv"))
+    brand = F.struct("name", F.lit("cocktail").alias("category"), "abv")
+    named.agg(F.array_sort(F.collect_list(brand)).alias("brands")).write.json(folder)  # one file of a dimension
+    return brand_dimension(spark, folder).select("key", "label", "category", "abv", "priority")
+
+
+@query("SELECT page_id, text, count(*) AS boxes, min(CAST(round(min_x * 200) AS BIGINT)) AS left_side, max(CAST(round(max_x * 200) AS BIGINT)) AS right_side FROM b GROUP BY page_id, text", b=DUCK_BOXES)
+def source_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5, SRC6: boxes of pages, dumped into log files and read from them."""
+    folder = shared_path(spark, "exports")
+    dumps = E.box_dump(_boxes(spark, sf_dir))
+    dumps.select(F.concat(F.lit("noise\n=== EXPORT ===\n# page "), "page_id", F.lit("\n"), "dump", F.lit("\n=== END ===\n")).alias("value")).write.text(folder)
+    blocks = read_exports(spark, folder)
+    names = blocks.select("page_id", F.regexp_extract("body", r"^# page (\S+)", 1).alias("page"))
+    boxes = export_boxes(blocks).join(names, "page_id")
+    side = lambda c: F.round(F.col(c) * 200).cast("long")
+    return boxes.groupBy(F.col("page").alias("page_id"), "text").agg(F.count("*").alias("boxes"), F.min(side("min_x")).alias("left_side"), F.max(side("max_x")).alias("right_side"))
 
 
 @query("SELECT doc_id AS page_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\f\\v]+', ' ', 'g')) AS line FROM documents) d WHERE line <> '' GROUP BY doc_id")

@@ -102,6 +102,29 @@ def offer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("list_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ranked", "needs_price", "excluded")))
 
 
+RESOLVED = "SELECT list_id, item_no, name, price_cents, CASE WHEN category = 'nonAlcoholic' THEN 'excluded' WHEN price_cents > 0 THEN 'ranked' ELSE 'needs_price' END AS status, item_no % 3 = 0 AS abv_estimated FROM (" + OFFERS + ") o"
+
+
+@query(
+    "SELECT list_id, count(*) FILTER (status = 'ranked') AS ranked, coalesce(string_agg(name, '; ' ORDER BY item_no) FILTER (status = 'needs_price'), '') AS needs_price, coalesce(string_agg(name, '; ' ORDER BY item_no) FILTER (status = 'excluded'), '') AS excluded FROM r GROUP BY list_id",
+    r=RESOLVED,
+)
+def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6, AG9: what becomes of the items of each list, with names in order."""
+    named = Q.outcomes(adapt(spark, sf_dir, RESOLVED))
+    return named.select("list_id", "ranked", *(F.array_join(c, "; ").alias(c) for c in ("needs_price", "excluded")))
+
+
+@query(
+    """SELECT list_id, count(*) FILTER (status = 'ranked') AS ranked, count(*) FILTER (status = 'needs_price') AS needs_price, count(*) FILTER (status = 'excluded') AS excluded, count(price_cents) AS priced, count(*) AS items,
+      count(price_cents) / count(*) AS fraction, count(*) >= 8 AND count(price_cents) / count(*) < 0.25 AS low_confidence, count(*) FILTER (status = 'ranked' AND NOT abv_estimated) AS read, count(*) FILTER (status = 'ranked' AND abv_estimated) AS estimated FROM r GROUP BY list_id""",
+    r=RESOLVED,
+)
+def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5: the header of each list's report."""
+    return Q.session_headers(adapt(spark, sf_dir, RESOLVED))
+
+
 REFERENCE = """
 p AS (SELECT list_id, category, price_cents, row_number() OVER (PARTITION BY list_id, category ORDER BY price_cents) AS i, count(*) OVER (PARTITION BY list_id, category) AS n FROM o WHERE price_cents IS NOT NULL),
 h AS (SELECT *, (n + 1) // 2 AS half FROM p),
@@ -272,14 +295,17 @@ def curated_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.curated_catalog(brands).select("name", "category", "abv")
 
 
+FIRST_ROWS = "(SELECT string_agg(coalesce(CAST({0} AS VARCHAR), ''), ' | ' ORDER BY row_seq) FROM (SELECT * FROM c ORDER BY row_seq LIMIT 3) t)"
+
+
 @query(
-    """SELECT 'name' AS "column", count(*) AS filled, count(*) AS total, min_by(name, row_seq) AS "first", (SELECT name FROM c ORDER BY row_seq LIMIT 1 OFFSET 1) AS "second" FROM c
-    UNION ALL SELECT 'abv', count(abv), count(*), (SELECT CAST(abv AS VARCHAR) FROM c WHERE abv IS NOT NULL ORDER BY row_seq LIMIT 1), (SELECT CAST(abv AS VARCHAR) FROM c WHERE abv IS NOT NULL ORDER BY row_seq LIMIT 1 OFFSET 1) FROM c
-    UNION ALL SELECT 'upc', count(upc), count(*), (SELECT upc FROM c WHERE upc IS NOT NULL ORDER BY row_seq LIMIT 1), (SELECT upc FROM c WHERE upc IS NOT NULL ORDER BY row_seq LIMIT 1 OFFSET 1) FROM c""",
+    f"""SELECT 'name' AS "column", count(*) AS filled, count(*) AS total, min_by(name, row_seq) AS "first", (SELECT name FROM c ORDER BY row_seq LIMIT 1 OFFSET 1) AS "second", {FIRST_ROWS.format('name')} AS rows FROM c
+    UNION ALL SELECT 'abv', count(abv), count(*), (SELECT CAST(abv AS VARCHAR) FROM c WHERE abv IS NOT NULL ORDER BY row_seq LIMIT 1), (SELECT CAST(abv AS VARCHAR) FROM c WHERE abv IS NOT NULL ORDER BY row_seq LIMIT 1 OFFSET 1), {FIRST_ROWS.format('abv')} FROM c
+    UNION ALL SELECT 'upc', count(upc), count(*), (SELECT upc FROM c WHERE upc IS NOT NULL ORDER BY row_seq LIMIT 1), (SELECT upc FROM c WHERE upc IS NOT NULL ORDER BY row_seq LIMIT 1 OFFSET 1), {FIRST_ROWS.format('upc')} FROM c""",
     c=CATALOG,
 )
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK3: filled cells and samples of each column."""
+    """SNK3: filled cells, samples and first rows of each column."""
     return C.profile_source(adapt(spark, sf_dir, CATALOG).select("row_seq", "name", "abv", "upc"))
 
 

@@ -52,7 +52,8 @@ def stream_sessions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     Events (see valid_edits()) of a session are applied by seq within a batch; batches come in order. An event whose
     seq is not above the last one applied came too late: it is left out and counted in `late`. A session without
     items gives one row without item_id. State is one row for each session; with `idle_ms` it goes when a session
-    has had no event for so long, and later events begin a new session.
+    has had no event for so long, and later events begin a new session. That needs a query that goes on: Spark runs
+    batches for time-outs even without data, so a trigger of available data would never end.
     """
     import json
 
