@@ -78,12 +78,13 @@ def test_search_orders_and_empty_queries(spark):
     assert found[1] == ["Coors", "Coors Light", "Coors Banquet"] and found[2][0] == "Light Lager Sampler"
     assert found[3] == ["Tito's Handmade Vodka"] == found[5] and 4 not in found
     assert H.search(catalog, queries, 0).count() == 0
-    few = H.BROADCAST_QUERIES
+    # There is one way to join since the size switch went; with and without broadcasts it gives the same.
+    few = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        H.BROADCAST_QUERIES = 0
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         joined = {(r["query_id"], r["place"], r["name"]) for r in H.search(catalog, queries).collect()}
     finally:
-        H.BROADCAST_QUERIES = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", few)
     assert joined == {(q, i + 1, n) for q, ns in found.items() for i, n in enumerate(ns)}
 
 
