@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 #: ASCII marks that never join a letter or digit in one token. Apostrophes do, and angle and upright bars may spell special tokens.
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Small letters of ASCII and Latin-1 in UTF-8.
@@ -36,6 +36,8 @@ def default_path() -> str:
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """(stem, marks) whose ids in a row are the word's ids."""
+    if LETTERS(word):
+        return word, b""
     if b"<|" in word:  # may hold a special token
         return word, b""
     stem = word.rstrip(MARKS)
@@ -73,9 +75,10 @@ class WordIds:
         parts = list(map(_parts, words))
         known = self.number
         new = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in known]
-        letters = list(filter(LETTERS, new)) if self.ends_word is not None else []
+        letters = sorted(filter(LETTERS, new), key=bytes.isascii) if self.ends_word is not None else []
         if letters:
-            shown = b" ".join(letters).decode("latin-1").translate(self.shown).split(" ")
+            latin = next((i for i, w in enumerate(letters) if w.isascii()), len(letters))
+            shown = b" ".join(letters[:latin]).decode("latin-1").translate(self.shown).split() + b" ".join(letters[latin:]).decode().split()
             ids = self._encoded(self.letters, [" ".join(shown[i : i + CALL_WORDS]) for i in range(0, len(shown), CALL_WORDS)])[1]
             self._append(letters, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), ids)
             new = [w for w in new if w not in known]
