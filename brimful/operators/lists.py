@@ -48,16 +48,20 @@ def is_title(base: list[str], name: str) -> bool:
 
 
 class ListReader:
-    """The state of one list: section, inherited price, food region, and the item that waits for a price."""
+    """The state of one list: section, inherited price, food region, and the item that waits for a price.
+
+    Lines change the last item only, so `items` need not hold more of them than that one; `read_items` counts them all.
+    """
 
     def __init__(self, list_id: str) -> None:
-        self.list_id, self.items, self.gates = list_id, [], []
+        self.list_id, self.items, self.read_items = list_id, [], 0
         self.category, self.header_cents, self.in_food, self.waiting = "unknown", None, False, None
 
     def add(self, f: Any, name: str, cents: int | None, rankable: bool, size: float | None, category: str) -> None:
         price = cents if rankable else None
-        self.items.append({"list_id": self.list_id, "item_no": len(self.items), "name": name, "price_cents": price, "read_abv": f.read_abv, "read_size_oz": size, "category": category, "description": None, "line_no": f.line_no})
-        self.waiting = len(self.items) - 1 if price is None and rankable else None
+        self.items.append({"list_id": self.list_id, "item_no": self.read_items, "name": name, "price_cents": price, "read_abv": f.read_abv, "read_size_oz": size, "category": category, "description": None, "line_no": f.line_no})
+        self.read_items += 1
+        self.waiting = self.items[-1] if price is None and rankable else None
 
     def adopt(self, f: Any, size: float | None) -> None:
         item = self.items[-1]
@@ -86,7 +90,7 @@ class ListReader:
         category = "nonAlcoholic" if f.is_non_alcoholic else self.category
         if f.grid_cents is not None:
             if self.waiting is not None:
-                self.items[self.waiting]["price_cents"], self.waiting = f.grid_cents, None
+                self.waiting["price_cents"], self.waiting = f.grid_cents, None
                 return "grid_back"
             self.header_cents = f.grid_cents
             return "grid"
@@ -104,6 +108,11 @@ class ListReader:
         self.add(f, f.name, self.header_cents if f.price_cents is None else f.price_cents, f.is_rankable, f.read_size_oz, category)
         return "item"
 
+    def settled(self) -> list[dict]:
+        """The items that no later line can change; the reader lets go of them."""
+        done, self.items = self.items[:-1], self.items[-1:]
+        return done
+
 
 FEATURES = ("is_blank", "is_food_header", "is_attribute", "section", "is_sub_label", "is_food", "is_url", "is_non_alcoholic", "grid_cents", "marks", "is_description", "name", "price_cents", "is_rankable", "read_abv", "read_size_oz", "text", "base_words")
 
@@ -115,10 +124,11 @@ def _featured(lines: DataFrame) -> DataFrame:
     return line_features(lines).withColumn("base_words", F.when(F.col("marks").isNotNull(), title_words(base)))
 
 
-def _fold(lines: DataFrame, rows_of, schema: str) -> DataFrame:  # noqa: ANN001
-    """Runs a ListReader over every list; rows_of(reader) gives its rows.
+def _fold(lines: DataFrame, trace: bool, schema: str) -> DataFrame:
+    """Runs a ListReader over every list; its items, or with `trace` the gate of each line.
 
-    Lists are dealt by list_id and sorted, then many are read per batch; one that runs over a batch's end is carried on.
+    Lists are dealt by list_id and sorted, then many are read per batch. One that runs over a batch's end is carried on
+    with its last item alone, so a list of any length takes no more memory than a batch.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,11 +139,13 @@ def _fold(lines: DataFrame, rows_of, schema: str) -> DataFrame:  # noqa: ANN001
             batch = batch.astype(object).where(batch.notna(), None)
             for f in batch.itertuples(index=False):
                 if reader is None or reader.list_id != f.list_id:
-                    out += rows_of(reader) if reader else []
+                    out += reader.items if reader and not trace else []
                     reader = ListReader(f.list_id)
-                reader.gates.append({"list_id": f.list_id, "line_no": f.line_no, "gate": reader.read(f)})
+                gate = reader.read(f)
+                settled = reader.settled()
+                out += [{"list_id": f.list_id, "line_no": f.line_no, "gate": gate}] if trace else settled
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(rows_of(reader) if reader else [], columns=names)
+        yield pd.DataFrame(reader.items if reader and not trace else [], columns=names)
 
     dealt = lines.select("list_id", "line_no", "line").repartition("list_id").sortWithinPartitions("list_id", "line_no", "line")
     return _featured(dealt).select("list_id", "line_no", *FEATURES).mapInPandas(run, schema)
@@ -141,12 +153,12 @@ def _fold(lines: DataFrame, rows_of, schema: str) -> DataFrame:  # noqa: ANN001
 
 def parse_lists(lines: DataFrame) -> DataFrame:
     """Items of every list from lines (list_id string, line_no int, line string)."""
-    return _fold(lines, lambda r: r.items, ITEMS)
+    return _fold(lines, False, ITEMS)
 
 
 def trace_lists(lines: DataFrame) -> DataFrame:
     """(list_id, line_no, gate): what the reader took every line for."""
-    return _fold(lines, lambda r: r.gates, "list_id string, line_no int, gate string")
+    return _fold(lines, True, "list_id string, line_no int, gate string")
 
 
 def section_state(lines: DataFrame) -> DataFrame:

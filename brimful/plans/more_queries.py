@@ -55,14 +55,18 @@ def page_gutter_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.gutter_support(boxes, boxes.select("page_id", F.lit(0.5).alias("x")).distinct())
 
 
-@query()
+@query(
+    """SELECT page_id, 0.5e0 AS x, side, count(*) AS boxes, max(max_x) - min(min_x) AS span, avg(CASE WHEN named THEN 1 ELSE 0 END) AS names
+    FROM (SELECT *, CASE WHEN (min_x + max_x) / 2 < 0.5e0 THEN 'left' ELSE 'right' END AS side, regexp_matches(text, '[A-Za-z].*[A-Za-z]') AND text NOT IN ('ABV', '12oz') AS named FROM b WHERE text <> '') s GROUP BY page_id, side""",
+    b=DUCK_BOXES,
+)
 def page_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY8, LY11: boxes, span and names on both sides of the middle."""
     boxes = _boxes(spark, sf_dir)
     return Y.column_sides(boxes, boxes.select("page_id", F.lit(0.5).alias("x")).distinct())
 
 
-@query()
+@query("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY row_no) - 1 AS INT) AS line_no, string_agg(text, ' ' ORDER BY min_x, box_id) AS line FROM b WHERE text <> '' GROUP BY page_id, row_no", b=DUCK_BOXES)
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY1 to LY3, LY5, LY9, LY10: boxes assembled to lines."""
     return Y.assemble(_boxes(spark, sf_dir))
@@ -84,14 +88,26 @@ def page_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("param_id", "page_id").agg(F.avg(few.cast("int")).alias("f")).groupBy("param_id").agg(F.round(F.avg("f"), 9).alias("fragments"), F.count("*").alias("pages"))
 
 
-@query()
+@query(
+    f"""WITH {VOTES}, r AS (SELECT page_id, row_no, count(*) FILTER (text <> '') AS words, bool_or(regexp_matches(text, '[0-9]')) AS digit, coalesce(bool_or(after - max_x >= 0.045e0), false) AS wide FROM v GROUP BY page_id, row_no),
+    s AS (SELECT page_id, avg(CASE WHEN words <= 2 AND NOT digit THEN 1 ELSE 0 END) AS orphans, avg(CASE WHEN wide THEN 1 ELSE 0 END) AS fused FROM r GROUP BY page_id),
+    p AS (SELECT page_id, count(*) AS boxes, round(quantile_cont(max_y - min_y, 0.5), 9) AS median_height, min(min_x) AS "left", max(max_x) AS "right", min(min_y) AS bottom, max(max_y) AS top FROM b GROUP BY page_id)
+    SELECT s.page_id, orphans, fused, orphans + fused AS bad, boxes, median_height, "left", "right", bottom, top FROM s JOIN p ON s.page_id = p.page_id""",
+    b=DUCK_BOXES,
+)
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV4, EV9: orphans, fused rows and measures of each page."""
+    """EV4, EV9: orphans, fused rows and measures of each page; the median to nine decimals."""
     boxes = _boxes(spark, sf_dir)
-    return E.layout_score(boxes).join(E.page_summary(boxes), "page_id")
+    return E.layout_score(boxes).join(E.page_summary(boxes).withColumn("median_height", F.round("median_height", 9)), "page_id")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT page_id, string_agg('"' || text || '" @ ' || printf('%.4f', (min_x + max_x) / 2) || ',' || printf('%.4f', (min_y + max_y) / 2) || '  ' || printf('%.4f', max_x - min_x) || 'x' || printf('%.4f', max_y - min_y), chr(10) ORDER BY min_y + max_y DESC, min_x, box_id) AS shown FROM b GROUP BY page_id),
+    r AS (SELECT page_id, row_no, string_agg(text, ' ' ORDER BY box_id) AS line FROM b GROUP BY page_id, row_no),
+    o AS (SELECT page_id, 'lines (' || CAST(count(*) AS VARCHAR) || '):' || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS own FROM r GROUP BY page_id)
+    SELECT d.page_id, shown || chr(10) || chr(10) || own AS dump FROM d JOIN o ON d.page_id = o.page_id""",
+    b=DUCK_BOXES,
+)
 def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK7: boxes of each page as text, and its lines."""
     boxes = _boxes(spark, sf_dir)
@@ -151,7 +167,7 @@ def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.promote_candidate(first.unionByName(other))
 
 
-@query()
+@query("SELECT list_id AS photo_id, line_no, line, CAST(max(CASE WHEN line_no % 3 = 0 AND contains(line, '$') THEN 1 ELSE 0 END) OVER (PARTITION BY list_id) AS INT) AS candidate_no FROM l", l=LINES)
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY14: of two readings of each list, the better one."""
     lines = adapt(spark, sf_dir, LINES).withColumnRenamed("list_id", "photo_id")

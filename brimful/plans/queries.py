@@ -33,7 +33,9 @@ def query(sql: str | None = None, **tables: str) -> Callable[[Query], Query]:
         QUERY[function.__name__] = function
         if sql is not None:
             heads = ", ".join(f"{name} AS MATERIALIZED ({sql_of(text)})" for name, text in tables.items())
-            SQL[function.__name__] = (f"WITH {heads}" if heads else "") + (", " + sql.strip()[5:] if heads and sql.strip().startswith("WITH ") else " " + sql)
+            own = sql.strip()
+            word = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
+            SQL[function.__name__] = (f"{word}{heads}" if heads else "") + (", " + own.removeprefix(word) if heads and own.startswith("WITH ") else " " + own)
         return function
 
     return register
@@ -485,25 +487,36 @@ def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("list_id", "line_no", L.detect_abv(F.col("line")).alias("read_abv"), L.detect_size(F.col("line")).alias("read_size_oz"), priced.alias("price_cents"))
 
 
-@query(
-    """WITH f AS (SELECT *, CASE WHEN line = 'WINES' THEN 'wineGlass' WHEN line = 'DRAFT BEER' THEN 'draftBeer' WHEN line LIKE 'REDS $%' THEN 'wineGlass' WHEN line LIKE 'COCKTAILS...%' THEN 'cocktail' END AS section,
+#: What the lines of LINES are to a reader, in SQL: the running section and, from it, the gate that takes each line.
+STATES = """WITH f AS (SELECT *, CASE WHEN line = 'WINES' THEN 'wineGlass' WHEN line = 'DRAFT BEER' THEN 'draftBeer' WHEN line LIKE 'REDS $%' THEN 'wineGlass' WHEN line LIKE 'COCKTAILS...%' THEN 'cocktail' END AS section,
       CASE WHEN line LIKE 'REDS $%' THEN CAST(replace(line, 'REDS $', '') AS INT) * 100 WHEN line LIKE 'COCKTAILS...%' THEN 1200 END AS cents, line = 'KITCHEN' AS food FROM l),
-    g AS (SELECT *, sum(CASE WHEN section IS NOT NULL THEN 1 ELSE 0 END) OVER w AS h, sum(CASE WHEN section IS NOT NULL OR food THEN 1 ELSE 0 END) OVER w AS m FROM f WINDOW w AS (PARTITION BY list_id ORDER BY line_no))
-    SELECT list_id, line_no, coalesce(max(section) OVER (PARTITION BY list_id, h), 'unknown') AS category, coalesce(bool_or(food) OVER (PARTITION BY list_id, m), false) AS in_food, CASE WHEN cents < 0 THEN NULL ELSE max(cents) OVER (PARTITION BY list_id, h) END AS header_cents FROM g""",
-    l=LINES,
-)
+    g AS (SELECT *, sum(CASE WHEN section IS NOT NULL THEN 1 ELSE 0 END) OVER w AS h, sum(CASE WHEN section IS NOT NULL OR food THEN 1 ELSE 0 END) OVER w AS m FROM f WINDOW w AS (PARTITION BY list_id ORDER BY line_no)),
+    s AS (SELECT list_id, line_no, line, section, food, coalesce(max(section) OVER (PARTITION BY list_id, h), 'unknown') AS category, coalesce(bool_or(food) OVER (PARTITION BY list_id, m), false) AS in_food, max(cents) OVER (PARTITION BY list_id, h) AS header_cents FROM g)"""
+GATES = f"""{STATES},
+    t AS (SELECT *, CASE WHEN food THEN 'food_header' WHEN starts_with(line, '(') AND NOT in_food THEN 'attribute' WHEN section IS NOT NULL THEN 'section' WHEN in_food THEN 'in_food' ELSE 'item' END AS gate,
+      nullif(TRY_CAST(regexp_extract(line, '([0-9.]+)%', 1) AS DOUBLE), 0) AS stated, nullif(CAST(round(TRY_CAST(regexp_extract(line, '\\$([0-9.]+)$', 1) AS DOUBLE) * 100) AS INT), 0) AS own_cents FROM s)"""
+
+
+@query(f"{STATES} SELECT list_id, line_no, category, in_food, header_cents FROM s", l=LINES)
 def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2, ST3, LN11, LN12: the running section, its price and food regions, by windows."""
     return R.section_state(adapt(spark, sf_dir, LINES)).drop("line")
 
 
-@query()
+@query(
+    f"""{GATES}, n AS (SELECT *, sum(CASE WHEN gate = 'item' THEN 1 ELSE 0 END) OVER (PARTITION BY list_id ORDER BY line_no) - 1 AS item_no FROM t WHERE gate IN ('item', 'attribute'))
+    SELECT list_id, CAST(item_no AS INT) AS item_no, max(regexp_replace(regexp_replace(line, ' \\$[0-9.]+$', ''), ' [0-9.]+% ABV$', '')) FILTER (gate = 'item') AS name, max(coalesce(own_cents, header_cents)) FILTER (gate = 'item') AS price_cents,
+      arg_min(stated, line_no) FILTER (stated IS NOT NULL) AS read_abv, max(CASE WHEN gate = 'attribute' THEN 12e0 END) AS read_size_oz, max(category) FILTER (gate = 'item') AS category,
+      string_agg(line, ' ' ORDER BY line_no) FILTER (gate = 'attribute') AS description, max(line_no) FILTER (gate = 'item') AS line_no
+    FROM n WHERE item_no >= 0 GROUP BY list_id, item_no""",
+    l=LINES,
+)
 def list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1, LN14, LN16 to LN18: items of price lists read in order."""
+    """ST1, LN7, LN9, LN10, LN14, LN16: items of price lists read in order."""
     return R.parse_lists(adapt(spark, sf_dir, LINES))
 
 
-@query()
+@query(f"{GATES} SELECT list_id, line_no, gate FROM t", l=LINES)
 def list_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: what the reader took every line for."""
     return R.trace_lists(adapt(spark, sf_dir, LINES))
@@ -554,7 +567,13 @@ def session_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.apply_edits(adapt(spark, sf_dir, BASE), adapt(spark, sf_dir, EDITS))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT session_id, CAST(seq % 9 AS INT) AS item_id, kind, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM e WHERE kind = 'remove' OR (kind = 'add' AND trim(name) <> '')),
+    k AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS INT[]) AS live FROM o
+      UNION ALL SELECT k.session_id, o.n, CASE WHEN o.kind = 'remove' THEN list_filter(k.live, lambda i: i <> o.item_id) WHEN len(k.live) < 5 AND NOT list_contains(k.live, o.item_id) THEN list_append(k.live, o.item_id) ELSE k.live END FROM k JOIN o ON o.session_id = k.session_id AND o.n = k.n + 1)
+    SELECT session_id, unnest(arg_max(live, n)) AS item_id FROM k GROUP BY session_id""",
+    e=EDITS,
+)
 def session_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ED3: sessions that hold five items at most."""
     return D.capped_adds(adapt(spark, sf_dir, EDITS).withColumn("item_id", F.col("seq") % 9))
