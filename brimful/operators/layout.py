@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brimful.functions.lines import has_anchored_price
 from brimful.functions.vocabulary import SERVING_WORDS, UNIT_WORDS
+from brimful.operators.dealing import dealt
 
 NAME_TRIM = r"""^[$.,%|•·()/\-–—_"'*°:; ]+|[$.,%|•·()/\-–—_"'*°:; ]+$"""
 SERVING_TRIM = r"^[$.,%|•()/\-]+|[$.,%|•()/\-]+$"
@@ -215,15 +216,31 @@ def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
             raise ValueError(f"more than {MOST_PARAMS} parameter rows")
         choices = [(r["param_id"], Thresholds(**{k: v for k, v in r.items() if k in names})) for r in given]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("box_id")
+    def read(pages: list[list[pd.DataFrame]]) -> pd.DataFrame:
         out = []
-        for param_id, thresholds in choices:
-            lines = Page(page, thresholds).lines()
-            out += [(page["page_id"].iloc[0], param_id, i, line) for i, line in enumerate(lines)]
+        for parts in pages:
+            page = parts[0] if len(parts) == 1 else pd.concat(parts)
+            for param_id, thresholds in choices:
+                out += [(page["page_id"].iloc[0], param_id, i, line) for i, line in enumerate(Page(page, thresholds).lines())]
         return pd.DataFrame(out, columns=["page_id", "param_id", "line_no", "line"])
 
-    lines = tokens_of(boxes).groupBy("page_id").applyInPandas(run, "page_id string, param_id string, line_no int, line string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: list[pd.DataFrame] = []  # parts of the page that the next batch may go on with
+        for batch in batches:
+            ids = batch["page_id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(batch)]
+            whole = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.iloc[a:b]
+                if last and len(part) and part["page_id"].iloc[0] != last[0]["page_id"].iloc[0]:
+                    whole.append(last)
+                    last = []
+                last += [part] if len(part) else []
+            yield read(whole)
+        yield read([last] if last else [])
+
+    ordered = dealt(tokens_of(boxes), "page_id").sortWithinPartitions("page_id", "box_id")
+    lines = ordered.mapInPandas(run, "page_id string, param_id string, line_no int, line string")
     return lines.drop("param_id") if params is None else lines
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brimful.functions.vocabulary import PROMO_LEADS, RECIPE_WORDS, SECTION_WORDS, SIZE_WORDS, VESSEL_WORDS
 from brimful.functions.lines import line_features, title_words
+from brimful.operators.dealing import dealt
 
 ITEMS = "list_id string, item_no int, name string, price_cents int, read_abv double, read_size_oz double, category string, description string, line_no int"
 
@@ -147,8 +148,8 @@ def _fold(lines: DataFrame, trace: bool, schema: str) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(reader.items if reader and not trace else [], columns=names)
 
-    dealt = lines.select("list_id", "line_no", "line").repartition("list_id").sortWithinPartitions("list_id", "line_no", "line")
-    return _featured(dealt).select("list_id", "line_no", *FEATURES).mapInPandas(run, schema)
+    ordered = dealt(lines.select("list_id", "line_no", "line"), "list_id").sortWithinPartitions("list_id", "line_no", "line")
+    return _featured(ordered).select("list_id", "line_no", *FEATURES).mapInPandas(run, schema)
 
 
 def parse_lists(lines: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def section_state(lines: DataFrame) -> DataFrame:
 
     The part of parse_lists() that needs no items: attribute lines and price grids play no role.
     """
-    f = line_features(lines)
+    f = line_features(dealt(lines, "list_id"))
     upto = Window.partitionBy("list_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("list_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     is_header = F.col("section").isNotNull() & ~F.col("is_food_header")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brimful.operators.dealing import dealt
+
 ITEM = ("name", "category", "price_cents", "abv", "abv_estimated", "size_oz", "size_estimated", "count")
 STATE = ("session_id", "item_id", *ITEM)
 OPTIONAL = {"category": "string", "abv": "double", "size_oz": "double", "price": "double"}
@@ -93,4 +95,4 @@ def capped_adds(events: DataFrame, cap: int = 5) -> DataFrame:
 
     good = events.where("kind = 'remove' or (kind = 'add' and trim(name) <> '')").select("session_id", "seq", "item_id", "kind")
     kinds = dict(events.dtypes)
-    return good.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, f"session_id {kinds['session_id']}, item_id {kinds['item_id']}")
+    return dealt(good, "session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, f"session_id {kinds['session_id']}, item_id {kinds['item_id']}")
