@@ -179,12 +179,16 @@ class Page:
         if not self.t.chaining:
             return [row[np.argsort(self.left[row], kind="stable")].tolist() for row in self.bands(own)]
         tolerance, rows = np.median(self.height[own]) * self.t.row_tolerance, []
-        for box in own[np.argsort(self.left[own], kind="stable")].tolist():
-            gaps = [np.abs(self.mid_y[row] - self.mid_y[box]).min() for row in rows]
-            nearest = int(np.argmin(gaps)) if gaps else -1
-            if gaps and gaps[nearest] <= tolerance:
-                rows[nearest].append(box)
+        boxes = own[np.argsort(self.left[own], kind="stable")]
+        y, row_of = self.mid_y[boxes], np.empty(len(boxes), int)
+        for i, box in enumerate(boxes.tolist()):
+            gaps = np.abs(y[:i] - y[i])
+            least = gaps.min(initial=np.inf)
+            if least <= tolerance:
+                row_of[i] = row_of[:i][gaps == least].min()
+                rows[row_of[i]].append(box)
             else:
+                row_of[i] = len(rows)
                 rows.append([box])
         return sorted(rows, key=lambda row: -self.mid_y[row].max())
 
