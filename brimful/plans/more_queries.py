@@ -11,7 +11,7 @@ from brimful.operators.knowledge import brand_table, style_table
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
-from brimful.sources.readers import brand_dimension, export_boxes, read_catalog, read_exports
+from brimful.sources.readers import brand_dimension, export_boxes, read_bc, read_catalog, read_exports, read_facts, read_wholesale
 from brimful.sources.sinks import shared_path, write_catalog
 from brimful.streaming import streams as Z
 
@@ -126,6 +126,60 @@ def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_catalog(spark, f"{folder}/products", rows.limit(0)).select("source", "row_seq", "name", "category", "abv", "ml", "units", "upc")
 
 
+#: A shouted name of a part in title case, in SQL.
+TITLED = "array_to_string(list_transform(string_split(p_name || ' ' || p_brand, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+PRODUCT = ("source", "name", "category", "abv", "ml", "units", "upc")
+
+
+def _shouted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a name in capitals, a barcode and a key, as raw material of source files."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.upper(F.concat_ws(" ", "p_name", "p_brand")).alias("name"), (F.lit(100000000000) + F.col("p_partkey")).cast("string").alias("code"))
+
+
+@query(
+    f"""SELECT 'bc' AS source, {TITLED} AS name, CASE p_partkey % 4 WHEN 0 THEN 'bottledBeer' WHEN 1 THEN 'wineGlass' WHEN 2 THEN CASE WHEN p_partkey % 8 = 2 THEN 'cocktail' ELSE 'shot' END ELSE 'seltzer' END AS category,
+    p_size * 2e0 AS abv, p_size * 250e0 AS ml, CAST(nullif(p_partkey % 7, 0) AS INT) AS units, CAST(100000000000 + p_partkey AS VARCHAR) AS upc FROM part WHERE p_partkey % 10 <> 0""",
+)
+def source_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: a provincial price list, written from parts; every tenth row has no name."""
+    folder, k = shared_path(spark, "price-list"), F.col("k")
+    kind = F.when(k % 4 == 0, "Beer").when(k % 4 == 1, "Wine").when(k % 4 == 2, "Spirits").otherwise("Refreshment Beverage")
+    rows = _shouted(spark, sf_dir).select(
+        kind.alias("ITEM_CATEGORY_NAME"), F.when(k % 8 == 2, "Liqueur").alias("ITEM_SUBCATEGORY_NAME"), F.when(k % 10 != 0, F.col("name")).alias("PRODUCT_LONG_NAME"), F.col("code").alias("PRODUCT_BASE_UPC_NO"),
+        (F.col("size") * 0.25).alias("PRODUCT_LITRES_PER_CONTAINER"), (k % 7).alias("PRD_CONTAINER_PER_SELL_UNIT"), (F.col("size") * 2).alias("PRODUCT_ALCOHOL_PERCENT"),
+    )
+    rows.write.csv(folder, header=True)
+    return read_bc(spark, folder).select(*PRODUCT)
+
+
+@query(f"SELECT 'wholesale-wine' AS source, {TITLED} AS name, 'wineGlass' AS category, CAST(p_size AS DOUBLE) AS abv, p_size * 25e0 AS ml, CAST(p_partkey % 3 + 2 AS INT) AS units, CAST(100000000000 + p_partkey AS VARCHAR) AS upc FROM part")
+def source_wholesale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2, CAT10: a wholesale sheet, written from parts, with sizes in its descriptions and strength as proof."""
+    folder = shared_path(spark, "wholesale")
+    described = F.concat("name", F.lit(" "), (F.col("k") % 3 + 2).cast("string"), F.lit("/"), (F.col("size") * 25).cast("string"), F.lit("ML"))
+    _shouted(spark, sf_dir).select(described.alias("Item Description"), F.col("code").alias("UPC"), (F.col("size") * 2).alias("Proof")).write.csv(folder, header=True)
+    return read_wholesale(spark, folder, "wine").select(*PRODUCT)
+
+
+@query(
+    f"""SELECT 'facts' AS source, {TITLED} AS name, CASE p_partkey % 4 WHEN 0 THEN 'bottledBeer' WHEN 1 THEN 'wineGlass' ELSE 'shot' END AS category, CAST(p_size AS DOUBLE) AS abv, CASE WHEN p_partkey % 2 = 0 THEN p_size * 10e0 ELSE p_size * 25e0 END AS ml,
+    CAST(NULL AS INT) AS units, CAST(100000000000 + p_partkey AS VARCHAR) AS upc FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 5 <> 0 AND p_partkey % 49 <> 0""",
+)
+def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: a product dump in gzip, written from parts; some lines are broken, no drinks, or of other countries."""
+    folder, k = shared_path(spark, "facts"), F.col("k")
+    tag = F.when(k % 4 == 0, "en:beers").when(k % 4 == 1, "en:wines").when(k % 4 == 2, "en:vodka").otherwise("en:juices")
+    land = F.when(k % 5 == 0, "en:france").when(k % 5 == 1, "united-states").otherwise("en:canada")
+    size = F.col("size")
+    row = F.struct(
+        "code", F.col("name").alias("product_name"), F.array(tag).alias("categories_tags"), F.array(land).alias("countries_tags"), F.concat((size * 25).cast("string"), F.lit(" ml")).alias("quantity"),
+        F.when(k % 2 == 0, (size * 10).cast("string")).alias("product_quantity"), F.create_map(F.lit("alcohol_100g"), size.cast("string")).alias("nutriments"),
+    )
+    _shouted(spark, sf_dir).select(F.when(k % 49 == 0, "{broken").otherwise(F.to_json(row)).alias("value")).write.option("compression", "gzip").text(folder)
+    return read_facts(spark, folder).select(*PRODUCT)
+
+
 @query("SELECT lower(label) AS key, label, 'cocktail' AS category, abv, CAST(row_number() OVER (ORDER BY length(label) DESC, label) - 1 AS INT) AS priority FROM (SELECT p_name || ' ' || p_brand AS label, CAST(max(p_size) AS DOUBLE) AS abv FROM part GROUP BY 1) b")
 def source_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC8: a brand file, written from the names of parts, as a table of brands."""
