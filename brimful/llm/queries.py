@@ -111,5 +111,20 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.exact_dedup import groups
+
+    return groups(_documents(spark, sf_dir)).withColumn("digest", F.lower(F.hex("digest"))).withColumnRenamed("digest", "text_sha256")
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, length(coalesce(text, '')) AS n_chars,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER best = 1 AS kept, text_sha256
+FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup, op12_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL, "op12_exact_dedup": OP12_SQL}
