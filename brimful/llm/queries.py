@@ -126,5 +126,11 @@ FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NU
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup, op12_exact_dedup)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.whitening import whitened_components
+
+    return whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup, op12_exact_dedup, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL, "op12_exact_dedup": OP12_SQL}
