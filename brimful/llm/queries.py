@@ -111,6 +111,47 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brimful.llm.collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w)
+  GROUP BY ALL),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, k, a, ws, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, c.ws,
+         1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.k = c.cut AND l.phrase = array_to_string(c.ws[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - c.cut AND r.phrase = array_to_string(c.ws[c.cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, part AS phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.a IS NULL OR 100 * i.a < 50 * b.a),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brimful.llm.exact_dedup import groups
 
@@ -132,5 +173,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup, op12_exact_dedup, op13_whitening)}
-ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL, "op12_exact_dedup": OP12_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_preferences, op4_packing, op5_quality_classifier, op6_quality_rules, op7_fingerprints, op8_sampled_pieces, op9_token_files, op10_minhash_dedup, op11_collocations, op12_exact_dedup, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op3_preferences": OP3_SQL, "op11_collocations": OP11_SQL, "op12_exact_dedup": OP12_SQL}
