@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -18,9 +18,6 @@ NAME_TRIM = r"""^[$.,%|•·()/\-–—_"'*°:; ]+|[$.,%|•·()/\-–—_"'*°:
 SERVING_TRIM = r"^[$.,%|•()/\-]+|[$.,%|•()/\-]+$"
 
 
-MOST_PARAMS = 100
-
-
 @dataclass(frozen=True)
 class Thresholds:
     """Fixed values of the page cut, as fractions of the page."""
@@ -40,6 +37,11 @@ class Thresholds:
     bins: int = 100
     gutter_veto: bool = True
     chaining: bool = True
+    isolate: bool = False
+    #: For the cut by text heights only.
+    section_heights: float = 0.9
+    corridor_bins: int = 400
+    most_depth: int = 3
 
 
 def is_name_bearing(text: Column) -> Column:
@@ -64,6 +66,12 @@ def tokens_of(boxes: DataFrame) -> DataFrame:
     return boxes.where(text != "").withColumn("text", text).withColumn("is_name", is_name_bearing(F.col("text"))).withColumn("is_serving", is_serving_word(F.col("text"))).withColumn("is_price", is_price_like(F.col("text"))).withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
 
 
+def _stretches(said: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(verdicts, index of the first) of the rows between those that run across."""
+    bounds = np.concatenate([[-1], np.flatnonzero(said < 0), [len(said)]])
+    return [(said[a + 1 : b], a + 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 class Page:
     """Boxes of one page as arrays, and the recursive cut."""
 
@@ -150,18 +158,40 @@ class Page:
                     clusters.append((-int(members.sum()), -width[members].mean(), at[members].mean()))
         return [c[2] for c in sorted(clusters)]
 
-    def vetoed(self, own: np.ndarray, x: float) -> bool:
-        """More rows run across a gutter than leave it free."""
-        voters = crossers = 0
-        for row in self.bands(own):
+    def verdicts(self, bands: list[np.ndarray], x: float) -> np.ndarray:
+        """For each row 1 if it leaves a gutter free, -1 if it runs across, 0 if it lies on one side."""
+        out = np.zeros(len(bands), int)
+        for k, row in enumerate(bands):
             row = row[np.argsort(self.left[row], kind="stable")]
             a, b = self.right[row[:-1]], self.left[row[1:]]
             if ((a <= x) & (x <= b) & (b - a >= self.t.min_gutter)).any():
-                voters += 1
+                out[k] = 1
             else:
                 spans = ((self.left[row] < x) & (x < self.right[row])).any()
-                crossers += bool(spans or ((self.right[row] <= x).any() and (self.left[row] >= x).any()))
-        return crossers > voters
+                out[k] = -bool(spans or ((self.right[row] <= x).any() and (self.left[row] >= x).any()))
+        return out
+
+    def vetoed(self, own: np.ndarray, x: float) -> bool:
+        """More rows run across a gutter than leave it free."""
+        return self.verdicts(self.bands(own), x).sum() < 0
+
+    def isolated(self, own: np.ndarray) -> list[np.ndarray]:
+        """The rows above, in and below the longest run of rows that agree on a gutter which others run across; empty if there is none.
+
+        Rows on one side of the gutter do not end a run, rows across do; a run begins and ends with rows that leave it free.
+        """
+        bands = self.bands(own)
+        for x in self.gutters(own):
+            said = self.verdicts(bands, x)
+            stretches = [np.flatnonzero(part == 1) + at for part, at in _stretches(said)]
+            runs = [(free[0], free[-1] + 1) for free in stretches if len(free)]
+            if not runs or said.min() >= 0:  # where nobody runs across, a plain cut does
+                continue
+            start, end = max(runs, key=lambda r: r[1] - r[0])
+            middle = np.concatenate(bands[start:end])
+            if end - start >= self.t.min_votes and self.guarded(middle, x):
+                return [np.concatenate(part) for part in (bands[:start], bands[start:end], bands[end:]) if part]
+        return []
 
     def vertical(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         found = self.corridor(own) or self.central(own)
@@ -171,8 +201,8 @@ class Page:
         return found
 
     def leaves(self, own: np.ndarray) -> list[np.ndarray]:
-        parts = None if len(own) < self.t.min_group else self.horizontal(own) or self.vertical(own)
-        return [own] if parts is None else self.leaves(parts[0]) + self.leaves(parts[1])
+        parts = None if len(own) < self.t.min_group else self.horizontal(own) or (self.isolated(own) if self.t.isolate else None) or self.vertical(own)
+        return [own] if parts is None else [leaf for part in parts for leaf in self.leaves(part)]
 
     def chained(self, own: np.ndarray) -> list[list[int]]:
         """Rows of a leaf: each box, from the left, joins the row whose nearest member in height is closest."""
@@ -206,27 +236,118 @@ class Page:
         return [" ".join(self.text[i] for i in part) for row in rows for part in self.segments(row)]
 
 
+class HeightPage(Page):
+    """A page cut by text heights: sections first, then columns within each section.
+
+    White space between rows grows with the type, so a section ends where it reaches `section_heights` median heights
+    of a box; columns do not, so corridors and gutters stay fractions of the page.
+    """
+
+    def sections(self, own: np.ndarray) -> list[np.ndarray]:
+        bands = self.bands(own)
+        half = self.height / 2
+        bottom = np.array([(self.mid_y[b] - half[b]).min() for b in bands])
+        top = np.array([(self.mid_y[b] + half[b]).max() for b in bands])
+        ends = np.flatnonzero(bottom[:-1] - top[1:] >= np.median(self.height[own]) * self.t.section_heights) + 1
+        return [np.concatenate(bands[a:b]) for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(bands)], strict=True)]
+
+    def wide_enough(self, own: np.ndarray, x: float) -> tuple[np.ndarray, np.ndarray] | None:
+        parts = own[self.mid_x[own] < x], own[self.mid_x[own] >= x]
+        return parts if all(len(p) and self.right[p].max() - self.left[p].min() >= self.t.min_column_span for p in parts) else None
+
+    def empty_corridor(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The cut in the most central empty run of bins between the narrow boxes, if it is as wide as a gutter."""
+        narrow = own[self.right[own] - self.left[own] <= self.t.header_width]
+        if not len(narrow):
+            return None
+        lo, n = self.left[narrow].min(), self.t.corridor_bins
+        width = self.right[narrow].max() - lo
+        if width <= 0:
+            return None
+        at = lambda x: np.clip(((x - lo) / width * n).astype(int), 0, n - 1)
+        steps = np.zeros(n + 1, int)
+        np.add.at(steps, at(self.left[narrow]), 1)
+        np.add.at(steps, at(self.right[narrow]) + 1, -1)
+        full = np.flatnonzero(np.cumsum(steps)[:n])
+        begin, end = full[:-1] + 1, full[1:]
+        wide = (end - begin) / n * width >= self.t.min_gutter
+        middles = (lo + (begin + end) / 2 / n * width)[wide & (end > begin)]
+        return self.wide_enough(own, middles[np.argmin(np.abs(middles - 0.5))]) if len(middles) else None
+
+    def columns(self, own: np.ndarray, depth: int = 0) -> list[np.ndarray]:
+        if depth >= self.t.most_depth or len(own) < 4:
+            return [own]
+        parts = self.empty_corridor(own)
+        for x in [] if parts else self.gutters(own):
+            if parts := self.wide_enough(own, x):
+                break
+        return [own] if parts is None else [leaf for part in parts for leaf in self.columns(part, depth + 1)]
+
+    def rows(self) -> list[np.ndarray]:
+        every = np.arange(len(self.text))
+        leaves = [leaf for section in self.sections(every) for leaf in self.columns(section)] if len(every) else []
+        return [row[np.argsort(self.left[row], kind="stable")] for leaf in leaves for row in self.bands(leaf)]
+
+    def lines(self) -> list[str]:
+        return [" ".join(self.text[i] for i in row) for row in self.rows()]
+
+    def score(self) -> tuple[float, float, int]:
+        """Shares of lines with two words or fewer and no digit, and with a gap as wide as a gutter inside; and how many lines."""
+        rows = self.rows()
+        texts = self.lines()
+        orphans = sum(len(t.split()) <= 2 and not any(c.isdigit() for c in t) for t in texts)
+        fused = sum(bool((self.left[row[1:]] - self.right[row[:-1]] >= self.t.min_gutter).any()) for row in rows)
+        return (orphans / len(rows), fused / len(rows), len(rows)) if rows else (0.0, 0.0, 0)
+
+
+TOKEN = ("text", "min_x", "max_x", "min_y", "max_y", "is_name", "is_serving", "is_price", "has_letter")
+
+
+def with_params(boxes: DataFrame, params: DataFrame) -> DataFrame:
+    """(page_id, the columns of TOKEN as arrays, param): one row for each page and parameter row, dealt one by one.
+
+    The parameters, a table of choices to try, come as one array to every page; each page meets each of them.
+    """
+    token = F.struct("box_id", *TOKEN)
+    pages = tokens_of(boxes).groupBy("page_id").agg(F.array_sort(F.collect_list(token)).alias("b"))
+    choices = params.agg(F.collect_list(F.struct(*params.columns)).alias("p")).scalar()
+    tried = pages.withColumn("param", F.explode(choices))
+    arrays = [F.col(f"b.{c}").alias(c) for c in TOKEN]
+    return dealt(tried.withColumn("param_id", F.col("param.param_id")), "page_id", "param_id").select("page_id", *arrays, "param")
+
+
+def each_page(tried: DataFrame, kind: type[Page], read: Callable[[Page], list[tuple]], columns: str) -> DataFrame:
+    """(page_id, param_id, columns): what `read` makes of every page of with_params()."""
+    names, known = ["page_id", "param_id", *(c.split()[0] for c in columns.split(", "))], {f.name for f in fields(Thresholds)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                chosen = row.param if isinstance(row.param, dict) else row.param.asDict()
+                thresholds = Thresholds(**{k: v for k, v in chosen.items() if k in known and v is not None})
+                page = kind(pd.DataFrame({c: getattr(row, c) for c in TOKEN}), thresholds)
+                out += [(row.page_id, chosen["param_id"], *values) for values in read(page)]
+            yield pd.DataFrame(out, columns=names)
+
+    return tried.mapInPandas(run, f"page_id string, param_id string, {columns}")
+
+
 def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, line) of boxes (page_id, box_id, text, min_x, min_y, max_x, max_y), y upwards.
 
-    `params`, a few rows with param_id and columns named like Thresholds, has every page assembled under each of
-    them in turn; param_id comes out too.
+    `params`, rows with param_id and columns named like Thresholds (null: as usual), has every page assembled under each
+    of them in turn; param_id comes out too.
     """
-    names = {f.name for f in fields(Thresholds)}
-    choices = [(None, Thresholds())]
     if params is not None:
-        given = [r.asDict() for r in params.limit(MOST_PARAMS + 1).collect()]
-        if len(given) > MOST_PARAMS:
-            raise ValueError(f"more than {MOST_PARAMS} parameter rows")
-        choices = [(r["param_id"], Thresholds(**{k: v for k, v in r.items() if k in names})) for r in given]
+        return each_page(with_params(boxes, params), Page, lambda page: list(enumerate(page.lines())), "line_no int, line string")
 
     def read(pages: list[list[pd.DataFrame]]) -> pd.DataFrame:
         out = []
         for parts in pages:
             page = parts[0] if len(parts) == 1 else pd.concat(parts)
-            for param_id, thresholds in choices:
-                out += [(page["page_id"].iloc[0], param_id, i, line) for i, line in enumerate(Page(page, thresholds).lines())]
-        return pd.DataFrame(out, columns=["page_id", "param_id", "line_no", "line"])
+            out += [(page["page_id"].iloc[0], i, line) for i, line in enumerate(Page(page, Thresholds()).lines())]
+        return pd.DataFrame(out, columns=["page_id", "line_no", "line"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: list[pd.DataFrame] = []  # parts of the page that the next batch may go on with
@@ -244,17 +365,37 @@ def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
         yield read([last] if last else [])
 
     ordered = dealt(tokens_of(boxes), "page_id").sortWithinPartitions("page_id", "box_id")
-    lines = ordered.mapInPandas(run, "page_id string, param_id string, line_no int, line string")
-    return lines.drop("param_id") if params is None else lines
+    return ordered.mapInPandas(run, "page_id string, line_no int, line string")
+
+
+#: The variants of the bench: rules against gutters that rows run across and against columns of prices, and chaining of rows.
+VARIANTS = {"base": (False, False, 0.0, False), "veto": (True, False, 0.0, False), "isolate": (True, True, 0.0, False), "price_gutter": (False, False, 0.2, False), "chaining": (False, False, 0.0, True), "both": (False, False, 0.2, True), "usual": (True, False, 0.2, True)}
 
 
 def variants(spark: SparkSession) -> DataFrame:
-    """The four variants of the bench: with and without gutter veto and chaining."""
-    return spark.createDataFrame([("base", False, False), ("veto", True, False), ("chaining", False, True), ("both", True, True)], "param_id string, gutter_veto boolean, chaining boolean")
+    return spark.createDataFrame([(k, *v) for k, v in VARIANTS.items()], "param_id string, gutter_veto boolean, isolate boolean, min_names double, chaining boolean")
+
+
+def variant_bench(boxes: DataFrame, params: DataFrame) -> DataFrame:
+    """(page_id, param_id, lines, priced, complete): lines with a price and a letter, and those of them that name a strength."""
+    lines = assemble(boxes, params)
+    priced = F.contains("line", F.lit("$")) & F.col("line").rlike(r"\p{L}")
+    return lines.groupBy("page_id", "param_id").agg(F.count("*").alias("lines"), F.count_if(priced).alias("priced"), F.count_if(priced & F.contains(F.upper("line"), F.lit("ABV"))).alias("complete"))
+
+
+def height_sweep(spark: SparkSession, heights: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2, 1.5, 2.0)) -> DataFrame:
+    return spark.createDataFrame([(f"heights={k}", k) for k in heights], "param_id string, section_heights double")
+
+
+def sweep_scores(boxes: DataFrame, params: DataFrame) -> DataFrame:
+    """(page_id, param_id, orphans, fused, lines) of pages cut by text heights under each row of params."""
+    return each_page(with_params(boxes, params), HeightPage, lambda page: [page.score()], "orphans double, fused double, lines int")
 
 
-def gap_sweep(spark: SparkSession, multiples: tuple[float, ...] = (1.4, 1.6, 1.8, 2.0, 2.2, 2.4, 2.8, 3.2, 4.0)) -> DataFrame:
-    return spark.createDataFrame([(f"gap={m}", m) for m in multiples], "param_id string, section_gap_multiple double")
+def sweep_summary(scores: DataFrame) -> DataFrame:
+    """(param_id, orphans, fused, bad, pages): means over pages, to nine decimals."""
+    mean = lambda c: F.round(F.avg(c), 9)
+    return scores.groupBy("param_id").agg(mean("orphans").alias("orphans"), mean("fused").alias("fused"), mean(F.col("orphans") + F.col("fused")).alias("bad"), F.count("*").alias("pages"))
 
 
 def coverage_histogram(boxes: DataFrame, bins: int = 100) -> DataFrame:

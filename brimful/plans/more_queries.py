@@ -72,22 +72,6 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.assemble(_boxes(spark, sf_dir))
 
 
-@query()
-def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV7, EV8, LN19: lines and priced rows of each page under four variants of the layout."""
-    lines = Y.assemble(_boxes(spark, sf_dir), Y.variants(spark))
-    priced = F.contains("line", F.lit("$")) & F.col("line").rlike("[A-Za-z]")
-    return lines.groupBy("page_id").pivot("param_id", ["base", "veto", "chaining", "both"]).agg(F.count("line").alias("lines"), F.sum(priced.cast("int")).alias("priced"))
-
-
-@query()
-def page_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV6: the fragment score of nine section gaps, mean over pages."""
-    lines = Y.assemble(_boxes(spark, sf_dir), Y.gap_sweep(spark))
-    few = (F.size(F.split("line", " ")) <= 2) & ~F.col("line").rlike("[0-9]")
-    return lines.groupBy("param_id", "page_id").agg(F.avg(few.cast("int")).alias("f")).groupBy("param_id").agg(F.round(F.avg("f"), 9).alias("fragments"), F.count("*").alias("pages"))
-
-
 @query(
     f"""WITH {VOTES}, r AS (SELECT page_id, row_no, count(*) FILTER (text <> '') AS words, bool_or(regexp_matches(text, '[0-9]')) AS digit, coalesce(bool_or(after - max_x >= 0.045e0), false) AS wide FROM v GROUP BY page_id, row_no),
     s AS (SELECT page_id, avg(CASE WHEN words <= 2 AND NOT digit THEN 1 ELSE 0 END) AS orphans, avg(CASE WHEN wide THEN 1 ELSE 0 END) AS fused FROM r GROUP BY page_id),
