@@ -34,10 +34,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept = remove_repeats(rows if keys is None else keys, id_col="doc_id" if keys is None else "key", characters=True)
     kept = kept.select("doc_id", F.col("kept").cast("string").alias("left"))
     if keys is None:
-        joined = docs.drop("text").join(kept.withColumnRenamed("left", "text"), "doc_id")
+        joined = docs.drop("text").join(kept.select("doc_id", F.col("left").alias("text")), "doc_id")
     else:
         named = keys.select("key", "doc_id", "digest").join(kept.withColumnRenamed("doc_id", "key"), "key")
-        joined = by_key(docs.withColumn("digest", text_digest(F.col("text"))), named, "left").withColumn("text", F.col("left"))
+        boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+        return by_key(boxed, named, "left").select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
