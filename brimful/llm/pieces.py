@@ -1,7 +1,8 @@
 """SentencePiece encoding by forward-filtering backward-sampling, and lossless decoding.
 
-A text with its spaces shown as the vocabulary's space mark is cut before each run of spaces; no piece
-crosses such a cut, so the lattice of a text is the row of its segments' lattices. Forward sums over a
+A text with its spaces shown as the vocabulary's space mark is cut before each run of spaces, and where none comes
+for LONGEST characters, as in scripts without spaces, after so many; no piece crosses such a cut, so the lattice of
+a text is the row of its segments' lattices. Forward sums over a
 segment's lattice are computed once for every distinct segment while a bounded cache holds it; backward sampling
 then runs over all segments of a block at once, one piece a round. The random numbers are hashes of (seed, row key, segment
 number, round) and choices are made in integers, so a row's segmentation depends on nothing else.
@@ -35,6 +36,8 @@ LITERAL_MARK = "\udc81"  # cannot occur in decoded UTF-8
 #: Nodes in a worker's cache; beyond it the cache starts anew, and the next blocks fill it again.
 MAX_NODES = 2_000_000
 BLOCK_BYTES = 1 << 20
+#: Characters of a segment at most; all segments of a block advance together, so this also bounds the rounds.
+LONGEST = 256
 #: A bound above every draw.
 ALWAYS = np.uint32((1 << 32) - 1)
 
@@ -187,6 +190,11 @@ class Lattices:
         cut[1:] &= ~space[:-1]
         cut[ends[:-1]] = True
         cuts = np.flatnonzero(cut)
+        if len(cuts) and np.diff(cuts, append=len(shown)).max() > LONGEST:
+            begins = (shown & 0xC0) != 0x80
+            place = np.cumsum(begins) - 1
+            place -= np.repeat(place[cuts], np.diff(cuts, append=len(shown)))  # of a character in its segment
+            cuts = np.flatnonzero(cut | begins & (place % LONGEST == 0))
         bounds = np.append(cuts, len(shown)).astype(np.int64)
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(shown)])
         coded = column.dictionary_encode()

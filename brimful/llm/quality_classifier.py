@@ -115,10 +115,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
-    """Trees from at most max_rows labelled rows outside the held-out fold."""
+    """Trees from at most max_rows labelled ids outside the held-out fold; of rows with one id the least text counts."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts(docs).join(F.broadcast(sample), "doc_id")
+    rows = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
