@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,31 +230,49 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_report(done.ranked, done.resolved)
 
 
+def _edits_in_parts(spark: SparkSession, sf_dir: str, folder: str, then: Callable[[DataFrame], None], parts: int = 4) -> None:
+    """Lays the edit log down in four parts, each of which `then` has to take in as a stream before the next one comes."""
+    edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
+    longest = edits.agg(F.max("seq")).first()[0] or 0
+    for part in range(parts):
+        edits.where((F.col("seq") > part * longest / parts) & (F.col("seq") <= (part + 1) * longest / parts)).write.mode("append").parquet(f"{folder}/events")
+        then(spark.readStream.schema(edits.schema).parquet(f"{folder}/events"))
+
+
 @query(EDITED, e=EDITS, s=BASE + " WHERE false")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM1: live items of sessions after their edit stream, which comes in four parts; state is carried from one to the next."""
+    """SM1: live items of sessions after their edit stream; state is carried from one part to the next."""
     folder = shared_path(spark, "sessions")
-    edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
-    longest = edits.agg(F.max("seq")).first()[0] or 0
+    keep = lambda batch, epoch: Z.write_epoch(batch, f"{folder}/live", epoch)
+    _edits_in_parts(spark, sf_dir, folder, lambda events: Z.started(Z.stream_sessions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True), spark).awaitTermination())
+    return Z.current_rankings(spark, f"{folder}/live").drop("seq", "late")
+
+
+@query(
+    """SELECT session_id, item_id, name, unit_oz, count, abv, price_cents, total_oz, drinks, drinks / (price_cents / 100e0) AS value,
+      CASE WHEN drinks > 0 THEN price_cents / 100e0 / drinks ELSE CAST('Infinity' AS DOUBLE) END AS dollars_per_drink,
+      row_number() OVER (PARTITION BY session_id ORDER BY drinks / (price_cents / 100e0) DESC, name, item_id) AS rank FROM (
+    SELECT *, greatest(0e0, total_oz) * (greatest(0e0, abv) / 100) / 0.6e0 AS drinks FROM (SELECT session_id, item_id, name, size_oz AS unit_oz, count, abv, price_cents, size_oz * greatest(1, count) AS total_oz FROM d WHERE price_cents > 0) a) b""",
+    e=EDITS, s=BASE + " WHERE false", d=EDITED,
+)
+def stream_session_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SM1, VL5: the ranking of each session's packages that the stream gave last."""
+    folder = shared_path(spark, "sessions")
+    _edits_in_parts(spark, sf_dir, folder, lambda events: Z.stream_session_rankings(events, f"{folder}/ranked", f"{folder}/state").awaitTermination())
+    return Z.current_rankings(spark, f"{folder}/ranked").drop("seq", "late")
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{folder}/live")
 
-    for part in range(4):
-        edits.where((F.col("seq") > part * longest / 4) & (F.col("seq") <= (part + 1) * longest / 4)).write.mode("append").parquet(f"{folder}/events")
-        events = spark.readStream.schema(edits.schema).parquet(f"{folder}/events")
-        Z.stream_sessions(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    live = spark.read.parquet(f"{folder}/live")
-    last = live.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
-    return live.join(last, ["session_id", "epoch"]).where("item_id is not null").drop("epoch", "seq", "late")
+#: Lines in a file of the stream of lists; a batch takes one file, so their number grows with the input.
+LINES_PER_FILE = 50_000
 
 
 @query()
 def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM2: lists ranked as their files arrive."""
+    """SM2: lists ranked as their files arrive, one file a batch; each list is in one file."""
     folder = shared_path(spark, "lists")
-    adapt(spark, sf_dir, LINES).repartition(4, "list_id").write.parquet(f"{folder}/lines")
-    lines = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/lines")
-    keep = lambda ranked, epoch: ranked.write.mode("append").parquet(f"{folder}/ranked")
-    Z.stream_lists(lines, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/ranked")
+    lines = adapt(spark, sf_dir, LINES)
+    lines.repartition(lines.count() // LINES_PER_FILE + 1, "list_id").write.parquet(f"{folder}/lines")
+    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    keep = lambda ranked, epoch: Z.write_epoch(ranked, f"{folder}/ranked", epoch)
+    Z.stream_lists(stream, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/ranked").drop("epoch")

@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from brimful.operators.sessions import valid_edits
 from brimful.operators.value import rank_packages
@@ -16,7 +16,9 @@ from brimful.plans.pipeline import rank_lists
 
 ITEM = "item_id long, name string, category string, price_cents int, abv double, abv_estimated boolean, size_oz double, size_estimated boolean, count int"
 OUTPUT = f"session_id long, seq long, late long, {ITEM}"
-STATE = "last long, late long, items string"
+SEEN = "last long, late long"
+FIELDS = tuple(c.split()[0] for c in ITEM.split(", "))
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _known(x: Any) -> Any:
@@ -46,38 +48,101 @@ def apply_one(items: dict[int, dict[str, Any]], event: Any) -> None:
             item.update(size_oz=float(event.size_oz), size_estimated=False)
 
 
+class Session(StatefulProcessor):
+    """One session: a state entry for each live item, the last seq and the late events; it ends after `idle_ms` without events."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "item_id long", ITEM.removeprefix("item_id long, "))
+        self.seen = handle.getValueState("seen", SEEN)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last, late = self.seen.get() if self.seen.exists() else (-1, 0)
+        events = pd.concat(list(rows)).sort_values("seq")
+        late += int((events["seq"] <= last).sum())
+        events = events[events["seq"] > last]
+        stored = {i: self.items.getValue((i,)) for i in events["item_id"].unique().tolist()}
+        before = {i: dict(zip(FIELDS[1:], values, strict=True)) for i, values in stored.items() if values is not None}
+        after = {i: dict(values) for i, values in before.items()}
+        for event in events.itertuples(index=False):
+            apply_one(after, event)
+        for i in stored:
+            if i in after and after[i] != before.get(i):
+                self.items.updateValue((i,), tuple(after[i][c] for c in FIELDS[1:]))
+            elif i in before and i not in after:
+                self.items.removeKey((i,))
+        last = max([last, *events["seq"].tolist()])
+        self.seen.update((int(last), late))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        live = [(key[0], last, late, i, *values) for (i,), values in self.items.iterator()]
+        out = pd.DataFrame(live or [(key[0], last, late, *[None] * len(FIELDS))], columns=["session_id", "seq", "late", *FIELDS])
+        yield out.astype({"item_id": "Int64", "price_cents": "Int32", "count": "Int32", "abv": "float64", "size_oz": "float64", "abv_estimated": "boolean", "size_estimated": "boolean"})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.items.clear()
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_sessions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """After each batch the live items of every session that changed, as of its last event.
 
     Events (see valid_edits()) of a session are applied by seq within a batch; batches come in order. An event whose
-    seq is not above the last one applied came too late: it is left out and counted in `late`. A session without
-    items gives one row without item_id. State is one row for each session; with `idle_ms` it goes when a session
-    has had no event for so long, and later events begin a new session. That needs a query that goes on: Spark runs
-    batches for time-outs even without data, so a trigger of available data would never end.
+    seq is not above the last one applied in an earlier batch came too late: it is left out and counted in `late`. A
+    session without items gives one row without item_id. A batch reads and writes the state of the items that it edits.
+    With `idle_ms` a session's state goes when it has had no event for so long, and later events begin a new one; that
+    needs a query that goes on, since Spark runs batches for timers even without data. Start it with started().
     """
-    import json
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, late, stored = state.get if state.exists else (-1, 0, "[]")
-        items = {i: values for i, values in json.loads(stored)}
-        rows = pd.concat(list(batches)).sort_values("seq")
-        late += int((rows["seq"] <= last).sum())
-        for event in rows[rows["seq"] > last].itertuples(index=False):
-            apply_one(items, event)
-            last = int(event.seq)
-        state.update((last, late, json.dumps(list(items.items()))))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        columns = [c.split()[0] for c in OUTPUT.split(", ")]
-        live = [{"item_id": i, **v} for i, v in items.items()] or [{}]
-        out = pd.DataFrame([{"session_id": key[0], "seq": last, "late": late, **row} for row in live], columns=columns)
-        yield out.astype({"item_id": "Int64", "price_cents": "Int32", "count": "Int32", "abv": "float64", "size_oz": "float64", "abv_estimated": "boolean", "size_estimated": "boolean"})
+    mode = "ProcessingTime" if idle_ms else "None"
+    return valid_edits(events).groupBy("session_id").transformWithStateInPandas(Session(idle_ms), OUTPUT, "Update", mode)
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query with the state store that states of maps and timers need; other queries keep theirs."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def write_epoch(rows: DataFrame, folder: str, epoch: int) -> None:
+    """Writes a batch as a partition of its own. An epoch that runs again after a lost driver replaces what it wrote before."""
+    rows.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return valid_edits(events).groupBy("session_id").applyInPandasWithState(update, OUTPUT, STATE, "update", timeout)
+
+def stream_session_rankings(events: DataFrame, folder: str, checkpoint: str, idle_ms: int | None = None, once: bool = True) -> StreamingQuery:
+    """Starts a query that ranks every session whose items changed, and writes its ranking into the epoch's partition of `folder`.
+
+    A session with nothing to rank gives one row without item_id, so that a reader sees that its last ranking is gone.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        rows = batch.persist()  # used twice below; Spark computes a lost part again
+        changed = rows.select("session_id", "seq", "late").distinct()
+        ranked = rank_live(rows.where("item_id is not null")).withColumnRenamed("list_id", "session_id").withColumnRenamed("item_no", "item_id")
+        write_epoch(changed.join(ranked, "session_id", "left"), folder, epoch)
+        rows.unpersist()
+
+    writer = stream_sessions(events, idle_ms).writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return started(writer.trigger(availableNow=True) if once else writer, events.sparkSession)
+
+
+def current_rankings(spark: SparkSession, folder: str) -> DataFrame:
+    """The last ranking of every session in the folder of stream_session_rankings()."""
+    rows = spark.read.parquet(folder)
+    last = rows.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, ["session_id", "epoch"]).where("item_id is not null").drop("epoch")
 
 
 def rank_live(items: DataFrame) -> DataFrame:
@@ -85,8 +150,11 @@ def rank_live(items: DataFrame) -> DataFrame:
     return rank_packages(items.select(F.col("session_id").alias("list_id"), F.col("item_id").alias("item_no"), "name", F.col("size_oz").alias("unit_oz"), "count", "abv", "price_cents"))
 
 
-def stream_lists(lines: DataFrame, brands: DataFrame, styles: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
-    """Starts a query that ranks the lists of each micro-batch; every list is complete within one batch."""
+def stream_lists(lines: DataFrame, brands: DataFrame, styles: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Starts a query that ranks the lists of each micro-batch; every list is complete within one batch.
+
+    `sink` may get an epoch again after a lost driver; write_epoch() then leaves the rows there once.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         sink(rank_lists(batch, brands, styles).ranked, epoch)

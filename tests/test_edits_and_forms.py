@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 EVENTS = "session_id long, seq long, item_id long, kind string, name string, value double, count int, category string, abv double, size_oz double, price double"
@@ -63,7 +65,7 @@ def test_batch_edits_equal_a_fold(spark):
 
 
 def test_stream_of_parts_equals_batch_and_counts_late_events(spark, tmp_path):
-    from brimful.streaming.streams import stream_sessions
+    from brimful.streaming.streams import started, stream_sessions
 
     events = _log(random.Random(6))
     folder, live = f"{tmp_path}/events", []
@@ -71,8 +73,8 @@ def test_stream_of_parts_equals_batch_and_counts_late_events(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(folder)
         stream = stream_sessions(spark.readStream.schema(EVENTS).parquet(folder))
-        query = stream.writeStream.outputMode("update").foreachBatch(lambda b, e: live.append(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda b, e: live.append(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        started(writer, spark).awaitTermination()
     last = {}
     for batch in live:
         for session in {r["session_id"] for r in batch}:
@@ -81,6 +83,40 @@ def test_stream_of_parts_equals_batch_and_counts_late_events(spark, tmp_path):
     assert got == _fold({}, events) and last[3][0]["late"] == 1 and last[4][0]["late"] == 0
 
 
+def test_an_epoch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
+    from brimful.operators.sessions import STATE, apply_edits
+    from brimful.streaming import streams as z
+
+    events = _log(random.Random(9))
+    spark.createDataFrame([e for e in events if e[1] < 20], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events")
+    spark.createDataFrame([e for e in events if e[1] >= 20], EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    write, calls = z.write_epoch, []
+
+    def lost(rows, folder, epoch):
+        """The driver is lost after an epoch is written and before Spark notes that it is done."""
+        write(rows, folder, epoch)
+        calls.append(epoch)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+
+    stream = lambda: spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/events")
+    z.write_epoch = lost
+    try:
+        with pytest.raises(Exception, match="lost"):
+            z.stream_session_rankings(stream(), f"{tmp_path}/ranked", f"{tmp_path}/state").awaitTermination()
+        z.stream_session_rankings(stream(), f"{tmp_path}/ranked", f"{tmp_path}/state").awaitTermination()
+    finally:
+        z.write_epoch = write
+    assert calls == [0, 0]
+    nothing = spark.createDataFrame([], "session_id long, item_id long, name string, category string, price_cents int, abv double, abv_estimated boolean, size_oz double, size_estimated boolean, count int").select(*STATE)
+    want = z.rank_live(apply_edits(nothing, spark.createDataFrame(events, EVENTS)))
+    got = z.current_rankings(spark, f"{tmp_path}/ranked")
+    columns = ("name", "rank", "value", "total_oz")
+    key = lambda r: (r[0], r[1])
+    assert sorted(((r["session_id"], r["item_id"], *(r[c] for c in columns)) for r in got.collect()), key=key) == sorted(((r["list_id"], r["item_no"], *(r[c] for c in columns)) for r in want.collect()), key=key)
+    assert want.count() > 10
+
+
 def test_misread_names_find_their_brand_whatever_the_number_of_brands(spark):
     from brimful.operators.knowledge import brand_table, glyph_best, glyph_match
     from brimful.functions.text import glyph_tokens
