@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimful.functions.binding import let
 from brimful.functions.sizes import abv_ceiling, default_abv, default_pour_oz, suggest_package, suggest_pour
 from brimful.functions.text import glyph_tokens
 from brimful.functions.vocabulary import BRANDS, CATEGORIES, STYLES
@@ -46,97 +44,97 @@ def style_match(names: DataFrame, styles: DataFrame) -> DataFrame:
     return _contained(names.select("name").distinct(), keyed, F.struct("label", "natural_category", "abv", "size_oz")).select("name", "r.*")
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def window_distance(menu: list[str], brand: list[str], several: bool) -> int | None:
-    """Edits between words in turn; a word over its budget only counts beside an exact one."""
-    total, exact, over = 0, 0, False
-    for i, (a, b) in enumerate(zip(menu, brand, strict=True)):
-        if a == b:
-            exact += 1
-        elif not (i == len(menu) - 1 and several and len(a) >= 3 and len(b) > len(a) and b.startswith(a)):
-            edits, longest = edit_distance(a, b), max(len(a), len(b))
-            total += edits
-            over |= edits > (0 if longest < 5 else 1 if longest < 9 else 2)
-    return None if over and not exact else total
-
-
-def glyph_best(menu: list[str], brands: list[tuple[int, list[str]]]) -> int | None:
-    """The index of the brand that a misread name most likely is."""
-    best: tuple[tuple[int, int, int], int] | None = None
-    for index, brand in brands:
-        chars = sum(map(len, brand))
-        if chars < 5:
-            continue
-        budget = 1 if chars < 12 else 2 if chars < 20 else 3
-        offers = []
-        if len(brand) <= len(menu):
-            offers += [(window_distance(menu[s : s + len(brand)], brand, len(brand) > 1), 0, -chars) for s in range(len(menu) - len(brand) + 1)]
-        elif len(menu) >= 2:
-            for s in range(len(brand) - len(menu) + 1):
-                part = brand[s : s + len(menu)]
-                if sum(map(len, part)) >= 0.5 * chars:
-                    offers.append((window_distance(menu, part, True), 1, chars))
-        joined = "".join(brand)
-        offers += [(d, 2, -chars) for word in menu if abs(len(word) - len(joined)) <= 2 and (d := edit_distance(word, joined)) <= 2]
-        for offer in offers:
-            if offer[0] is not None and offer[0] <= budget and (best is None or offer < best[0]):
-                best = (offer, index)
-    return None if best is None else best[1]
+#: Letters that a misread word may have wrong, by the longer of two words; a brand's letters in all, likewise.
+WORD_EDITS, NAME_EDITS = ((5, 0), (9, 1)), ((12, 1), (20, 2))
+MOST_EDITS_OF_A_WORD, MOST_EDITS_OF_A_NAME = 2, 3
+LEAST_LETTERS = 5
+
+
+def _stepped(length: Column, steps: tuple[tuple[int, int], ...], beyond: int) -> Column:
+    out = F.lit(beyond)
+    for below, value in reversed(steps):
+        out = F.when(length < below, value).otherwise(out)
+    return out
+
+
+def _word_cost(read: Column, own: Column, may_be_cut: Column) -> Column:
+    """struct(edits, exact, beyond) of a word as read and a brand's own; a word cut short at the end of a name costs nothing."""
+    cut = may_be_cut & (F.length(read) >= 3) & (F.length(own) > F.length(read)) & F.startswith(own, read)
+    edits = F.when(cut, 0).otherwise(F.levenshtein(read, own))
+    over = edits > _stepped(F.greatest(F.length(read), F.length(own)), WORD_EDITS, MOST_EDITS_OF_A_WORD)
+    return F.struct(edits.alias("edits"), (read == own).alias("exact"), over.alias("beyond"))
+
+
+def _letters(words: Column) -> Column:
+    return F.length(F.array_join(words, ""))
+
+
+def glyph_cost(menu: Column, brand: Column) -> Column:
+    """Least struct(edits, tier, size) of the ways to read a brand's words out of a name's; null where none is near enough.
+
+    Tier 0: the brand stands in the name; 1: the name is a part, by letters at least half, of the brand; 2: one word is the
+    whole brand run together. The shorter of the two slides along the other; a word with too many edits only counts
+    beside one that is exact.
+    """
+    both, letters = F.least(F.size(menu), F.size(brand)), _letters(brand)
+    stands = F.size(brand) <= F.size(menu)
+
+    def window(shift: Column) -> Column:
+        read = F.slice(menu, F.when(stands, shift).otherwise(0) + 1, both)
+        own = F.slice(brand, F.when(stands, 0).otherwise(shift) + 1, both)
+        last = lambda i: (i == both - 1) & (both > 1)
+        costs = F.transform(F.sequence(F.lit(0), both - 1), lambda i: _word_cost(F.get(read, i), F.get(own, i), last(i)))
+        lone = let(costs, lambda c: F.when(~F.exists(c, lambda x: x.beyond) | F.exists(c, lambda x: x.exact), F.aggregate(c, F.lit(0), lambda total, x: total + x.edits)))
+        enough = stands | ((F.size(menu) >= 2) & (_letters(own) * 2 >= letters))
+        return F.struct(F.when(enough, lone).alias("edits"), F.when(stands, 0).otherwise(1).alias("tier"), F.when(stands, -letters).otherwise(letters).alias("size"))
+
+    def run_together(word: Column) -> Column:
+        edits = F.levenshtein(word, F.array_join(brand, ""), 2)
+        return F.struct(F.when(edits >= 0, edits).alias("edits"), F.lit(2).alias("tier"), (-letters).alias("size"))
+
+    ways = F.concat(F.transform(F.sequence(F.lit(0), F.abs(F.size(menu) - F.size(brand))), window), F.transform(menu, run_together))
+    near = F.filter(ways, lambda w: w.edits <= _stepped(letters, NAME_EDITS, MOST_EDITS_OF_A_NAME))
+    return F.when((F.size(menu) > 0) & (F.size(brand) > 0), F.array_min(near))
 
 
 def _resembling(words: DataFrame, brands: DataFrame) -> DataFrame:
     """(word, priority): brands with a word, or all words in one, that a menu word could stand for.
 
-    A unit of a brand is split into one part more than edits are allowed, so that a part is left whole in the word,
-    moved by that many places at most; of a part up to three letters are looked up. A word cut short shares its beginning.
+    A unit of a brand is split into one part more than edits are allowed, so that a part is left whole in the word, moved
+    by that many places at most, and the word is longer or shorter by as many letters. Words and units meet where part,
+    place and length are equal. A word cut short meets the units that begin as it does.
     """
-    length = F.length("unit")
+    length, edits = F.length("unit"), F.col("edits")
     single = F.explode(F.transform("tokens", lambda t: F.struct(t.alias("unit"), F.when(F.length(t) >= 7, 2).when(F.length(t) >= 4, 1).otherwise(0).alias("edits"))))
     joined = brands.select("priority", F.array_join("tokens", "").alias("unit"), F.lit(2).alias("edits"))
-    units = brands.select("priority", single.alias("u")).select("priority", "u.*").unionByName(joined).where(length > F.col("edits"))
-    begins = F.transform(F.sequence(F.lit(0), F.col("edits")), lambda k: F.floor(k * length / (F.col("edits") + 1)).cast("int"))
-    ends = lambda k: F.floor((k + 1) * length / (F.col("edits") + 1)).cast("int")
+    units = brands.select("priority", single.alias("u")).select("priority", "u.*").unionByName(joined).where(length > edits)
+    begins = F.transform(F.sequence(F.lit(0), edits), lambda k: F.floor(k * length / (edits + 1)).cast("int"))
+    ends = lambda k: F.floor((k + 1) * length / (edits + 1)).cast("int")
     part = F.explode(F.transform(begins, lambda at, k: F.struct((at + 1).alias("at"), F.substring("unit", at + 1, F.least(F.lit(3), ends(k) - at)).alias("piece"))))
-    keyed = units.select("priority", "unit", "edits", part.alias("p")).select("priority", "unit", "edits", "p.*").distinct()
-    cut = brands.select("priority", F.explode("tokens").alias("unit")).select("priority", "unit", F.lit(-1).alias("edits"), F.lit(1).alias("at"), F.substring("unit", 1, 3).alias("piece")).distinct()
+    around = lambda x: F.explode(F.sequence(F.greatest(F.lit(1), x - edits), x + edits))
+    keyed = units.select("priority", "unit", "edits", part.alias("p")).select("priority", "unit", "edits", "p.piece", around(F.col("p.at")).alias("place"))
+    keyed = keyed.withColumn("size", around(length)).distinct()
     places = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(*(F.struct(i.alias("place"), F.substring("word", i, F.lit(n)).alias("piece")) for n in (1, 2, 3))))))
-    held = words.select("word", places.alias("p")).select("word", "p.*").where("length(piece) > 0").distinct()
-    near = (F.abs(F.col("place") - F.col("at")) <= F.col("edits")) & (F.abs(F.length("word") - length) <= F.col("edits")) & (F.levenshtein("word", "unit") <= F.col("edits"))
-    shortened = (F.col("edits") == -1) & (F.col("place") == 1) & (F.length("word") >= 3) & F.startswith("unit", "word")
-    return held.join(keyed.unionByName(cut), "piece").where(near | shortened).select("word", "priority").distinct()
+    held = words.where("word <> ''").select("word", F.length("word").alias("size"), places.alias("p")).select("word", "size", "p.*").distinct()
+    near = held.join(keyed, ["piece", "place", "size"]).where(F.levenshtein("word", "unit") <= edits).select("word", "priority")
+    begun = brands.select("priority", F.explode("tokens").alias("unit")).select("priority", "unit", F.substring("unit", 1, 3).alias("piece"))
+    cut = words.where("length(word) >= 3").select("word", F.substring("word", 1, 3).alias("piece")).join(begun, "piece").where(F.startswith("unit", "word"))
+    return near.unionByName(cut.select("word", "priority")).distinct()
 
 
 def glyph_match(names: DataFrame, brands: DataFrame) -> DataFrame:
     """(name, label, category, abv) of brands whose glyphs a misread name resembles.
 
-    Names and brands meet where a word of one could be a misread word of the other; each name is then compared with
-    its own candidates only. Priorities of brands are distinct.
+    Names and brands meet where a word of one could be a misread word of the other; of a name's brands the one that
+    takes the least edits is chosen, then by the order of glyph_cost(), then the first. Priorities of brands are distinct.
     """
-    kinds = "name string, label string, category string, abv double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, menu, brands_of in zip(batch["name"], batch["menu"], batch["brands"], strict=True):
-                best = glyph_best(list(menu), [(i, list(b["tokens"])) for i, b in enumerate(brands_of)])
-                if best is not None:
-                    out.append((name, *(brands_of[best][c] for c in ("label", "category", "abv"))))
-            yield pd.DataFrame(out, columns=["name", "label", "category", "abv"])
-
     menus = names.select("name").distinct().select("name", glyph_tokens(F.lower("name")).alias("menu"))
-    table = brands.select("priority", "label", "category", "abv", glyph_tokens(F.col("key")).alias("tokens"))
+    table = brands.select("priority", "label", "category", "abv", glyph_tokens(F.col("key")).alias("tokens")).where(_letters(F.col("tokens")) >= LEAST_LETTERS)
     owned = menus.select("name", F.explode(F.array_distinct("menu")).alias("word"))
     met = owned.join(_resembling(owned.select("word").distinct(), table), "word").select("name", "priority").distinct()
-    candidates = met.join(table, "priority").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("priority", "tokens", "label", "category", "abv"))).alias("brands"))
-    return menus.join(candidates, "name").select("name", "menu", "brands").mapInPandas(run, kinds)
+    rated = met.join(table, "priority").join(menus, "name").withColumn("cost", glyph_cost(F.col("menu"), F.col("tokens"))).where("cost is not null")
+    best = rated.groupBy("name").agg(F.min_by(F.struct("label", "category", "abv"), F.struct("cost", "priority")).alias("r"))
+    return best.select("name", "r.*")
 
 
 def estimate_note(kind: Column, matched: Column, abv: Column, category: Column) -> Column:

@@ -386,13 +386,6 @@ def name_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.profile(adapt(spark, sf_dir, NAMES), adapt(spark, sf_dir, BRANDS), _styles(spark, sf_dir), glyphs=False).drop("note")
 
 
-@query()
-def name_profiles_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN7, OCR1 to OCR6, EN2, EN3: names with misread letters, with glyph repair and the catalog tier."""
-    names = adapt(spark, sf_dir, NAMES).withColumn("name", F.translate("name", "ILO", "1i0"))
-    return K.profile_with_catalog(names, adapt(spark, sf_dir, BRANDS), _styles(spark, sf_dir), adapt(spark, sf_dir, PRODUCTS))
-
-
 @query("SELECT DISTINCT name, replace(replace(replace(translate(regexp_replace(replace(replace(replace(replace(replace(replace(lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')), 'li', 'u'), 'fi', 'r'), 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), 'ii', 'u'), ' ', '', 'g'), '0q1l5862', 'ooiisbgz'), '\x00', ''), '\x01', ''), '\x02', '') AS folded FROM n", n=NAMES)
 def glyph_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OCR1, OCR2: names by the shape of their glyphs."""
