@@ -81,7 +81,7 @@ def repaired_digits(text: Column) -> Column:
 
 def dollar_value(token: Column) -> Column:
     number = F.regexp_extract(repaired_digits(F.substring(token, F.lit(2), F.length(token))), r"^[\p{N}.]+", 0)
-    return F.when(token.rlike("^[$sS]") & (number != ""), normalized_dollars(number))
+    return F.when(token.rlike("^[$sS]"), let(number, lambda n: F.when(n != "", normalized_dollars(n))))
 
 
 def is_measure(word: Column) -> Column:
@@ -109,23 +109,29 @@ def clean_name(name: Column) -> Column:
         spaced = second.rlike("^[-–—]+$") | is_in(second, [".", ":"])
         return F.when(number & marked, F.slice(ts, F.lit(2), F.size(ts))).when(number & spaced, F.slice(ts, F.lit(3), F.size(ts))).otherwise(ts)
 
-    kept = F.filter(numbered(tokens(name)), lambda t: ~((F.lower(t) == "abv") | is_percent(t) | is_size(t) | t.rlike("^[-–—]+$")))
+    kept = F.filter(let(tokens(name), numbered), lambda t: ~((F.lower(t) == "abv") | is_percent(t) | is_size(t) | t.rlike("^[-–—]+$")))
     return F.regexp_replace(F.array_join(kept, " "), TRAILING, "")
 
 
 def parse_item(line: Column) -> Column:
     """struct(dollars, name): from the first $, else a bare run of four digits or more, else a last pure number."""
-    text = without_dot_runs(without_separators(line))
-    ts = tokens(text)
-    has_dollar = F.contains(text, F.lit("$"))
-    after = F.regexp_extract(repaired_digits(F.regexp_replace(text, r"^[^$]*\$", "")), r"^[\p{N}.]+", 0)
-    bare = F.array_position(F.transform(ts, lambda t: strip_edges(t).rlike(r"^\p{N}{4,}$")), F.lit(True)).cast("int")
-    last = F.try_element_at(ts, F.lit(-1))
-    amount = F.when(has_dollar, F.when(after != "", normalized_dollars(after))).when(bare > 0, normalized_dollars(strip_edges(F.get(ts, bare - 1)))).otherwise(pure_number(last))
-    up_to = lambda n: F.array_join(F.slice(ts, F.lit(1), n), " ")
-    part = F.when(has_dollar, F.substring_index(text, "$", 1)).when(bare > 0, up_to(bare - 1)).when(pure_number(last).isNotNull(), up_to(F.size(ts) - 1)).otherwise(text)
-    name = clean_name(F.regexp_replace(F.regexp_replace(part, r"^[ \t\n\r]+|[ \t\n\r]+$", ""), TRAILING, ""))
-    return F.struct(amount.alias("dollars"), name.alias("name"))
+
+    def of_tokens(text: Column, ts: Column) -> Column:
+        has_dollar = F.contains(text, F.lit("$"))
+        bare = F.array_position(F.transform(ts, lambda t: strip_edges(t).rlike(r"^\p{N}{4,}$")), F.lit(True)).cast("int")
+        number = let(F.regexp_extract(repaired_digits(F.regexp_replace(text, r"^[^$]*\$", "")), r"^[\p{N}.]+", 0), lambda after: F.when(after != "", normalized_dollars(after)))
+        up_to = lambda n: F.array_join(F.slice(ts, F.lit(1), n), " ")
+
+        def without_dollar(at: Column, last: Column) -> Column:
+            """struct(dollars, part) of a line without $; `at` is the place of the bare run."""
+            long = F.struct(normalized_dollars(strip_edges(F.get(ts, at - 1))).alias("dollars"), up_to(at - 1).alias("part"))
+            return F.when(at > 0, long).otherwise(F.struct(last.alias("dollars"), F.when(last.isNotNull(), up_to(F.size(ts) - 1)).otherwise(text).alias("part")))
+
+        plain = let(bare, lambda at: let(pure_number(F.try_element_at(ts, F.lit(-1))), lambda last: without_dollar(at, last)))
+        return F.when(has_dollar, F.struct(number.alias("dollars"), F.substring_index(text, "$", 1).alias("part"))).otherwise(plain)
+
+    named = lambda x: F.struct(x.dollars.alias("dollars"), clean_name(F.regexp_replace(F.regexp_replace(x.part, r"^[ \t\n\r]+|[ \t\n\r]+$", ""), TRAILING, "")).alias("name"))
+    return let(without_dot_runs(without_separators(line)), lambda text: let(tokens(text), lambda ts: let(of_tokens(text, ts), named)))
 
 
 def outside_brackets(line: Column) -> Column:
@@ -232,23 +238,32 @@ def title_words(name: Column) -> Column:
 
 def is_rankable(name: Column) -> Column:
     """Looks like the title of a drink."""
-    ws = title_words(name)
-    all_in = lambda words: F.forall(ws, lambda w: is_in(w, words))
-    return (F.size(ws) > 0) & ~all_in(V.SECTION_WORDS) & ~all_in(V.VESSEL_WORDS) & ~is_in(F.get(ws, F.lit(0)), V.PROMO_LEADS) & (F.size(F.filter(ws, lambda w: is_in(w, V.RECIPE_WORDS))) < 2)
+
+    def titled(ws: Column) -> Column:
+        all_in = lambda words: F.forall(ws, lambda w: is_in(w, words))
+        return (F.size(ws) > 0) & ~all_in(V.SECTION_WORDS) & ~all_in(V.VESSEL_WORDS) & ~is_in(F.get(ws, F.lit(0)), V.PROMO_LEADS) & (F.size(F.filter(ws, lambda w: is_in(w, V.RECIPE_WORDS))) < 2)
+
+    return let(title_words(name), titled)
 
 
 def marks(line: Column) -> Column:
     """array<struct<token, price, size, label>>: what each token is to a line of several prices."""
 
-    def mark(t: Column) -> Column:
-        price = dollar_value(t)
-        lowered = _plain(t)
-        head = F.when(lowered.rlike("^.+oz$"), F.regexp_replace(lowered, "oz$", "").try_cast("double"))
-        ounces = F.when(head > 0, head)
+    def sized(t: Column, lowered: Column) -> Column:
+        """struct(size, label) of a token that is no price."""
+        ounces = F.when(lowered.endswith("oz") & (F.length(lowered) > 2), F.regexp_replace(lowered, "oz$", "").try_cast("double"))
         word = F.coalesce(*(F.when(lowered == w, oz) for w, oz in V.SIZE_WORDS.items()))
-        oz_label = F.concat(F.when(ounces == F.round(ounces), F.round(ounces).cast("long").cast("string")).otherwise(ounces.cast("string")), F.lit(" oz"))
-        is_price = F.coalesce(price > 0, F.lit(False))
-        return F.struct(t.alias("token"), F.when(is_price, price).alias("price"), F.when(~is_price, F.coalesce(ounces, word)).alias("size"), F.when(~is_price & ounces.isNotNull(), oz_label).when(~is_price & word.isNotNull(), lowered).alias("label"))
+
+        def of_ounces(oz: Column) -> Column:
+            label = F.concat(F.when(oz == F.round(oz), F.round(oz).cast("long").cast("string")).otherwise(oz.cast("string")), F.lit(" oz"))
+            return F.when(oz > 0, F.struct(oz.alias("size"), label.alias("label"))).otherwise(let(word, lambda w: F.struct(w.alias("size"), F.when(w.isNotNull(), lowered).alias("label"))))
+
+        return let(ounces, of_ounces)
+
+    def mark(t: Column) -> Column:
+        known = lambda price: F.struct(t.alias("token"), price.alias("price"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("string").alias("label"))
+        other = let(let(_plain(t), lambda lowered: sized(t, lowered)), lambda x: F.struct(t.alias("token"), F.lit(None).cast("double").alias("price"), x["size"].alias("size"), x.label.alias("label")))
+        return let(dollar_value(t), lambda price: F.when(F.coalesce(price > 0, F.lit(False)), known(price)).otherwise(other))
 
     return F.transform(tokens(without_dot_runs(without_separators(line))), mark)
 

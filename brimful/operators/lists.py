@@ -1,165 +1,153 @@
-"""Reading lists: ordered state over the lines of a list (LN17, ST1-ST5)."""
+"""Reading lists: ordered state over the lines of a list, as running values of windows (LN17, ST1-ST5)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brimful.functions.lines import TRAILING, is_in, line_features, title_words
 from brimful.functions.vocabulary import PROMO_LEADS, RECIPE_WORDS, SECTION_WORDS, SIZE_WORDS, VESSEL_WORDS
-from brimful.functions.lines import line_features, title_words
 from brimful.operators.dealing import dealt
 
-ITEMS = "list_id string, item_no int, name string, price_cents int, read_abv double, read_size_oz double, category string, description string, line_no int"
-
-
-def split_sizes(marks: list[Any]) -> list[tuple[str, int, float | None]]:
-    """(name, cents, ounces) for each price of a line with several, from its marked tokens; empty if it is not one."""
-    priced = [i for i, m in enumerate(marks) if m["price"] is not None]
-    first = next((i for i, m in enumerate(marks) if m["price"] is not None or m["size"] is not None), 0)
-    base = " ".join(m["token"] for m in marks[:first]).strip().rstrip(" -–—|:,•·.")
-    if len(priced) < 2 or not base:
-        return []
-    used: set[int] = set()
-    entries = []
-    for k, at in enumerate(priced):
-        before = range(at - 1, priced[k - 1] if k else -1, -1)
-        after = range(at + 1, priced[k + 1] if k + 1 < len(priced) else len(marks))
-        size = next((i for i in (*before, *after) if marks[i]["size"] is not None and i not in used), None)
-        used |= {size} - {None}
-        entries.append([marks[at]["price"], None, None] if size is None else [marks[at]["price"], marks[size]["size"], marks[size]["label"]])
-    if len(entries) == 2 and entries[0][1] is None and entries[1][1] is None:
-        low = 0 if entries[0][0] <= entries[1][0] else 1
-        entries[low][1:], entries[1 - low][1:] = (5.0, "glass"), (25.36, "bottle")
-    cents = [int(price * 100 + 0.5) for price, _, _ in entries]
-    out = [(f"{base} ({label})" if label else base, c, size) for c, (_, size, label) in zip(cents, entries, strict=True) if c > 0]
-    return out if len(out) >= 2 else []
-
-
-def is_title(base: list[str], name: str) -> bool:
-    """Whether a name, words and a size label in brackets, is the title of a drink."""
-    label = name.rpartition(" (")[2][:-1] if name.endswith(")") else ""
-    words = base + ([label] if label in SIZE_WORDS else [])
-    if not words or all(w in SECTION_WORDS for w in words) or all(w in VESSEL_WORDS for w in words):
-        return False
-    return words[0] not in PROMO_LEADS and sum(w in RECIPE_WORDS for w in words) < 2
-
-
-class ListReader:
-    """The state of one list: section, inherited price, food region, and the item that waits for a price.
-
-    Lines change the last item only, so `items` need not hold more of them than that one; `read_items` counts them all.
-    """
+#: Names and ounces of two prices without a size: the lower, then the higher.
+GLASS, BOTTLE = (5.0, "glass"), (25.36, "bottle")
 
-    def __init__(self, list_id: str) -> None:
-        self.list_id, self.items, self.read_items = list_id, [], 0
-        self.category, self.header_cents, self.in_food, self.waiting = "unknown", None, False, None
-
-    def add(self, f: Any, name: str, cents: int | None, rankable: bool, size: float | None, category: str) -> None:
-        price = cents if rankable else None
-        self.items.append({"list_id": self.list_id, "item_no": self.read_items, "name": name, "price_cents": price, "read_abv": f.read_abv, "read_size_oz": size, "category": category, "description": None, "line_no": f.line_no})
-        self.read_items += 1
-        self.waiting = self.items[-1] if price is None and rankable else None
-
-    def adopt(self, f: Any, size: float | None) -> None:
-        item = self.items[-1]
-        item["read_abv"] = f.read_abv if item["read_abv"] is None else item["read_abv"]
-        item["read_size_oz"] = size if item["read_size_oz"] is None else item["read_size_oz"]
-        item["description"] = f.text if item["description"] is None else f"{item['description']} {f.text}"
-
-    def read(self, f: Any) -> str:
-        """Takes a line; the gate that used it."""
-        if f.is_blank:
-            return "blank"
-        if f.is_food_header:
-            self.in_food, self.waiting = True, None
-            return "food_header"
-        if self.items and not self.in_food and f.is_attribute:
-            self.adopt(f, f.read_size_oz)
-            return "attribute"
-        if f.section is not None:
-            keeps = f.section == self.category == "wineGlass" and f.price_cents is None and f.is_sub_label
-            self.in_food, self.category, self.waiting = False, f.section, None
-            self.header_cents = self.header_cents if keeps else f.price_cents
-            return "section"
-        for gate, hit in (("in_food", self.in_food), ("food", f.is_food), ("url", f.is_url)):
-            if hit:
-                return gate
-        category = "nonAlcoholic" if f.is_non_alcoholic else self.category
-        if f.grid_cents is not None:
-            if self.waiting is not None:
-                self.waiting["price_cents"], self.waiting = f.grid_cents, None
-                return "grid_back"
-            self.header_cents = f.grid_cents
-            return "grid"
-        several = split_sizes(f.marks) if f.marks is not None else []
-        if several:
-            for name, cents, size in several:
-                self.add(f, name, cents, is_title(list(f.base_words), name), size, category)
-            self.waiting = None
-            return "sizes"
-        if f.price_cents is None and self.header_cents is None and f.is_description and self.items:
-            self.adopt(f, None)
-            return "description"
-        if not f.name:
-            return "no_name"
-        self.add(f, f.name, self.header_cents if f.price_cents is None else f.price_cents, f.is_rankable, f.read_size_oz, category)
-        return "item"
-
-    def settled(self) -> list[dict]:
-        """The items that no later line can change; the reader lets go of them."""
-        done, self.items = self.items[:-1], self.items[-1:]
-        return done
-
-
-FEATURES = ("is_blank", "is_food_header", "is_attribute", "section", "is_sub_label", "is_food", "is_url", "is_non_alcoholic", "grid_cents", "marks", "is_description", "name", "price_cents", "is_rankable", "read_abv", "read_size_oz", "text", "base_words")
-
-
-def _featured(lines: DataFrame) -> DataFrame:
-    """Features of each line, and the title words before the first price or size of a line with several prices."""
-    first = F.array_position(F.transform("marks", lambda m: m.price.isNotNull() | m["size"].isNotNull()), F.lit(True)).cast("int")
-    base = F.array_join(F.transform(F.slice("marks", F.lit(1), F.greatest(F.lit(0), first - 1)), lambda m: m.token), " ")
-    return line_features(lines).withColumn("base_words", F.when(F.col("marks").isNotNull(), title_words(base)))
-
-
-def _fold(lines: DataFrame, trace: bool, schema: str) -> DataFrame:
-    """Runs a ListReader over every list; its items, or with `trace` the gate of each line.
-
-    Lists are dealt by list_id and sorted, then many are read per batch. One that runs over a batch's end is carried on
-    with its last item alone, so a list of any length takes no more memory than a batch.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        reader = None
-        for batch in batches:
-            out: list[dict] = []
-            batch = batch.astype(object).where(batch.notna(), None)
-            for f in batch.itertuples(index=False):
-                if reader is None or reader.list_id != f.list_id:
-                    out += reader.items if reader and not trace else []
-                    reader = ListReader(f.list_id)
-                gate = reader.read(f)
-                settled = reader.settled()
-                out += [{"list_id": f.list_id, "line_no": f.line_no, "gate": gate}] if trace else settled
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(reader.items if reader and not trace else [], columns=names)
-
-    ordered = dealt(lines.select("list_id", "line_no", "line"), "list_id").sortWithinPartitions("list_id", "line_no", "line")
-    return _featured(ordered).select("list_id", "line_no", *FEATURES).mapInPandas(run, schema)
+def _names_a_drink(words: Column, label: Column) -> Column:
+    """Whether title words and a size label in brackets make the title of a drink."""
+    ws = F.when(is_in(label, list(SIZE_WORDS)), F.concat(words, F.array(label))).otherwise(words)
+    only = lambda known: F.forall(ws, lambda w: is_in(w, known))
+    recipe = F.size(F.filter(ws, lambda w: is_in(w, RECIPE_WORDS)))
+    return (F.size(ws) > 0) & ~only(SECTION_WORDS) & ~only(VESSEL_WORDS) & ~is_in(F.get(ws, F.lit(0)), PROMO_LEADS) & (recipe < 2)
+
+
+def with_sizes(features: DataFrame) -> DataFrame:
+    """features with `sizes`, array<struct<name, cents, size, rankable>>: the items of a line with several prices; empty for others.
+
+    Each price takes a size mark of its own: the last one left between the price before and itself, or else the first one
+    behind it. Two prices without any are a glass and a bottle. The words before the first mark are the name.
+    """
+    marks, nth = F.col("marks"), lambda xs, k: F.get(F.col(xs), k)
+    places = F.sequence(F.lit(0), F.size(marks) - 1)
+    first = F.get(F.filter(places, lambda i: F.get(marks, i).price.isNotNull() | F.get(marks, i)["size"].isNotNull()), F.lit(0))
+    base = F.regexp_replace(F.trim(F.array_join(F.transform(F.slice(marks, F.lit(1), first), lambda m: m.token), " ")), TRAILING, "")
+    rows = features.withColumns({"__priced": F.filter(places, lambda i: F.get(marks, i).price.isNotNull()), "__base": F.when(marks.isNotNull(), base)})
+    rows = rows.withColumn("__ends", F.concat(F.array(F.lit(-1)), "__priced", F.array(F.size(marks))))
+    between = lambda k: F.filter(places, lambda i: F.get(marks, i)["size"].isNotNull() & (i > nth("__ends", k)) & (i < nth("__ends", k + 1)))
+    rows = rows.withColumn("__gaps", F.transform(F.sequence(F.lit(0), F.size("__priced")), between))
+
+    def take(state: Column, k: Column) -> Column:
+        """`used` tells whether the price before took the first size of this gap."""
+        left, behind = nth("__gaps", k), nth("__gaps", k + 1)
+        own = F.size(left) > state.used
+        taken = F.when(own, F.try_element_at(left, F.lit(-1))).otherwise(F.get(behind, F.lit(0)))
+        return F.struct((~own & (F.size(behind) > 0)).cast("int").alias("used"), F.concat(state.taken, F.array(taken)).alias("taken"))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
+    rows = rows.withColumn("__taken", F.aggregate(F.sequence(F.lit(0), F.size("__priced") - 1), start, take, lambda state: state.taken))
+    price = lambda k: F.get(marks, nth("__priced", k)).price
+    bare = (F.size("__priced") == 2) & F.forall("__taken", lambda t: t.isNull())
+    lower = lambda k: F.when(price(F.lit(0)) <= price(F.lit(1)), k == 0).otherwise(k == 1)
+    pair = lambda k, at: F.when(lower(k), GLASS[at]).otherwise(BOTTLE[at])
+
+    def entry(at: Column, k: Column) -> Column:
+        mark = F.get(marks, nth("__taken", k))
+        label = F.when(bare, pair(k, 1)).otherwise(mark.label)
+        name = F.when(F.coalesce(label, F.lit("")) != "", F.concat("__base", F.lit(" ("), label, F.lit(")"))).otherwise(F.col("__base"))
+        return F.struct(name.alias("name"), F.floor(F.get(marks, at).price * 100 + 0.5).cast("int").alias("cents"), F.when(bare, pair(k, 0)).otherwise(mark["size"]).alias("size"))
+
+    def titled(e: Column) -> Column:
+        label = F.when(F.endswith(e["name"], F.lit(")")), F.regexp_replace(F.substring_index(e["name"], " (", -1), r"\)$", "")).otherwise(F.lit(""))
+        return F.struct(e["name"].alias("name"), e.cents.alias("cents"), e["size"].alias("size"), _names_a_drink(F.col("__words"), label).alias("rankable"))
+
+    rows = rows.withColumn("__words", F.when(marks.isNotNull(), title_words(F.col("__base"))))
+    rows = rows.withColumn("__entries", F.filter(F.transform("__priced", entry), lambda e: e.cents > 0))
+    good = F.coalesce((F.size("__priced") >= 2) & (F.col("__base") != "") & (F.size("__entries") >= 2), F.lit(False))
+    none = F.array().cast("array<struct<name:string,cents:int,size:double,rankable:boolean>>")
+    rows = rows.withColumn("sizes", F.when(good, F.transform("__entries", titled)).otherwise(none))
+    return rows.drop("__priced", "__base", "__ends", "__gaps", "__taken", "__words", "__entries")
+
+
+def gated(lines: DataFrame) -> DataFrame:
+    """Features of each line with `at` (its place), `gate`, the running `category` and `header_cents`, its `items` and how many came before.
+
+    What a line is depends on state that earlier lines set; all of it is last values over the lines before, in one order
+    and one shuffle by list_id:
+    1. A food header begins a food region and any section ends it, so the region needs no other state.
+    2. The first line that can be an item before any attribute is adopted is the first item; from then on, outside of
+       food, lines of attributes belong to the item above them.
+    3. The other section lines give the category, and a price or none for their items; labels within a wine section keep it.
+    4. A grid of prices fills the item above that waits for one, else it prices the items below. Items only wait where no
+       price is inherited: until the first grid of a section that finds no item waiting.
+    """
+    flag = lambda condition: F.coalesce(condition, F.lit(False))
+    last = lambda value, when, over: F.last(F.when(when, value), ignorenulls=True).over(over)
+    c = F.col
+    in_list = Window.partitionBy("list_id").orderBy("line_no", "line")
+    before, up_to = in_list.rowsBetween(Window.unboundedPreceding, -1), in_list.rowsBetween(Window.unboundedPreceding, 0)
+    dealt_lines = dealt(lines.select("list_id", "line_no", "line"), "list_id")
+    f = with_sizes(line_features(dealt_lines)).withColumn("at", F.row_number().over(in_list))
+    filled, food, section = ~c("is_blank"), ~c("is_blank") & c("is_food_header"), c("section").isNotNull()
+    f = f.withColumn("in_food", flag(last(food, filled & (food | section), before)))
+    no_drink = c("in_food") | c("is_food") | c("is_url")
+    starts = filled & ~food & ~section & ~no_drink & c("grid_cents").isNull() & ((F.size("sizes") > 0) | (c("name") != ""))
+    f = f.withColumn("has_items", flag(F.max(flag(starts)).over(before)))
+    f = f.withColumn("adopts", filled & ~food & c("has_items") & ~c("in_food") & c("is_attribute"))
+    f = f.withColumn("opens", filled & ~food & ~c("adopts") & section)
+    f = f.withColumn("category", F.coalesce(last(c("section"), c("opens"), before), F.lit("unknown")))
+    keeps = (c("section") == "wineGlass") & (c("category") == "wineGlass") & c("price_cents").isNull() & c("is_sub_label")
+    f = f.withColumn("prices", c("opens") & ~flag(keeps))
+    plain = filled & ~food & ~c("adopts") & ~c("opens") & ~no_drink
+    f = f.withColumn("is_grid", plain & c("grid_cents").isNotNull())
+    f = f.withColumn("is_sizes", plain & ~c("is_grid") & (F.size("sizes") > 0))
+    f = f.withColumn("rest", plain & ~c("is_grid") & ~c("is_sizes"))
+    f = f.withColumn("may_describe", c("rest") & c("price_cents").isNull() & c("is_description") & c("has_items"))
+    since = F.struct("at", "price_cents")
+    f = f.withColumn("since", last(since, c("prices"), up_to)).withColumns({"epoch": F.coalesce("since.at", F.lit(0)), "epoch_cents": c("since.price_cents")})
+    titled = c("rest") & (c("name") != "") & ~c("may_describe")
+    waits = titled & c("price_cents").isNull() & c("is_rankable")
+    f = f.withColumn("item_waits", flag(last(waits, food | c("opens") | c("is_grid") | c("is_sizes") | titled, before)))
+    f = f.withColumn("inherits", c("epoch_cents").isNotNull() | flag(last(c("epoch"), c("is_grid") & ~c("item_waits"), before) == c("epoch")))
+    f = f.withColumn("fills", c("is_grid") & ~c("inherits") & c("item_waits"))
+    f = f.withColumn("grid", last(F.struct("epoch", "grid_cents"), c("is_grid") & ~c("fills"), before))
+    f = f.withColumn("header_cents", F.when(c("grid.epoch") == c("epoch"), c("grid.grid_cents")).otherwise(c("epoch_cents")))
+    f = f.withColumn("describes", c("may_describe") & c("header_cents").isNull())
+    f = f.withColumn("is_item", c("rest") & ~c("describes") & (c("name") != ""))
+    gate = (
+        F.when(c("is_blank"), "blank").when(food, "food_header").when(c("adopts"), "attribute").when(c("opens"), "section")
+        .when(c("in_food"), "in_food").when(c("is_food"), "food").when(c("is_url"), "url")
+        .when(c("fills"), "grid_back").when(c("is_grid"), "grid").when(c("is_sizes"), "sizes")
+        .when(c("describes"), "description").when(c("is_item"), "item").otherwise("no_name")
+    )
+    one = F.struct(c("name"), F.when(c("is_rankable"), F.coalesce("price_cents", "header_cents")).alias("cents"), c("read_size_oz").alias("size"))
+    several = F.transform("sizes", lambda s: F.struct(s["name"].alias("name"), F.when(s.rankable, s.cents).alias("cents"), s["size"].alias("size")))
+    f = f.withColumn("gate", gate).withColumn("items", F.when(c("is_sizes"), several).when(c("is_item"), F.array(one)).otherwise(F.slice(several, 1, 0)))
+    return f.withColumn("items_before", F.coalesce(F.sum(F.size("items")).over(before), F.lit(0)).cast("int"))
 
 
 def parse_lists(lines: DataFrame) -> DataFrame:
-    """Items of every list from lines (list_id string, line_no int, line string)."""
-    return _fold(lines, False, ITEMS)
+    """Items of every list from lines (list_id string, line_no int, line string).
+
+    (list_id, item_no, name, price_cents, read_abv, read_size_oz, category, description, line_no). A line gives its items,
+    or adds to the item above it: attributes, a description, or the price of a grid.
+    """
+    c, nothing = F.col, lambda kind: F.lit(None).cast(kind)
+    category = F.when(c("is_non_alcoholic"), "nonAlcoholic").otherwise(c("category"))
+    own = F.transform("items", lambda x, k: F.struct((c("items_before") + k).alias("item_no"), F.struct(x["name"].alias("name"), category.alias("category"), c("line_no").alias("line_no")).alias("title"), x.cents.alias("cents"), c("read_abv").alias("abv"), x["size"].alias("size"), nothing("string").alias("note")))
+    adopts, describes = c("gate") == "attribute", c("gate") == "description"
+    title = nothing("struct<name:string,category:string,line_no:int>")
+    added = F.struct((c("items_before") - 1).alias("item_no"), title.alias("title"), F.when(c("gate") == "grid_back", c("grid_cents")).alias("cents"), F.when(adopts | describes, c("read_abv")).alias("abv"), F.when(adopts, c("read_size_oz")).alias("size"), F.when(adopts | describes, c("text")).alias("note"))
+    parts = F.when(adopts | describes | (c("gate") == "grid_back"), F.array(added)).otherwise(own)
+    rows = gated(lines).select("list_id", "at", F.explode(parts).alias("p")).select("list_id", "at", "p.*")
+    first = lambda value: F.min_by(value, F.when(c(value).isNotNull(), c("at")))
+    notes = F.array_sort(F.collect_list(F.when(c("note").isNotNull(), F.struct("at", "note"))))
+    items = rows.groupBy("list_id", "item_no").agg(F.max("title").alias("title"), F.max("cents").alias("price_cents"), first("abv").alias("read_abv"), first("size").alias("read_size_oz"), F.nullif(F.array_join(F.transform(notes, lambda n: n.note), " "), F.lit("")).alias("description"))
+    return items.select("list_id", "item_no", "title.name", "price_cents", "read_abv", "read_size_oz", "title.category", "description", "title.line_no")
 
 
 def trace_lists(lines: DataFrame) -> DataFrame:
     """(list_id, line_no, gate): what the reader took every line for."""
-    return _fold(lines, True, "list_id string, line_no int, gate string")
+    return gated(lines).select("list_id", "line_no", "gate")
 
 
 def section_state(lines: DataFrame) -> DataFrame:

@@ -117,24 +117,52 @@ def test_an_epoch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
     assert want.count() > 10
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        row = [row[0] + 1] + [min(row[j] + (x != y), row[j + 1] + 1) for j, y in enumerate(b)]
+        for j in range(len(b)):
+            row[j + 1] = min(row[j + 1], row[j] + 1)
+    return row[-1]
+
+
+def _cost(menu, brand):
+    """The least (edits, tier, size) over every way to lay a brand's words on a name's."""
+    k, letters, ways = min(len(menu), len(brand)), sum(map(len, brand)), []
+    for shift in range(abs(len(menu) - len(brand)) + 1):
+        read, own, tier = (menu[shift : shift + k], brand, 0) if len(brand) <= len(menu) else (menu, brand[shift : shift + k], 1)
+        pairs = list(zip(read, own, strict=True))
+        costs = [0 if i == k - 1 > 0 and len(r) >= 3 and len(o) > len(r) and o.startswith(r) else _edits(r, o) for i, (r, o) in enumerate(pairs)]
+        fits = all(c <= (0 if max(len(r), len(o)) < 5 else 1 if max(len(r), len(o)) < 9 else 2) for c, (r, o) in zip(costs, pairs, strict=True))
+        if (fits or any(r == o for r, o in pairs)) and (tier == 0 or (k >= 2 and 2 * sum(map(len, own)) >= letters)):
+            ways.append((sum(costs), tier, letters if tier else -letters))
+    ways += [(_edits(word, "".join(brand)), 2, -letters) for word in menu if _edits(word, "".join(brand)) <= 2]
+    return min((w for w in ways if w[0] <= (1 if letters < 12 else 2 if letters < 20 else 3)), default=None)
+
+
 def test_misread_names_find_their_brand_whatever_the_number_of_brands(spark):
-    from brimful.operators.knowledge import brand_table, glyph_best, glyph_match
+    from brimful.operators.knowledge import brand_table, glyph_match
     from brimful.functions.text import glyph_tokens
 
     rng = random.Random(2)
-    brands = brand_table(spark)
+    extra = spark.createDataFrame([(k, k, "x", 1.0, 1000 + i) for i, k in enumerate(("abcde", "a bc de", "tre", "old tom and jerry", "x y z longish"))], "key string, label string, category string, abv double, priority int")
+    brands = brand_table(spark).unionByName(extra)
     keys = [r["key"] for r in brands.orderBy("priority").collect()]
-    names = set()
-    for _ in range(200):
+    names = {"abde", "abcd", "tre", "old tom", "tom jer", "coors lig"}
+    for _ in range(300):
         w = list(rng.choice(keys))
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = rng.choice("abcdefilmnorstuv01 ")
-        names.add("".join(w) + rng.choice(["", " ipa"]))
+        names.add("".join(w)[: rng.choice([99, 99, -2])] + rng.choice(["", " ipa"]))
     asked = spark.createDataFrame([(n,) for n in names], "name string")
     menus = {r["name"]: r["m"] for r in asked.select("name", glyph_tokens(F.lower("name")).alias("m")).collect()}
-    table = [(r["priority"], r["t"], r["label"]) for r in brands.orderBy("priority").select("priority", "label", glyph_tokens(F.col("key")).alias("t")).collect()]
-    want = {n: table[i][2] for n, m in menus.items() if m and (i := glyph_best(m, [(k, t) for k, (_, t, _) in enumerate(table)])) is not None}
-    assert {r["name"]: r["label"] for r in glyph_match(asked, brands).collect()} == want and len(want) > 50
+    table = [(r["priority"], r["t"], r["label"]) for r in brands.select("priority", "label", glyph_tokens(F.col("key")).alias("t")).collect()]
+    want = {}
+    for name, menu in menus.items():
+        rated = [(cost, p, label) for p, t, label in table if menu and sum(map(len, t)) >= 5 and (cost := _cost(menu, t))]
+        if rated:
+            want[name] = min(rated)[2]
+    assert {r["name"]: r["label"] for r in glyph_match(asked, brands).collect()} == want and len(want) > 80
 
 
 def test_substring_join_equals_all_pairs(spark):
