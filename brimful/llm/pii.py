@@ -100,11 +100,28 @@ def _votes(kind: str, x: Column, before: Column) -> dict[str, Column]:
     return {"shape": sign(x.f.rlike(SHAPE[kind]), -1), "gazetteer": sign(x.f.rlike(GAZETTEER[kind]), 0), "context": sign(before.rlike(CONTEXT[kind]), 0), "mix": sign(mixed, -1), "length": sign(F.length(x.f).between(low, high), -1)}
 
 
+def _apart(found: Column, base: Column) -> Column:
+    """Those of structs (s, e, f), in order and apart from each other, that overlap none of the base spans.
+
+    Both are cut at the ends of BLOCK found ones, so that each is compared with the base spans of its own stretch.
+    """
+
+    def clear(x: Column, near: Column) -> Column:
+        return ~F.exists(near, lambda b: (b.s < x.e) & (x.s < b.e))
+
+    def of_block(block: Column) -> Column:
+        near = F.filter(base, lambda b: (b.s < F.element_at(block, -1).e) & (F.get(block, F.lit(0)).s < b.e))
+        return let(near, lambda n: F.filter(block, lambda x: clear(x, n)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / BLOCK).cast("int") - 1), lambda k: F.slice(found, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(F.flatten(F.transform(blocks, of_block)))
+
+
 def _candidates(kind: str, text: Column, base: Column) -> Column:
     """Candidates of a kind that overlap no base span, with votes and features."""
 
-    def described(x: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), x.s - CONTEXT_CHARS + 1), F.least(x.s, F.lit(CONTEXT_CHARS)))
+    def described(x: Column, parts: Column) -> Column:
+        before = _between(parts, F.greatest(F.lit(0), x.s - CONTEXT_CHARS), x.s)
         share = F.floor(4 * F.length(F.regexp_replace(x.f, "[^0-9]", "")) / (F.length(x.f) + 1)).cast("int")
         marks = F.when(before.rlike(r"[=:\"']\s*$"), 1).otherwise(0)
         size = F.least(F.lit(6), F.floor(F.log2(F.length(x.f))).cast("int"))
@@ -112,8 +129,8 @@ def _candidates(kind: str, text: Column, base: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), x.s.alias("s"), x.e.alias("e"), *votes, share.alias("digit_share"), marks.alias("quoted"), size.alias("size"))
 
     needs = {"secret": text.rlike("[0-9]"), "phone_local": text.rlike("[0-9]{4}"), "email_spelled": text.rlike(r"[(\[{](?:at|AT)[)\]}]")}[kind]
-    free = F.filter(spans(text, ADDED[kind], needs), lambda x: ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e)) & (x.f.rlike("[A-Za-z]") if kind == "secret" else F.lit(True)))
-    return F.transform(free, described)
+    found = F.filter(spans(text, ADDED[kind], needs), lambda x: x.f.rlike("[A-Za-z]") if kind == "secret" else F.lit(True))
+    return let(_apart(found, base), lambda free: F.when(F.size(free) > 0, let(_slices(text), lambda parts: F.transform(free, lambda x: described(x, parts)))).otherwise(F.slice(F.transform(free, lambda x: described(x, F.array(text))), 1, 0)))
 
 
 def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -190,19 +207,56 @@ def find(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *numbers, _written_as(F.col("pii_base")).alias("base"), _written_as(spans_now).alias("spans"), (F.size(spans_now) - F.size("pii_base")).cast("long").alias("n_added"))
 
 
+def _slices(text: Column) -> Column:
+    """The text in parts of BLOCK code points, so that a place is found without walking from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in _slices(): at most two parts are cut, those between go whole."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    piece = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    head = F.substring(piece(first), start - first * BLOCK + 1, F.when(first == last, end - start).otherwise(F.lit(BLOCK)))
+    whole = F.array_join(F.slice(parts, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+    tail = F.when(first == last, "").otherwise(F.substring(piece(last), F.lit(1), end - last * BLOCK))
+    return F.when(end > start, F.concat(head, whole, tail)).otherwise(F.lit(""))
+
+
+def _furthest(items: Column) -> Column:
+    """For each of structs (s, e, ...) the greatest e of those before it, 0 for the first. In blocks, to stay near linear."""
+    ends = lambda xs: F.array_max(F.transform(xs, lambda x: x.e))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.size(items) / BLOCK).cast("int"))
+
+    def in_block(block: Column, sofar: Column) -> Column:
+        return F.transform(block, lambda x, i: F.greatest(sofar, F.coalesce(ends(F.slice(block, F.lit(1), i)), F.lit(0))))
+
+    def all_blocks(blocks: Column) -> Column:
+        return let(F.transform(blocks, ends), lambda t: F.flatten(F.transform(blocks, lambda b, k: let(F.coalesce(F.array_max(F.slice(t, F.lit(1), k)), F.lit(0)), lambda sofar: in_block(b, sofar)))))
+
+    return let(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))), all_blocks)
+
+
+def replaced(text: Column, all_spans: Column) -> Column:
+    """The text with every span (kind, s, e) as its kind in brackets; one that begins inside an earlier one goes with it."""
+    ordered = F.array_sort(F.transform(all_spans, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.kind.alias("kind"))))
+
+    def joined(xs: Column, parts: Column) -> Column:
+        def written(x: Column, done: Column) -> Column:
+            return F.when(x.s < done, "").otherwise(F.concat(_between(parts, done, x.s), F.lit("["), F.upper(x.kind), F.lit("]")))
+
+        return let(_furthest(xs), lambda done: F.array_join(F.zip_with(xs, done, written), ""))
+
+    def rest(xs: Column, parts: Column) -> Column:
+        end = F.coalesce(F.array_max(F.transform(xs, lambda x: x.e)), F.lit(0))
+        return let(end, lambda at: _between(parts, at, F.length(text)))
+
+    return let(ordered, lambda xs: let(_slices(text), lambda parts: F.concat(joined(xs, parts), rest(xs, parts))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets."""
+    """docs with every span of text replaced by its kind in brackets; the time grows with the text, whatever it holds."""
     weights = learn(annotate(docs.select("text")).select(F.inline("pii_candidates")))
     text = F.coalesce(F.col("text"), F.lit(""))
-
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), x["at"] - state["at"]))
-        late = x["at"] < state["at"]
-        out = F.when(late, state.out).otherwise(F.concat(state.out, gap, F.concat(F.lit("["), F.upper(x.kind), F.lit("]"))))
-        return F.struct(F.greatest(x.e, state["at"]).alias("at"), out.alias("out"))
-
-    ordered = F.array_sort(F.transform(_accepted(weights), lambda x: F.struct(x.s.alias("at"), x.e.alias("e"), x.kind.alias("kind"))))
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s.out, F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.size("pii_base") + F.size("pii_candidates") > 0, done).otherwise(F.col("text"))
+    new = F.when(F.size("pii_base") + F.size("pii_candidates") > 0, replaced(text, _accepted(weights))).otherwise(F.col("text"))
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     return annotate(boxed).withColumn("text", new).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
