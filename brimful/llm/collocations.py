@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,30 +53,42 @@ ID_MASK = (1 << ID_BITS) - 1
 class Limits:
     """What a task holds at most: bytes of text read at once, distinct words, phrases in its trie, phrases in a container before it bursts."""
 
-    block_bytes: int = 1 << 20
+    block_bytes: int = 4 << 20
     words: int = 400_000
     phrases: int = 1_200_000
-    burst: int = 4096
+    burst: int = 16_384
 
 
 def by_lang(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def word_chunks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[bytes, bool, list[bytes]]]:
-    """(lang, whether it goes on from the chunk before, words and marks "." between pieces) of about block_bytes of text each."""
+def tokens(text: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each word, the distinct words) of a text whose words and marks stand between spaces and tabs."""
+    text = text.strip(b" \t")
+    if not text:
+        return np.zeros(0, np.int64), []
+    row = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
+    coded = pc.ascii_split_whitespace(row).flatten().dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
+
+
+def word_chunks(batches: Iterator[pa.RecordBatch], block_bytes: int, overlap: int = 0) -> Iterator[tuple[bytes, np.ndarray, list[bytes]]]:
+    """(lang, *tokens()) of about block_bytes of text each, with marks "." between pieces; a chunk of a text that goes on begins with the last `overlap` words of the one before."""
     for batch in batches:
         for block in text_blocks(batch, block_bytes):
             offsets, raw = utf8(block.column("text"))
             langs = [lang.encode() for lang in block.column("lang").to_pylist()]
             for lang in dict.fromkeys(langs):
                 text = b" . ".join(raw[offsets[i] : offsets[i + 1]].tobytes() for i, own in enumerate(langs) if own == lang).translate(SMALL)
-                at = 0
+                at, tail = 0, b""
                 while at < len(text):
                     blank = BLANK.search(text, at + block_bytes)
                     end = blank.start() if blank else len(text)
-                    yield lang, at > 0, text[at:end].replace(b".", b" . ").split()
+                    part = tail + text[at:end].replace(b".", b" . ")
+                    tail = b" ".join(part.rsplit(None, overlap)[-overlap:]) + b" " if overlap else b""
                     at = end
+                    yield lang, *tokens(part)
 
 
 def count_words(docs: DataFrame, limits: Limits) -> DataFrame:
@@ -91,8 +104,8 @@ def count_words(docs: DataFrame, limits: Limits) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(counts), pa.string()), words, pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
             seen.clear()
 
-        for lang, _, words in word_chunks(batches, limits.block_bytes):
-            seen.setdefault(lang, Counter()).update(words)
+        for lang, numbers, words in word_chunks(batches, limits.block_bytes):
+            seen.setdefault(lang, Counter()).update(dict(zip(words, np.bincount(numbers).tolist(), strict=True)))
             if sum(map(len, seen.values())) > limits.words:
                 yield from emptied()
         yield from emptied()
@@ -152,62 +165,74 @@ class LocalWords(dict):
 
 
 class HatTrie:
-    """Counts of phrases of `width` words: first word -> container {packed further words: count}, or, once burst, -> next word -> container."""
+    """Counts of phrases of `width` words, packed into one number each, the first word in front.
+
+    A container is a hash table of phrases. At the root, one holds the phrases of all first words with the same last
+    bits; one with more than `burst` phrases bursts into a node with a container for each first word, and such a one
+    into a node with a container for each of its second words.
+    """
+
+    SLOTS = 256
 
     def __init__(self, width: int, burst: int) -> None:
-        self.width, self.burst, self.size, self.roots = width, burst, 0, {}
-        self.burst_from = ID_BITS * (width - 2)
-
-    def add(self, first: int, rests: list[int], counts: list[int]) -> None:
-        node = self.roots.get(first)
-        if node is None:
-            self.roots[first] = dict(zip(rests, counts, strict=True))
-            self.size += len(rests)
-        elif isinstance(node, tuple):
-            for rest, n in zip(rests, counts, strict=True):
-                self._add_one(node[0].setdefault(rest >> self.burst_from, {}), rest & ((1 << self.burst_from) - 1), n)
+        self.width, self.burst, self.size = width, burst, 0
+        self.roots: list[dict | tuple[dict]] = [{} for _ in range(self.SLOTS)]
+
+    def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct phrases with their counts."""
+        slot = (phrases >> (ID_BITS * (self.width - 1))) & (self.SLOTS - 1)
+        order = np.argsort(slot, kind="stable")
+        bounds = np.searchsorted(slot[order], np.arange(self.SLOTS + 1)).tolist()
+        keys, values = phrases[order].tolist(), counts[order].tolist()
+        for k in range(self.SLOTS):
+            if bounds[k] < bounds[k + 1]:
+                self.roots[k] = self._put(self.roots[k], keys[bounds[k] : bounds[k + 1]], values[bounds[k] : bounds[k + 1]], 1)
+
+    def _put(self, node: dict | tuple[dict], keys: list[int], counts: list[int], depth: int) -> dict | tuple[dict]:
+        """The node with the phrases added; below it, phrases are told apart by their first `depth` words."""
+        if isinstance(node, tuple):
+            shift, children = ID_BITS * (self.width - depth), node[0]
+            runs: dict[int, tuple[list[int], list[int]]] = {}
+            for key, n in zip(keys, counts, strict=True):
+                run = runs.setdefault(key >> shift, ([], []))
+                run[0].append(key)
+                run[1].append(n)
+            for prefix, (own, ns) in runs.items():
+                children[prefix] = self._put(children.get(prefix, {}), own, ns, depth + 1)
+            return node
+        before, had = len(node), node.get
+        for key, n in zip(keys, counts, strict=True):
+            node[key] = had(key, 0) + n
+        self.size += len(node) - before
+        if len(node) <= self.burst or depth >= self.width:
+            return node
+        self.size -= len(node)
+        return self._put(({},), list(node), list(node.values()), depth)
+
+    def _containers(self, node: dict | tuple[dict]) -> Iterator[dict[int, int]]:
+        if isinstance(node, tuple):
+            for child in node[0].values():
+                yield from self._containers(child)
         else:
-            before = len(node)
-            had = node.get
-            for rest, n in zip(rests, counts, strict=True):
-                node[rest] = had(rest, 0) + n
-            self.size += len(node) - before
-            if self.width > 2 and len(node) > self.burst:
-                self.roots[first] = (self._burst(node),)
-
-    def _add_one(self, container: dict[int, int], rest: int, n: int) -> None:
-        self.size += rest not in container
-        container[rest] = container.get(rest, 0) + n
-
-    def _burst(self, container: dict[int, int]) -> dict[int, dict[int, int]]:
-        children: dict[int, dict[int, int]] = {}
-        for rest, n in container.items():
-            children.setdefault(rest >> self.burst_from, {})[rest & ((1 << self.burst_from) - 1)] = n
-        return children
-
-    def _flat(self, first: int) -> dict[int, int]:
-        node = self.roots[first]
-        return {(k << self.burst_from) | rest: n for k, child in node[0].items() for rest, n in child.items()} if isinstance(node, tuple) else node
+            yield node
 
     def spill(self, most_left: int, ids: array) -> pa.RecordBatch:
         """Whole subtrees, largest first, until at most `most_left` phrases stay; rows sorted by the words' global ids."""
-        held = {first: sum(map(len, node[0].values())) if isinstance(node, tuple) else len(node) for first, node in self.roots.items()}
-        firsts, rests, counts = [], [], []
-        for first in sorted(held, key=held.get, reverse=True):
+        held = [sum(map(len, self._containers(node))) for node in self.roots]
+        phrases, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in sorted(range(self.SLOTS), key=held.__getitem__, reverse=True):
             if self.size <= most_left:
                 break
-            run = self._flat(first)
-            firsts.append(np.full(len(run), first, np.int64))
-            rests.append(np.fromiter(run.keys(), np.int64, len(run)))
-            counts.append(np.fromiter(run.values(), np.int64, len(run)))
-            self.size -= len(run)
-            del self.roots[first]
+            for container in self._containers(self.roots[k]):
+                phrases.append(np.fromiter(container.keys(), np.int64, len(container)))
+                counts.append(np.fromiter(container.values(), np.int64, len(container)))
+            self.size -= held[k]
+            self.roots[k] = {}
+        phrase, n = np.concatenate(phrases), np.concatenate(counts)
         known = np.frombuffer(ids, np.uint64).view(np.int64) if len(ids) else np.zeros(0, np.int64)
-        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        rest = joined(rests)
-        columns = [known[joined(firsts)], *(known[(rest >> (ID_BITS * k)) & ID_MASK] for k in range(self.width - 2, -1, -1))]
+        columns = [known[(phrase >> (ID_BITS * k)) & ID_MASK] for k in range(self.width - 1, -1, -1)]
         order = np.lexsort(columns[::-1])
-        return pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(joined(counts)[order])], [*(f"w{k + 1}" for k in range(self.width)), "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(n[order])], [*(f"w{k + 1}" for k in range(self.width)), "n"])
 
 
 def count_phrases(docs: DataFrame, width: int, limits: Limits, salt: str, words: Broadcast, pairs: Broadcast | None = None) -> DataFrame:
@@ -217,16 +242,14 @@ def count_phrases(docs: DataFrame, width: int, limits: Limits, salt: str, words:
         bits = words.value
         pair_bits = np.frombuffer(pairs.value, np.uint8) if pairs else None
         langs: dict[bytes, LocalWords] = {}
-        ids, trie, tail = array("Q"), HatTrie(width, limits.burst), []
-        for lang, goes_on, tokens in word_chunks(batches, limits.block_bytes):
-            tokens = tail + tokens if goes_on else tokens
-            tail = tokens[len(tokens) - min(len(tokens), width - 1) :]
+        ids, trie = array("Q"), HatTrie(width, limits.burst)
+        for lang, numbers, distinct in word_chunks(batches, limits.block_bytes, width - 1):
             if sum(map(len, langs.values())) > limits.words:
                 yield trie.spill(0, ids)
                 langs, ids = {}, array("Q")
             if lang not in langs:
                 langs[lang] = LocalWords(lang, salt.encode(), bits, ids)
-            own = np.fromiter(map(langs[lang].__getitem__, tokens), np.int64, len(tokens))
+            own = np.fromiter(map(langs[lang].__getitem__, distinct), np.int64, len(distinct))[numbers]
             good = own >= 0
             good = good[:-1] & good[1:]
             if pair_bits is not None and len(own) > 1:
@@ -240,12 +263,7 @@ def count_phrases(docs: DataFrame, width: int, limits: Limits, salt: str, words:
             packed = own[starts]
             for k in range(1, width):
                 packed = packed << ID_BITS | own[starts + k]
-            packed, counts = np.unique(packed, return_counts=True)
-            rest_bits = ID_BITS * (width - 1)
-            firsts, at = np.unique(packed >> rest_bits, return_index=True)
-            rests, counts, bounds = (packed & ((1 << rest_bits) - 1)).tolist(), counts.tolist(), [*at.tolist(), len(packed)]
-            for k, first in enumerate(firsts.tolist()):
-                trie.add(first, rests[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]])
+            trie.add(*np.unique(packed, return_counts=True))
             if trie.size > limits.phrases:
                 yield trie.spill(limits.phrases // 2, ids)
         yield trie.spill(0, ids)
