@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
-from brimful.operators.knowledge import brand_table, style_table
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
@@ -215,21 +214,6 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.best_reading(torn.withColumn("candidate_no", F.lit(0)).unionByName(lines.withColumn("candidate_no", F.lit(1))))
 
 
-@query()
-def rank_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG8: lists from their lines to the ranking."""
-    return P.rank_lists(adapt(spark, sf_dir, LINES), brand_table(spark), style_table(spark)).ranked
-
-
-@query()
-def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK5, SNK6, AG9: the report of each list."""
-    from brimful.operators.quality import session_report
-
-    done = P.rank_lists(adapt(spark, sf_dir, LINES), brand_table(spark), style_table(spark), glyphs=False)
-    return session_report(done.ranked, done.resolved)
-
-
 def _edits_in_parts(spark: SparkSession, sf_dir: str, folder: str, then: Callable[[DataFrame], None], parts: int = 4) -> None:
     """Lays the edit log down in four parts, each of which `then` has to take in as a stream before the next one comes."""
     edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
@@ -260,19 +244,3 @@ def stream_session_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "sessions")
     _edits_in_parts(spark, sf_dir, folder, lambda events: Z.stream_session_rankings(events, f"{folder}/ranked", f"{folder}/state").awaitTermination())
     return Z.current_rankings(spark, f"{folder}/ranked").drop("seq", "late")
-
-
-#: Lines in a file of the stream of lists; a batch takes one file, so their number grows with the input.
-LINES_PER_FILE = 50_000
-
-
-@query()
-def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM2: lists ranked as their files arrive, one file a batch; each list is in one file."""
-    folder = shared_path(spark, "lists")
-    lines = adapt(spark, sf_dir, LINES)
-    lines.repartition(lines.count() // LINES_PER_FILE + 1, "list_id").write.parquet(f"{folder}/lines")
-    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
-    keep = lambda ranked, epoch: Z.write_epoch(ranked, f"{folder}/ranked", epoch)
-    Z.stream_lists(stream, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/ranked").drop("epoch")
