@@ -12,7 +12,7 @@ from brimful.operators import layout as Y
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
-from brimful.sources.readers import brand_dimension, export_boxes, read_bc, read_catalog, read_exports, read_facts, read_wholesale
+from brimful.sources.readers import brand_dimension, export_boxes, log_blocks, read_bc, read_catalog, read_exports, read_facts, read_wholesale, recorded_lines
 from brimful.sources.sinks import shared_path, write_catalog
 from brimful.streaming import streams as Z
 
@@ -175,17 +175,58 @@ def source_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_dimension(spark, folder).select("key", "label", "category", "abv", "priority")
 
 
-@query("SELECT page_id, text, count(*) AS boxes, min(CAST(round(min_x * 200) AS BIGINT)) AS left_side, max(CAST(round(max_x * 200) AS BIGINT)) AS right_side FROM b GROUP BY page_id, text", b=DUCK_BOXES)
+def _logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Log files of pages: their boxes and lines as exports, the lines again as a ranking, noise between; some blocks never end."""
+    boxes = _boxes(spark, sf_dir)
+    rows = boxes.groupBy("page_id", F.col("row_no").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "text"))), lambda b: b.text), " ").alias("line"))
+    dumps = E.box_dump(boxes, rows)
+    body = F.regexp_replace("dump", r"\n\nlines \(", "\n# lines (").alias("body")
+    own = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r.line), "\n").alias("ranking"))
+    text = F.concat(F.lit("noise\n12:00 === EXPORT ===\n# page "), "page_id", F.lit("\n"), F.regexp_replace(body, r"# lines \(([0-9]+)\):", "# lines ($1)"), F.lit("\n=== END EXPORT ===\n=== RANKING ===\n"), F.lit("page "), "page_id", F.lit("\n"), "ranking", F.lit("\n=== END RANKING ===\n=== END RANKING ===\n"))
+    dumps.join(own, "page_id").select(text.alias("value")).write.text(folder)
+
+
+def _named(blocks: DataFrame) -> DataFrame:
+    """(page_id, page): which page the blocks of a log belong to, by their first line."""
+    return blocks.select("page_id", F.regexp_extract("body", r"^#? ?page (\S+)", 1).alias("page"))
+
+
+@query(
+    """SELECT page_id, text, count(*) AS boxes, min(CAST(round(min_x * 200) AS BIGINT)) AS left_side, max(CAST(round(max_x * 200) AS BIGINT)) AS right_side,
+      min(CAST(round(min_y * 1000) AS BIGINT)) AS bottom_side, max(CAST(round(max_y * 1000) AS BIGINT)) AS top_side FROM b GROUP BY page_id, text""",
+    b=DUCK_BOXES,
+)
 def source_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC5, SRC6: boxes of pages, dumped into log files and read from them."""
+    """SRC5: boxes of pages, dumped into log files and read from them."""
     folder = shared_path(spark, "exports")
-    dumps = E.box_dump(_boxes(spark, sf_dir))
-    dumps.select(F.concat(F.lit("noise\n=== EXPORT ===\n# page "), "page_id", F.lit("\n"), "dump", F.lit("\n=== END ===\n")).alias("value")).write.text(folder)
-    blocks = read_exports(spark, folder)
-    names = blocks.select("page_id", F.regexp_extract("body", r"^# page (\S+)", 1).alias("page"))
-    boxes = export_boxes(blocks).join(names, "page_id")
-    side = lambda c: F.round(F.col(c) * 200).cast("long")
-    return boxes.groupBy(F.col("page").alias("page_id"), "text").agg(F.count("*").alias("boxes"), F.min(side("min_x")).alias("left_side"), F.max(side("max_x")).alias("right_side"))
+    _logs(spark, sf_dir, folder)
+    blocks = read_exports(spark, folder, "=== EXPORT ===", "=== END EXPORT ===")
+    boxes = export_boxes(blocks).join(_named(blocks), "page_id")
+    side = lambda c, n: F.round(F.col(c) * n).cast("long")
+    return boxes.groupBy(F.col("page").alias("page_id"), "text").agg(F.count("*").alias("boxes"), F.min(side("min_x", 200)).alias("left_side"), F.max(side("max_x", 200)).alias("right_side"), F.min(side("min_y", 1000)).alias("bottom_side"), F.max(side("max_y", 1000)).alias("top_side"))
+
+
+@query("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY row_no) - 1 AS INT) AS line_no, string_agg(text, ' ' ORDER BY box_id) AS line FROM b GROUP BY page_id, row_no", b=DUCK_BOXES)
+def source_recorded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC6: the lines that an export recorded, checked against the number it states."""
+    folder = shared_path(spark, "exports")
+    _logs(spark, sf_dir, folder)
+    blocks = read_exports(spark, folder, "=== EXPORT ===", "=== END EXPORT ===")
+    return recorded_lines(blocks).join(_named(blocks), "page_id").select(F.col("page").alias("page_id"), "line_no", "line")
+
+
+@query(
+    """WITH r AS (SELECT page_id, row_no, count(*) AS n, string_agg(text, ' ' ORDER BY box_id) AS line FROM b GROUP BY page_id, row_no), p AS (SELECT page_id, sum(n) AS boxes, count(*) AS rows, string_agg(line, chr(10) ORDER BY row_no) AS lines FROM r GROUP BY page_id)
+    SELECT page_id, 'EXPORT' AS kind, CAST(boxes + rows + 2 AS BIGINT) AS n_lines, NULL AS body_sha256 FROM p UNION ALL SELECT page_id, 'RANKING', CAST(rows + 1 AS BIGINT), sha256('page ' || page_id || chr(10) || lines) FROM p""",
+    b=DUCK_BOXES,
+)
+def source_log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7: all blocks of console logs, by kind."""
+    folder = shared_path(spark, "logs")
+    _logs(spark, sf_dir, folder)
+    blocks = log_blocks(spark, folder)
+    page = F.regexp_extract("body", r"^#? ?page (\S+)", 1)
+    return blocks.select(page.alias("page_id"), "kind", F.size(F.split("body", "\n")).cast("long").alias("n_lines"), F.when(F.col("kind") == "RANKING", F.sha2("body", 256)).alias("body_sha256"))
 
 
 @query("SELECT doc_id AS page_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\f\\v]+', ' ', 'g')) AS line FROM documents) d WHERE line <> '' GROUP BY doc_id")
