@@ -23,17 +23,27 @@ def pieces(text: Column, width: int = GRAM) -> Column:
     return F.filter(F.array_distinct(every), lambda x: x != "")
 
 
+def piece_index(texts: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(__text, __piece): which of the `wanted` pieces (__piece) each distinct text holds; pieces nobody wants never leave their task."""
+    own = texts.select(F.col(text).alias("__text")).distinct()
+    return own.select("__text", F.explode(pieces(F.col("__text"))).alias("__piece")).join(wanted, "__piece", "left_semi")
+
+
 def substring_join(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
     """Each row of texts beside each row of keys whose `key` is in its `text`; an empty key is in none.
 
     They meet by one piece of the key, of GRAM characters or the whole of a shorter key: the one that the fewest
     texts hold, so that common letters make no large group. Keys without such a piece in any text drop out at once.
+    Only distinct texts and keys are compared; the rows' other columns join the pairs that are found.
     """
-    held = texts.select(F.explode(pieces(F.col(text))).alias("__piece")).groupBy("__piece").agg(F.count("*").alias("__held"))
-    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1)), lambda i: F.substring(F.col(key), i, F.lit(GRAM)))
-    rated = keys.select(key).where(F.col(key) != "").distinct().withColumn("__piece", F.explode(F.array_distinct(own))).join(held, "__piece")
-    rarest = rated.groupBy(key).agg(F.min_by("__piece", F.struct("__held", "__piece")).alias("__piece"))
-    return texts.withColumn("__piece", F.explode(pieces(F.col(text)))).join(keys.join(rarest, key), "__piece").drop("__piece").where(F.contains(text, key))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - GRAM + 1))
+    own = F.transform(at, lambda i: F.substring(F.col(key), i, F.lit(GRAM)))
+    asked = keys.select(key).where(F.col(key) != "").distinct().select(F.col(key).alias("__key"), F.explode(F.array_distinct(own)).alias("__piece"))
+    index = piece_index(texts, text, asked.select("__piece").distinct())
+    rated = asked.join(index.groupBy("__piece").agg(F.count("*").alias("__held")), "__piece")
+    rarest = rated.groupBy("__key").agg(F.min_by("__piece", F.struct("__held", "__piece")).alias("__piece"))
+    pairs = index.join(rarest, "__piece").where(F.contains("__text", "__key")).select("__text", "__key")
+    return texts.join(pairs, texts[text] == pairs["__text"]).join(keys, F.col("__key") == keys[key]).drop("__text", "__key")
 
 
 def _longest(text: Column) -> Column:
