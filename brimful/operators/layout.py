@@ -436,7 +436,7 @@ def text_lines(pages: DataFrame) -> DataFrame:
 
 def table_lines(rows: DataFrame) -> DataFrame:
     """rows (page_id, row_no, cells array) as lines of their cells that are not empty."""
-    return rows.select("page_id", "row_no", F.array_join(F.filter(F.transform("cells", F.trim), lambda c: c != ""), " ").alias("line")).where("line <> ''")
+    return rows.select("page_id", "row_no", F.array_join(F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c != ""), " ").alias("line")).where("line <> ''")
 
 
 def promote_candidate(readings: DataFrame, most: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from brimful.operators import layout as Y
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
-from brimful.sources.readers import brand_dimension, export_boxes, log_blocks, read_bc, read_catalog, read_exports, read_facts, read_wholesale, recorded_lines
+from brimful.sources.readers import brand_dimension, export_boxes, log_blocks, read_bc, read_catalog, read_exports, read_facts, read_wholesale, recorded_lines, relevant_facts
 from brimful.sources.sinks import shared_path, write_catalog
 from brimful.streaming import streams as Z
 
@@ -175,6 +175,16 @@ def source_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_dimension(spark, folder).select("key", "label", "category", "abv", "priority")
 
 
+@query("SELECT CAST(100000000000 + p_partkey AS VARCHAR) AS code, CAST(p_size AS VARCHAR) AS strength, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS INT) AS stated FROM part WHERE p_partkey % 4 <> 3 ORDER BY code LIMIT 8")
+def facts_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4: the first eight drinks of a product dump, with the nutriments that are stated."""
+    k = F.col("k")
+    tag = F.when(k % 4 == 0, "en:beers").when(k % 4 == 1, "en:wines").when(k % 4 == 2, "en:alcoholic-beverages").otherwise("en:juices")
+    nutriments = F.create_map(F.lit("alcohol_100g"), F.col("size").cast("string"), F.lit("sugars"), F.when(k % 3 != 0, "1"), F.lit("salt"), F.lit(""))
+    found = relevant_facts(_shouted(spark, sf_dir).select("code", F.array(tag).alias("categories_tags"), nutriments.alias("nutriments")))
+    return found.select("code", F.col("nutriments")["alcohol_100g"].alias("strength"), F.size("nutriments").alias("stated"))
+
+
 def _logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """Log files of pages: their boxes and lines as exports, the lines again as a ranking, noise between; some blocks never end."""
     boxes = _boxes(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimful.functions.text import glyph_tokens
 from brimful.operators import knowledge as K
 from brimful.plans.adapters import adapt
 from brimful.plans.queries import BRANDS, FIRST_BRAND, NAMES, PRODUCTS, PROFILE, STYLES, TIERS, query
@@ -37,6 +38,12 @@ def misread_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.glyph_match(adapt(spark, sf_dir, MISREAD), adapt(spark, sf_dir, BRANDS))
 
 
+@query(f"SELECT name, array_to_string({TOKENS.format('name')}, ' ') AS tokens FROM (SELECT DISTINCT name FROM n) d", n=MISREAD)
+def glyph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR1, OCR2: the words of each name by the shape of their glyphs."""
+    return adapt(spark, sf_dir, MISREAD).select("name").distinct().select("name", F.array_join(glyph_tokens(F.col("name")), " ").alias("tokens"))
+
+
 #: PROFILE with misread brands where no brand stands in the name as it is; then the tier of catalog products.
 ALL_TIERS = f"""{PROFILE.replace(FIRST_BRAND, FIRST_BRAND.replace('bm AS', 'em AS', 1) + ', ' + GLYPH_BEST + ', bm AS (SELECT * FROM em UNION ALL SELECT * FROM gb WHERE NOT EXISTS (SELECT 1 FROM em WHERE em.name = gb.name))')},
 q AS (SELECT DISTINCT name AS query_id, name AS query FROM pr WHERE kind <> 'brandMatch'),

@@ -7,10 +7,12 @@ rows, so that too few agree for a cut; the SQL says what is right for any number
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
 from brimful.plans.adapters import adapt
-from brimful.plans.queries import query
+from brimful.plans.queries import SQL, query
 
 
 def rows_of(rows: int, kinds: int) -> str:
@@ -101,8 +103,6 @@ BAND_COUNTS = f"c AS (SELECT *, count(*) FILTER ({BLOCK}) OVER (PARTITION BY pag
 )
 def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV8: a block of two columns between whole rows is cut out and split; the whole rows stay whole."""
-    from pyspark.sql import functions as F
-
     alone = spark.createDataFrame([("isolate", True)], "param_id string, isolate boolean").withColumn("min_names", F.lit(0.2))
     return Y.assemble(adapt(spark, sf_dir, BAND_BOXES), alone).drop("param_id")
 
@@ -138,3 +138,33 @@ HEIGHT_BOXES = boxes_of(HEIGHT_ROWS, [*across("row_no < 6"), *halves("row_no >=
 def page_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV6: what nine section gaps, in heights of text, do to pages whose sections lie 0.55 to 1.75 heights apart."""
     return Y.sweep_summary(Y.sweep_scores(adapt(spark, sf_dir, HEIGHT_BOXES), Y.height_sweep(spark)))
+
+
+FEW = "len(string_split(line, ' ')) <= 2 AND NOT regexp_matches(line, '[0-9]')"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, CAST(page_id AS INT) % 7 * 100 + 900 AS px_w, 1400 AS px_h, round(quantile_cont(max_y - min_y, 0.5), 9) AS median_height FROM b GROUP BY page_id),
+    d AS (SELECT page_id, row_no, string_agg(text, ' ' ORDER BY box_id) AS line FROM b GROUP BY page_id, row_no), r AS (SELECT page_id, count(*) AS recorded_lines, round(avg(row_no / 16e0), 9) AS confidence, round(avg(CASE WHEN {FEW} THEN 1 ELSE 0 END), 9) AS fragments_before FROM d GROUP BY page_id),
+    a AS (SELECT page_id, count(*) AS lines, round(avg(CASE WHEN {FEW} THEN 1 ELSE 0 END), 9) AS fragments_after FROM c GROUP BY page_id)
+    SELECT p.page_id, px_w, px_h, px_w / 1400e0 AS aspect, confidence, median_height, recorded_lines, lines, fragments_before, fragments_after FROM p JOIN r ON p.page_id = r.page_id JOIN a ON p.page_id = a.page_id""",
+    b=SPLIT_BOXES, c=SQL["page_columns"],
+)
+def page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV9: pixels, confidence, heights, line counts and fragments of each page, with rows read straight across and with columns."""
+    boxes = adapt(spark, sf_dir, SPLIT_BOXES)
+    pages = boxes.select("page_id").distinct().select("page_id", (F.col("page_id").cast("int") % 7 * 100 + 900).alias("px_w"), F.lit(1400).alias("px_h"))
+    across = boxes.groupBy("page_id", F.col("row_no").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "text"))), lambda b: b.text), " ").alias("line"), (F.first("row_no") / 16.0).cast("double").alias("confidence"))
+    done = E.page_report(boxes, pages, across, Y.assemble(boxes))
+    return done.select(*(F.round(c, 9).alias(c) if c in ("confidence", "median_height", "fragments_before", "fragments_after") else c for c in done.columns))
+
+
+@query(
+    "SELECT CAST(page AS VARCHAR) AS page_id, CAST(row_no AS INT) AS row_no, array_to_string(list_filter(list_transform([a, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE ' ' || b || ' ' END, '', CAST(p_size AS VARCHAR)], lambda c: trim(c)), lambda c: c <> ''), ' ') AS line FROM r",
+    r=SPLIT_ROWS,
+)
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LY12: rows of tables as lines of their cells that are not empty."""
+    rows = adapt(spark, sf_dir, SPLIT_ROWS)
+    cells = F.array("a", F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.concat(F.lit(" "), "b", F.lit(" "))), F.lit(""), F.col("p_size").cast("string"))
+    return Y.table_lines(rows.select(F.col("page").cast("string").alias("page_id"), F.col("row_no").cast("int").alias("row_no"), cells.alias("cells")))

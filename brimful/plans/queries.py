@@ -128,9 +128,8 @@ def session_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REFERENCE = """
-p AS (SELECT list_id, category, price_cents, row_number() OVER (PARTITION BY list_id, category ORDER BY price_cents) AS i, count(*) OVER (PARTITION BY list_id, category) AS n FROM o WHERE price_cents IS NOT NULL),
-h AS (SELECT *, (n + 1) // 2 AS half FROM p),
-r AS (SELECT list_id, category, avg(price_cents) AS reference FROM h WHERE n >= 4 AND i IN ((half + 1) // 2, (half + 2) // 2) GROUP BY list_id, category)
+p AS (SELECT list_id, category, list_sort(list(price_cents)) AS prices, (count(*) + 1) // 2 AS half FROM o WHERE price_cents IS NOT NULL GROUP BY list_id, category HAVING count(*) >= 4),
+r AS (SELECT list_id, category, (prices[(half + 1) // 2] + prices[(half + 2) // 2]) / 2e0 AS reference FROM p)
 """
 
 
