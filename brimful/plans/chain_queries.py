@@ -1,4 +1,4 @@
-"""Registered queries of the whole way from lines to rankings and reports, in batch and as a stream (AG8, SNK5, SNK6, SM2).
+"""Registered queries of the whole way from lines to rankings and reports, in batch and as a stream, and of filled forms (AG8, SNK5, SNK6, SM2, EN7, EN8).
 
 The SQL stacks what the single steps have: reading lists, withdrawn prices, the list's category, what names tell, and value.
 """
@@ -6,14 +6,18 @@ The SQL stacks what the single steps have: reading lists, withdrawn prices, the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brimful.functions.vocabulary import BRANDS, CATEGORIES, STYLES
+from brimful.operators import knowledge as K
 from brimful.operators.knowledge import brand_table, style_table
 from brimful.operators.quality import session_report
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import LINES, adapt
 from brimful.plans.name_queries import GLYPH_BEST
-from brimful.plans.queries import FIRST_BRAND, FIRST_STYLE, PROFILE, REFERENCE, SQL, VALUE, query
+from brimful.plans.queries import BRANDS as PART_BRANDS
+from brimful.plans.queries import DEFAULT_OZ, FIRST_BRAND, FIRST_STYLE, PROFILE, REFERENCE, SQL, VALUE, query
+from brimful.plans.queries import STYLES as PART_STYLES
 from brimful.sources.sinks import shared_path
 from brimful.streaming import streams as Z
 
@@ -87,3 +91,40 @@ def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = lambda ranked, epoch: Z.write_epoch(ranked, f"{folder}/ranked", epoch)
     Z.stream_lists(stream, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/ranked").drop("epoch")
+
+
+#: Products with a stated size and, three times in four, a strength; drinks whose names say how they are poured, half of them typed.
+OWN_NAME = "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'x' END || ' ' || p_brand"
+FORM_PRODUCTS = f"SELECT p_partkey AS product_id, {OWN_NAME} AS name, CASE WHEN p_partkey % 2 = 0 THEN 'shot' ELSE 'cider' END AS category, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS abv, CAST(p_size * 25 + p_partkey % 3 AS DOUBLE) AS ml, CAST(p_partkey % 5 + 1 AS INT) AS units FROM {{part}}"
+FORM_DRINKS = f"SELECT DISTINCT {OWN_NAME} || CASE p_size % 3 WHEN 0 THEN ' pitcher' WHEN 1 THEN ' double' ELSE ' pint' END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'cocktail' END AS category, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS abv, CAST(p_size % 3 AS INT) AS pour FROM {{part}}"
+PLAIN = PROFILE.replace("WHEN category = 'cocktail' THEN 12e0 ELSE 12e0 END AS typical_abv", f"ELSE {BY_CATEGORY(1, 'category')} END AS typical_abv").replace(DEFAULT_OZ, BY_CATEGORY(2, "category"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    names = asked.select("name", F.coalesce("category", F.lit("unknown")).alias("section")).distinct()
+    return K.profile(names, adapt(spark, sf_dir, PART_BRANDS), adapt(spark, sf_dir, PART_STYLES).withColumn("keywords", F.array("label")), glyphs=False)
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT name, category AS section FROM p), {PLAIN}
+    SELECT p.product_id, p.name, coalesce(p.abv, typical_abv) AS abv, true AS abv_estimated, CASE WHEN p.abv IS NOT NULL THEN p.name || ' at its typical label strength, not read off this package' ELSE {NOTE} END AS note, z.label, z.oz, p.units AS count
+    FROM p JOIN pr ON p.name = pr.name AND p.category = pr.section JOIN z ON p.ml = z.ml""",
+    b=PART_BRANDS, s=PART_STYLES, p=FORM_PRODUCTS, z=SQL["size_nearest"],
+)
+def package_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN7, PK1: forms filled in from catalog products."""
+    products = adapt(spark, sf_dir, FORM_PRODUCTS)
+    return K.prefilled_packages(products, _profiles(spark, sf_dir, products))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT name, coalesce(category, 'unknown') AS section FROM d), {PLAIN}
+    SELECT d.name, coalesce(d.abv, typical_abv) AS abv, true AS abv_estimated, CASE WHEN d.abv IS NOT NULL THEN d.name || ' at its typical strength, not read off the menu' ELSE {NOTE} END AS note,
+      CASE pour WHEN 0 THEN '60 oz pitcher' WHEN 1 THEN '3 oz double' ELSE '16 oz' END AS label, CASE pour WHEN 0 THEN 60e0 WHEN 1 THEN 3e0 ELSE 16e0 END AS oz
+    FROM d JOIN pr ON d.name = pr.name AND coalesce(d.category, 'unknown') = pr.section""",
+    b=PART_BRANDS, s=PART_STYLES, d=FORM_DRINKS,
+)
+def drink_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EN8, PK2: forms filled in from drinks, and from names that were typed."""
+    drinks = adapt(spark, sf_dir, FORM_DRINKS).drop("pour")
+    return K.prefilled_drinks(drinks, _profiles(spark, sf_dir, drinks))
