@@ -12,6 +12,7 @@ from brimful.operators.dealing import dealt
 
 ITEM = ("name", "category", "price_cents", "abv", "abv_estimated", "size_oz", "size_estimated", "count")
 STATE = ("session_id", "item_id", *ITEM)
+BLANKS = " \t\r\n"
 OPTIONAL = {"category": "string", "abv": "double", "size_oz": "double", "price": "double"}
 
 
@@ -25,7 +26,7 @@ def valid_edits(events: DataFrame) -> DataFrame:
     for name, kind in OPTIONAL.items():
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
-    name = F.btrim(F.col("name"), F.lit(" \t\r\n"))
+    name = F.btrim(F.col("name"), F.lit(BLANKS))
     cents = F.round(F.when(F.col("kind") == "add", F.col("price")).otherwise(F.col("value")) * 100).cast("int")
     category = F.when(F.col("category") == "nonAlcoholic", "unknown").otherwise(F.coalesce("category", F.lit("unknown")))
     rows = events.select("session_id", F.col("seq").cast("long").alias("seq"), "item_id", "kind", name.alias("name"), F.when(cents > 0, cents).alias("cents"), F.col("value").cast("double").alias("value"), F.greatest(F.lit(1), "count").cast("int").alias("count"), category.alias("category"), F.col("abv").cast("double").alias("abv"), F.col("size_oz").cast("double").alias("size_oz"))
@@ -93,6 +94,7 @@ def capped_adds(events: DataFrame, cap: int = 5) -> DataFrame:
             yield pd.DataFrame(out, columns=["session_id", "item_id"])
         yield pd.DataFrame([(session, i) for i in live], columns=["session_id", "item_id"])
 
-    good = events.where("kind = 'remove' or (kind = 'add' and trim(name) <> '')").select("session_id", "seq", "item_id", "kind")
+    named = F.btrim(F.col("name"), F.lit(BLANKS)) != ""
+    good = events.where((F.col("kind") == "remove") | ((F.col("kind") == "add") & named)).select("session_id", "seq", "item_id", "kind")
     kinds = dict(events.dtypes)
     return dealt(good, "session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, f"session_id {kinds['session_id']}, item_id {kinds['item_id']}")
