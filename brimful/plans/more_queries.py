@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimful.functions.lines import line_features
 from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
+from brimful.operators.catalog import require_abv
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
@@ -265,6 +267,41 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.best_reading(torn.withColumn("candidate_no", F.lit(0)).unionByName(lines.withColumn("candidate_no", F.lit(1))))
 
 
+@query(
+    """WITH r AS (SELECT list_id, line_no, CASE WHEN line_no % 9 = 0 THEN line || '!' ELSE line END AS line FROM l WHERE line_no % 31 <> 0 UNION ALL SELECT list_id, line_no + 10000, line FROM l WHERE line_no % 50 = 1),
+    d AS (SELECT coalesce(l.list_id, r.list_id) AS page_id, coalesce(l.line_no, r.line_no) AS line_no, l.line AS ours, r.line AS recorded FROM l FULL OUTER JOIN r ON l.list_id = r.list_id AND l.line_no = r.line_no WHERE l.line IS DISTINCT FROM r.line)
+    SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS INT) AS place FROM d QUALIFY place <= 12""",
+    l=LINES,
+)
+def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV1: the first twelve places of each page where two readings differ, with both lines."""
+    ours = adapt(spark, sf_dir, LINES).withColumnRenamed("list_id", "page_id")
+    changed = ours.where("line_no % 31 <> 0").withColumn("line", F.when(F.col("line_no") % 9 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
+    recorded = changed.unionByName(ours.where("line_no % 50 = 1").withColumn("line_no", F.col("line_no") + 10000))
+    return E.compare_lines(ours, recorded)[1]
+
+
+@query(
+    """WITH h AS (SELECT *, CASE WHEN line = 'DRAFT BEER' THEN 'draftBeer' WHEN line LIKE 'COCK%' THEN 'cocktail' WHEN line = 'WINES' OR line LIKE 'REDS%' THEN 'wineGlass' END AS section FROM l)
+    SELECT list_id, line_no, line, CASE WHEN section IS NULL THEN 'dropped' WHEN line_no % 5 = 0 THEN 'new' WHEN section <> 'wineGlass' AND line_no % 3 = 0 THEN 'category' ELSE 'kept' END AS change FROM h
+    WHERE section IS NOT NULL OR (line LIKE '%Brand#%' AND line_no % 11 = 3)""",
+    l=LINES,
+)
+def header_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV2, EV3: every header that two rules see alike, in another category, or only one of them."""
+    lines = adapt(spark, sf_dir, LINES)
+    ours = line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section")
+    other = ours.where("line_no % 5 <> 0").withColumn("section", F.when(F.col("line_no") % 3 == 0, "wineGlass").otherwise(F.col("section")))
+    wrong = lines.where("line like '%Brand#%' and line_no % 11 = 3").withColumn("section", F.lit("shot"))
+    return E.compare_headers(ours, other.unionByName(wrong))
+
+
+@query("SELECT source, row_seq, name, category, abv, ml, units, upc FROM c WHERE abv IS NOT NULL", c=CATALOG)
+def catalog_with_abv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2: the rows of a catalog that state a strength."""
+    return require_abv(adapt(spark, sf_dir, CATALOG))[0].select("source", "row_seq", "name", "category", "abv", "ml", "units", "upc")
+
+
 def _edits_in_parts(spark: SparkSession, sf_dir: str, folder: str, then: Callable[[DataFrame], None], parts: int = 4) -> None:
     """Lays the edit log down in four parts, each of which `then` has to take in as a stream before the next one comes."""
     edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
