@@ -34,7 +34,7 @@ MARK = "▁"
 TOP = 0x110000  # above every character
 LITERAL_MARK = "\udc81"  # cannot occur in decoded UTF-8
 #: Nodes in a worker's cache; beyond it the cache starts anew, and the next blocks fill it again.
-MAX_NODES = 2_000_000
+MAX_NODES = 1_200_000
 BLOCK_BYTES = 1 << 20
 #: Characters of a segment at most; all segments of a block advance together, so this also bounds the rounds.
 LONGEST = 256
