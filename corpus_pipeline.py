@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written before the next one reads it."""
+"""From raw documents to packed training sequences: five stages, each written before the next one reads it.
+
+Documents have doc_id, text, lang and n_chars; a column named source is used where there is one, others are kept as they are,
+whatever their names. In every stage a null text is the empty text, texts of any length are read whole, and an
+empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +19,12 @@ from brimful.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
+    """Documents that pass the rules; rows with null, repeated or equal doc_ids are judged one by one, by their texts and lang alone."""
     return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; empty ones are no duplicates, unlike texts with one doc_id or none are documents of their own."""
     return keep_one(docs)
 
 
@@ -44,12 +49,12 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; row by row, so ids do not matter."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids placed in sequences."""
+    """Pieces of token ids placed in sequences; an empty document is its end id alone, rows with one doc_id are packed each for itself."""
     cut = pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return place(cut, shard_count(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
