@@ -89,8 +89,9 @@ def value_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p=PACKAGES,
 )
 def package_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VL4, VL5: packages ranked, with dollars per standard drink."""
-    return V.rank_packages(adapt(spark, sf_dir, PACKAGES))
+    """VL4, VL5: packages ranked, with dollars per standard drink; columns in the order of the SQL."""
+    ranked = V.rank_packages(adapt(spark, sf_dir, PACKAGES))
+    return ranked.select("list_id", "item_no", "name", "unit_oz", "count", "abv", "price_cents", "total_oz", "drinks", "dollars_per_drink", "value", "rank")
 
 
 @query(
