@@ -58,11 +58,17 @@ def search(catalog: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame
     """
     names = catalog if "folded" in catalog.columns else index_catalog(catalog)
     asked = queries.select("query_id", fold(F.col("query")).alias("asked")).where("asked <> ''").withColumn("first_word", _longest(F.col("asked")))
-    # Whatever the tier, a name contains every word of the query.
-    hits = substring_join(names, "folded", asked, "first_word").withColumn("tier", match_tier(F.col("folded"), F.col("asked"))).where("tier is not null")
-    order = Window.partitionBy("query_id").orderBy("tier", F.length("folded"), "folded", "product_id")
-    ranked = hits.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
-    return ranked.drop("first_word")
+    # Whatever the tier, a name contains every word of the query. Products of one folded name share all but product_id, so
+    # queries meet the distinct names, and of each name only the first `limit` products can be among the best.
+    hits = substring_join(names.select("folded").distinct(), "folded", asked, "first_word").withColumn("tier", match_tier(F.col("folded"), F.col("asked"))).where("tier is not null")
+    order = (F.col("tier"), F.length("folded"), F.col("folded"))
+    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit).drop("place", "first_word")
+    among = F.row_number().over(Window.partitionBy("folded").orderBy("product_id"))
+    kept = names.withColumn("__among", among).where(F.col("__among") <= limit).drop("__among")
+    by_query = Window.partitionBy("query_id").orderBy(*order, "product_id")
+    columns = [*names.columns, "query_id", "asked", "tier", "place"]
+    ranked = kept.join(best, "folded").withColumn("place", F.row_number().over(by_query).cast("long")).where(F.col("place") <= limit).select(*columns)
+    return ranked
 
 
 def product_count(catalog: DataFrame) -> DataFrame:
