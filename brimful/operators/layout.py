@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -72,34 +73,57 @@ def _stretches(said: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(said[a + 1 : b], a + 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _median(values: list[float]) -> float:
+    """As NumPy's, without the cost of a call on the few values of a row; NaN where there are none or one is NaN."""
+    total, n = sum(values), len(values)
+    if not n or total != total:
+        return float(np.median(values)) if n else float("nan")
+    ordered = sorted(values)
+    return ordered[n // 2] if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
+
+
 class Page:
     """Boxes of one page as arrays, and the recursive cut."""
 
-    def __init__(self, rows: pd.DataFrame, t: Thresholds) -> None:
+    def __init__(self, rows: Mapping[str, np.ndarray] | pd.DataFrame, t: Thresholds) -> None:
+        """`rows` gives each column of TOKEN. Rows of a page hold a few boxes, which lists handle faster than arrays."""
         self.t = t
-        self.left, self.right = rows["min_x"].to_numpy(float), rows["max_x"].to_numpy(float)
-        self.mid_x, self.mid_y = (self.left + self.right) / 2, (rows["min_y"].to_numpy(float) + rows["max_y"].to_numpy(float)) / 2
-        self.height = rows["max_y"].to_numpy(float) - rows["min_y"].to_numpy(float)
-        self.name, self.serving, self.price, self.letter = (rows[c].to_numpy(bool) for c in ("is_name", "is_serving", "is_price", "has_letter"))
-        self.text = rows["text"].tolist()
+        low, high = (np.asarray(rows[c], float) for c in ("min_y", "max_y"))
+        self.left, self.right = (np.asarray(rows[c], float) for c in ("min_x", "max_x"))
+        self.mid_x, self.mid_y, self.height = (self.left + self.right) / 2, (low + high) / 2, high - low
+        self.name, self.serving, self.price, self.letter = (np.asarray(rows[c], bool) for c in ("is_name", "is_serving", "is_price", "has_letter"))
+        self.text = list(rows["text"])
+        self.lefts, self.rights, self.ys, self.heights = (x.tolist() for x in (self.left, self.right, self.mid_y, self.height))
+        self.from_left = [x if x == x else float("inf") for x in self.lefts]
+        self.known: tuple[np.ndarray, list[np.ndarray], list[list[int]]] | None = None
+
+    def by_left(self, row: np.ndarray) -> list[int]:
+        return sorted(row.tolist(), key=self.from_left.__getitem__)
+
+    def banded(self, own: np.ndarray) -> tuple[list[np.ndarray], list[list[int]]]:
+        """Rows from top to bottom, and the same from left to right; one begins where a box is too far from the row's first."""
+        if self.known is None or self.known[0] is not own:  # a part is cut into rows once for all the rules that ask
+            boxes = own[np.argsort(-self.mid_y[own], kind="stable")]
+            ys = self.mid_y[boxes].tolist()
+            tolerance, cuts, anchor = _median(self.height[own].tolist()) * 0.5, [], ys[0]
+            for i, y in enumerate(ys):
+                if abs(y - anchor) > tolerance:
+                    cuts.append(i)
+                    anchor = y
+            bands = [boxes[a:b] for a, b in zip([0, *cuts], [*cuts, len(ys)], strict=True)]
+            self.known = own, bands, [self.by_left(b) for b in bands]
+        return self.known[1], self.known[2]
 
     def bands(self, own: np.ndarray) -> list[np.ndarray]:
-        """Rows from top to bottom; one begins where a box is too far from the row's first."""
-        own = own[np.argsort(-self.mid_y[own], kind="stable")]
-        tolerance, cuts, anchor = np.median(self.height[own]) * 0.5, [], self.mid_y[own[0]]
-        for i, y in enumerate(self.mid_y[own]):
-            if abs(y - anchor) > tolerance:
-                cuts.append(i)
-                anchor = y
-        return np.split(own, cuts)
+        return self.banded(own)[0]
 
     def horizontal(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         bands = self.bands(own)
         if len(bands) < 4:
             return None
-        gaps = -np.diff([np.median(self.mid_y[b]) for b in bands])
+        gaps = -np.diff([_median(self.mid_y[b].tolist()) for b in bands])
         cut = int(np.argmax(gaps)) + 1
-        if gaps[cut - 1] < max(self.t.min_section_gap, np.median(gaps) * self.t.section_gap_multiple) or not 2 <= cut <= len(bands) - 2:
+        if gaps[cut - 1] < max(self.t.min_section_gap, _median(gaps.tolist()) * self.t.section_gap_multiple) or not 2 <= cut <= len(bands) - 2:
             return None
         parts = np.concatenate(bands[:cut]), np.concatenate(bands[cut:])
         return parts if min(map(len, parts)) >= self.t.min_side else None
@@ -114,15 +138,13 @@ class Page:
     def coverage(self, own: np.ndarray) -> np.ndarray:
         n = self.t.bins
         lo, hi = np.maximum(0, (self.left[own] * n).astype(int)), np.minimum(n - 1, (self.right[own] * n).astype(int))
-        steps = np.zeros(n + 1, int)
-        np.add.at(steps, lo[lo <= hi], 1)
-        np.add.at(steps, hi[lo <= hi] + 1, -1)
-        return np.cumsum(steps)[:n]
+        on = lo <= hi
+        return np.cumsum(np.bincount(lo[on], minlength=n + 1) - np.bincount(hi[on] + 1, minlength=n + 1))[:n]
 
     def corridor(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """The guarded split at the widest empty run of bins, nearest the centre on ties."""
         narrow = own[self.right[own] - self.left[own] <= self.t.header_width]
-        full = np.flatnonzero(self.coverage(narrow if len(narrow) >= 2 * self.t.min_side else own))
+        full = np.flatnonzero(self.coverage(narrow if len(narrow) >= 2 * self.t.min_side else own)).tolist()
         best = None
         for a, b in zip(full[:-1], full[1:], strict=True):
             run = b - a - 1
@@ -143,46 +165,42 @@ class Page:
 
     def gutters(self, own: np.ndarray) -> list[float]:
         """Places where rows vote for a gap, most votes first, then the widest."""
-        votes = []
-        for row in self.bands(own):
-            row = row[np.argsort(self.left[row], kind="stable")]
-            gaps = self.left[row[1:]] - self.right[row[:-1]]
-            votes += [((self.right[a] + self.left[b]) / 2, g) for a, b, g in zip(row[:-1], row[1:], gaps, strict=True) if g >= self.t.min_gutter]
+        votes, right, left = [], self.rights, self.lefts
+        for row in self.banded(own)[1]:
+            votes += [((right[a] + left[b]) / 2, left[b] - right[a]) for a, b in zip(row[:-1], row[1:], strict=True) if left[b] - right[a] >= self.t.min_gutter]
         clusters, used = [], np.zeros(len(votes), bool)
         at, width = np.array(votes).reshape(-1, 2).T
-        for seed in np.argsort(-width, kind="stable"):
-            members = ~used & (np.abs(at - at[seed]) <= self.t.gutter_cluster)
+        for seed in np.argsort(-width, kind="stable").tolist():
             if not used[seed]:
+                members = ~used & (np.abs(at - at[seed]) <= self.t.gutter_cluster)
                 used |= members
                 if members.sum() >= self.t.min_votes:
                     clusters.append((-int(members.sum()), -width[members].mean(), at[members].mean()))
         return [c[2] for c in sorted(clusters)]
 
-    def verdicts(self, bands: list[np.ndarray], x: float) -> np.ndarray:
-        """For each row 1 if it leaves a gutter free, -1 if it runs across, 0 if it lies on one side."""
-        out = np.zeros(len(bands), int)
-        for k, row in enumerate(bands):
-            row = row[np.argsort(self.left[row], kind="stable")]
-            a, b = self.right[row[:-1]], self.left[row[1:]]
-            if ((a <= x) & (x <= b) & (b - a >= self.t.min_gutter)).any():
+    def verdicts(self, rows: list[list[int]], x: float) -> np.ndarray:
+        """For each row, from left to right, 1 if it leaves a gutter free, -1 if it runs across, 0 if it lies on one side."""
+        least, out = self.t.min_gutter, np.zeros(len(rows), int)
+        for k, row in enumerate(rows):
+            left, right = [self.lefts[i] for i in row], [self.rights[i] for i in row]
+            if any(a <= x <= b and b - a >= least for a, b in zip(right[:-1], left[1:], strict=True)):
                 out[k] = 1
-            else:
-                spans = ((self.left[row] < x) & (x < self.right[row])).any()
-                out[k] = -bool(spans or ((self.right[row] <= x).any() and (self.left[row] >= x).any()))
+            elif any(a < x < b for a, b in zip(left, right, strict=True)) or (any(b <= x for b in right) and any(a >= x for a in left)):
+                out[k] = -1
         return out
 
     def vetoed(self, own: np.ndarray, x: float) -> bool:
         """More rows run across a gutter than leave it free."""
-        return self.verdicts(self.bands(own), x).sum() < 0
+        return self.verdicts(self.banded(own)[1], x).sum() < 0
 
     def isolated(self, own: np.ndarray) -> list[np.ndarray]:
         """The rows above, in and below the longest run of rows that agree on a gutter which others run across; empty if there is none.
 
         Rows on one side of the gutter do not end a run, rows across do; a run begins and ends with rows that leave it free.
         """
-        bands = self.bands(own)
+        bands, rows = self.banded(own)
         for x in self.gutters(own):
-            said = self.verdicts(bands, x)
+            said = self.verdicts(rows, x)
             stretches = [np.flatnonzero(part == 1) + at for part, at in _stretches(said)]
             runs = [(free[0], free[-1] + 1) for free in stretches if len(free)]
             if not runs or said.min() >= 0:  # where nobody runs across, a plain cut does
@@ -207,27 +225,48 @@ class Page:
     def chained(self, own: np.ndarray) -> list[list[int]]:
         """Rows of a leaf: each box, from the left, joins the row whose nearest member in height is closest."""
         if not self.t.chaining:
-            return [row[np.argsort(self.left[row], kind="stable")].tolist() for row in self.bands(own)]
-        tolerance, rows = np.median(self.height[own]) * self.t.row_tolerance, []
-        boxes = own[np.argsort(self.left[own], kind="stable")]
-        y, row_of = self.mid_y[boxes], np.empty(len(boxes), int)
-        for i, box in enumerate(boxes.tolist()):
-            gaps = np.abs(y[:i] - y[i])
-            least = gaps.min(initial=np.inf)
+            return [list(row) for row in self.banded(own)[1]]
+        tolerance, rows = _median(self.height[own].tolist()) * self.t.row_tolerance, []
+        boxes = self.by_left(own)
+        if not tolerance >= 0:  # no height is known
+            rows = [[box] for box in boxes]
+            return sorted(rows, key=lambda row: -self.mid_y[row].max())
+        heights: list[float] = []  # of the boxes so far, each once; row_at has the first row at each
+        row_at: dict[float, int] = {}
+        for box in boxes:
+            y = self.ys[box]
+            at = bisect_left(heights, y)
+            least = min(abs(heights[at] - y) if at < len(heights) else float("inf"), abs(heights[at - 1] - y) if at else float("inf"))
             if least <= tolerance:
-                row_of[i] = row_of[:i][gaps == least].min()
-                rows[row_of[i]].append(box)
+                near, i = [], at
+                while i < len(heights) and abs(heights[i] - y) == least:
+                    near.append(row_at[heights[i]])
+                    i += 1
+                i = at - 1
+                while i >= 0 and abs(heights[i] - y) == least:
+                    near.append(row_at[heights[i]])
+                    i -= 1
+                row = min(near)
+                rows[row].append(box)
             else:
-                row_of[i] = len(rows)
+                row = len(rows)
                 rows.append([box])
-        return sorted(rows, key=lambda row: -self.mid_y[row].max())
+            if y in row_at:
+                row_at[y] = min(row_at[y], row)
+            else:
+                row_at[y] = row
+                insort(heights, y)
+        return sorted(rows, key=lambda row: -max(map(self.ys.__getitem__, row)))
 
     def segments(self, row: list[int]) -> list[list[int]]:
         """A row cut where a price is followed, after a wide gap, by another name."""
-        gaps = [self.left[b] - self.right[a] for a, b in zip(row, row[1:], strict=False)]
+        ends = [i for i in range(len(row) - 1) if self.price[row[i]] and self.letter[row[i + 1]] and not self.serving[row[i + 1]]]
+        if not ends:
+            return [row]
+        gaps = [self.lefts[b] - self.rights[a] for a, b in zip(row[:-1], row[1:], strict=True)]
         positive = [g for g in gaps if g > 0]
-        wide = self.t.price_gap_multiple * max(float(np.median(positive)) if positive else 0.0, 0.0005)
-        cuts = [i + 1 for i, g in enumerate(gaps) if g >= wide and self.price[row[i]] and self.letter[row[i + 1]] and self.letter[row[: i + 1]].any() and not self.serving[row[i + 1]]]
+        wide = self.t.price_gap_multiple * max(_median(positive) if positive else 0.0, 0.0005)
+        cuts = [i + 1 for i in ends if gaps[i] >= wide and any(self.letter[k] for k in row[: i + 1])]
         return [row[a:b] for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True)]
 
     def lines(self) -> list[str]:
@@ -245,10 +284,10 @@ class HeightPage(Page):
 
     def sections(self, own: np.ndarray) -> list[np.ndarray]:
         bands = self.bands(own)
-        half = self.height / 2
-        bottom = np.array([(self.mid_y[b] - half[b]).min() for b in bands])
-        top = np.array([(self.mid_y[b] + half[b]).max() for b in bands])
-        ends = np.flatnonzero(bottom[:-1] - top[1:] >= np.median(self.height[own]) * self.t.section_heights) + 1
+        low, high = self.mid_y - self.height / 2, self.mid_y + self.height / 2
+        bottom = np.array([low[b].min() for b in bands])
+        top = np.array([high[b].max() for b in bands])
+        ends = np.flatnonzero(bottom[:-1] - top[1:] >= _median(self.height[own].tolist()) * self.t.section_heights) + 1
         return [np.concatenate(bands[a:b]) for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(bands)], strict=True)]
 
     def wide_enough(self, own: np.ndarray, x: float) -> tuple[np.ndarray, np.ndarray] | None:
@@ -265,10 +304,7 @@ class HeightPage(Page):
         if width <= 0:
             return None
         at = lambda x: np.clip(((x - lo) / width * n).astype(int), 0, n - 1)
-        steps = np.zeros(n + 1, int)
-        np.add.at(steps, at(self.left[narrow]), 1)
-        np.add.at(steps, at(self.right[narrow]) + 1, -1)
-        full = np.flatnonzero(np.cumsum(steps)[:n])
+        full = np.flatnonzero(np.cumsum(np.bincount(at(self.left[narrow]), minlength=n + 1) - np.bincount(at(self.right[narrow]) + 1, minlength=n + 1))[:n])
         begin, end = full[:-1] + 1, full[1:]
         wide = (end - begin) / n * width >= self.t.min_gutter
         middles = (lo + (begin + end) / 2 / n * width)[wide & (end > begin)]
@@ -283,10 +319,10 @@ class HeightPage(Page):
                 break
         return [own] if parts is None else [leaf for part in parts for leaf in self.columns(part, depth + 1)]
 
-    def rows(self) -> list[np.ndarray]:
+    def rows(self) -> list[list[int]]:
         every = np.arange(len(self.text))
         leaves = [leaf for section in self.sections(every) for leaf in self.columns(section)] if len(every) else []
-        return [row[np.argsort(self.left[row], kind="stable")] for leaf in leaves for row in self.bands(leaf)]
+        return [row for leaf in leaves for row in self.banded(leaf)[1]]
 
     def lines(self) -> list[str]:
         return [" ".join(self.text[i] for i in row) for row in self.rows()]
@@ -294,9 +330,9 @@ class HeightPage(Page):
     def score(self) -> tuple[float, float, int]:
         """Shares of lines with two words or fewer and no digit, and with a gap as wide as a gutter inside; and how many lines."""
         rows = self.rows()
-        texts = self.lines()
+        texts = [" ".join(self.text[i] for i in row) for row in rows]
         orphans = sum(len(t.split()) <= 2 and not any(c.isdigit() for c in t) for t in texts)
-        fused = sum(bool((self.left[row[1:]] - self.right[row[:-1]] >= self.t.min_gutter).any()) for row in rows)
+        fused = sum(any(self.lefts[b] - self.rights[a] >= self.t.min_gutter for a, b in zip(row[:-1], row[1:], strict=True)) for row in rows)
         return (orphans / len(rows), fused / len(rows), len(rows)) if rows else (0.0, 0.0, 0)
 
 
@@ -326,7 +362,7 @@ def each_page(tried: DataFrame, kind: type[Page], read: Callable[[Page], list[tu
             for row in batch.itertuples(index=False):
                 chosen = row.param if isinstance(row.param, dict) else row.param.asDict()
                 thresholds = Thresholds(**{k: v for k, v in chosen.items() if k in known and v is not None})
-                page = kind(pd.DataFrame({c: getattr(row, c) for c in TOKEN}), thresholds)
+                page = kind({c: getattr(row, c) for c in TOKEN}, thresholds)
                 out += [(row.page_id, chosen["param_id"], *values) for values in read(page)]
             yield pd.DataFrame(out, columns=names)
 
@@ -342,27 +378,28 @@ def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
     if params is not None:
         return each_page(with_params(boxes, params), Page, lambda page: list(enumerate(page.lines())), "line_no int, line string")
 
-    def read(pages: list[list[pd.DataFrame]]) -> pd.DataFrame:
+    def read(pages: list[tuple[str, list[dict[str, np.ndarray]]]]) -> pd.DataFrame:
         out = []
-        for parts in pages:
-            page = parts[0] if len(parts) == 1 else pd.concat(parts)
-            out += [(page["page_id"].iloc[0], i, line) for i, line in enumerate(Page(page, Thresholds()).lines())]
+        for page_id, parts in pages:
+            page = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in TOKEN}
+            out += [(page_id, i, line) for i, line in enumerate(Page(page, Thresholds()).lines())]
         return pd.DataFrame(out, columns=["page_id", "line_no", "line"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list[pd.DataFrame] = []  # parts of the page that the next batch may go on with
+        last: list[tuple[str, list[dict[str, np.ndarray]]]] = []  # the page that the next batch may go on with
         for batch in batches:
-            ids = batch["page_id"].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(batch)]
-            whole = []
+            ids, columns = batch["page_id"].to_numpy(), {c: batch[c].to_numpy() for c in TOKEN}
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(batch)]
+            pages = last
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.iloc[a:b]
-                if last and len(part) and part["page_id"].iloc[0] != last[0]["page_id"].iloc[0]:
-                    whole.append(last)
-                    last = []
-                last += [part] if len(part) else []
-            yield read(whole)
-        yield read([last] if last else [])
+                part = {c: x[a:b] for c, x in columns.items()}
+                if pages and a < b and pages[-1][0] == ids[a]:
+                    pages[-1][1].append(part)
+                elif a < b:
+                    pages.append((ids[a], [part]))
+            yield read(pages[:-1])
+            last = pages[-1:]
+        yield read(last)
 
     ordered = dealt(tokens_of(boxes), "page_id").sortWithinPartitions("page_id", "box_id")
     return ordered.mapInPandas(run, "page_id string, line_no int, line string")
