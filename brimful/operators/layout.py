@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -95,14 +95,17 @@ class Page:
         self.text = list(rows["text"])
         self.lefts, self.rights, self.ys, self.heights = (x.tolist() for x in (self.left, self.right, self.mid_y, self.height))
         self.from_left = [x if x == x else float("inf") for x in self.lefts]
-        self.known: tuple[np.ndarray, list[np.ndarray], list[list[int]]] | None = None
+        #: Rows of parts, which depend on no threshold, and what HeightPage made of sections under all thresholds but their heights.
+        self.known: dict[bytes, tuple[list[np.ndarray], list[list[int]]]] = {}
+        self.done: dict[tuple[bytes, Thresholds], list[list[int]]] = {}
 
     def by_left(self, row: np.ndarray) -> list[int]:
         return sorted(row.tolist(), key=self.from_left.__getitem__)
 
     def banded(self, own: np.ndarray) -> tuple[list[np.ndarray], list[list[int]]]:
         """Rows from top to bottom, and the same from left to right; one begins where a box is too far from the row's first."""
-        if self.known is None or self.known[0] is not own:  # a part is cut into rows once for all the rules that ask
+        key = own.tobytes()
+        if key not in self.known:  # a part is cut into rows once for all the rules that ask
             boxes = own[np.argsort(-self.mid_y[own], kind="stable")]
             ys = self.mid_y[boxes].tolist()
             tolerance, cuts, anchor = _median(self.height[own].tolist()) * 0.5, [], ys[0]
@@ -111,8 +114,8 @@ class Page:
                     cuts.append(i)
                     anchor = y
             bands = [boxes[a:b] for a, b in zip([0, *cuts], [*cuts, len(ys)], strict=True)]
-            self.known = own, bands, [self.by_left(b) for b in bands]
-        return self.known[1], self.known[2]
+            self.known[key] = bands, [self.by_left(b) for b in bands]
+        return self.known[key]
 
     def bands(self, own: np.ndarray) -> list[np.ndarray]:
         return self.banded(own)[0]
@@ -321,8 +324,13 @@ class HeightPage(Page):
 
     def rows(self) -> list[list[int]]:
         every = np.arange(len(self.text))
-        leaves = [leaf for section in self.sections(every) for leaf in self.columns(section)] if len(every) else []
-        return [row for leaf in leaves for row in self.banded(leaf)[1]]
+        return [row for section in self.sections(every) for row in self.rows_of(section)] if len(every) else []
+
+    def rows_of(self, section: np.ndarray) -> list[list[int]]:
+        key = section.tobytes(), replace(self.t, section_heights=0.0)
+        if key not in self.done:
+            self.done[key] = [row for leaf in self.columns(section) for row in self.banded(leaf)[1]]
+        return self.done[key]
 
     def lines(self) -> list[str]:
         return [" ".join(self.text[i] for i in row) for row in self.rows()]
@@ -340,29 +348,32 @@ TOKEN = ("text", "min_x", "max_x", "min_y", "max_y", "is_name", "is_serving", "i
 
 
 def with_params(boxes: DataFrame, params: DataFrame) -> DataFrame:
-    """(page_id, the columns of TOKEN as arrays, param): one row for each page and parameter row, dealt one by one.
+    """(page_id, the columns of TOKEN as arrays, param): one row for each page and parameter row, those of a page one after the other.
 
-    The parameters, a table of choices to try, come as one array to every page; each page meets each of them.
+    The parameters, a table of choices to try, come as one array to every page; each page meets each of them. Boxes are
+    shuffled once, whatever the number of parameters.
     """
     token = F.struct("box_id", *TOKEN)
-    pages = tokens_of(boxes).groupBy("page_id").agg(F.array_sort(F.collect_list(token)).alias("b"))
+    pages = dealt(tokens_of(boxes), "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(token)).alias("b"))
     choices = params.agg(F.collect_list(F.struct(*params.columns)).alias("p")).scalar()
-    tried = pages.withColumn("param", F.explode(choices))
     arrays = [F.col(f"b.{c}").alias(c) for c in TOKEN]
-    return dealt(tried.withColumn("param_id", F.col("param.param_id")), "page_id", "param_id").select("page_id", *arrays, "param")
+    return pages.select("page_id", *arrays).withColumn("param", F.explode(choices))
 
 
 def each_page(tried: DataFrame, kind: type[Page], read: Callable[[Page], list[tuple]], columns: str) -> DataFrame:
-    """(page_id, param_id, columns): what `read` makes of every page of with_params()."""
+    """(page_id, param_id, columns): what `read` makes of every page of with_params(); its parameters share the cuts that they agree on."""
     names, known = ["page_id", "param_id", *(c.split()[0] for c in columns.split(", "))], {f.name for f in fields(Thresholds)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, page_id = None, None
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 chosen = row.param if isinstance(row.param, dict) else row.param.asDict()
                 thresholds = Thresholds(**{k: v for k, v in chosen.items() if k in known and v is not None})
-                page = kind({c: getattr(row, c) for c in TOKEN}, thresholds)
+                if page is None or row.page_id != page_id:
+                    page, page_id = kind({c: getattr(row, c) for c in TOKEN}, thresholds), row.page_id
+                page.t = thresholds
                 out += [(row.page_id, chosen["param_id"], *values) for values in read(page)]
             yield pd.DataFrame(out, columns=names)
 
