@@ -11,6 +11,7 @@ from brimful.functions.lines import line_features
 from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
 from brimful.operators.catalog import require_abv
+from brimful.operators.dealing import dealt
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
@@ -20,9 +21,13 @@ from brimful.streaming import streams as Z
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of price-list lines, 40 lines to a page, at places that follow from line and word."""
+    """Words of price-list lines, 40 lines to a page, at places that follow from line and word.
+
+    Pages are dealt to tasks as lines, before their words become boxes; steps by page and by row of a page need no other shuffle.
+    """
     lines = adapt(spark, sf_dir, LINES)
-    words = lines.select(F.concat(F.col("list_id"), F.lit("-"), F.floor(F.col("line_no") / 40).cast("string")).alias("page_id"), (F.col("line_no") % 40).alias("row_no"), F.posexplode(F.split("line", " ")).alias("k", "text"))
+    pages = dealt(lines.select(F.concat(F.col("list_id"), F.lit("-"), F.floor(F.col("line_no") / 40).cast("string")).alias("page_id"), (F.col("line_no") % 40).alias("row_no"), "line"), "page_id", times=4)
+    words = pages.select("page_id", "row_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
     x0 = F.when(F.col("text").startswith("$"), 180).otherwise(10 + 12 * F.col("k"))
     y = 1000 - F.col("row_no") * 24
     return words.select("page_id", "row_no", (F.col("row_no") * 100 + F.col("k")).cast("long").alias("box_id"), "text", (x0 / 200).alias("min_x"), ((y - 10) / 1000).alias("min_y"), ((x0 + 8) / 200).alias("max_x"), (y / 1000).alias("max_y"))
