@@ -16,7 +16,7 @@ from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
 from brimful.plans.queries import BASE, EDITED, query
 from brimful.sources.readers import brand_dimension, export_boxes, log_blocks, read_bc, read_catalog, read_exports, read_facts, read_wholesale, recorded_lines, relevant_facts
-from brimful.sources.sinks import shared_path, write_catalog
+from brimful.sources.sinks import materialized, shared_path, write_catalog
 from brimful.streaming import streams as Z
 
 
@@ -298,7 +298,7 @@ def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def header_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV2, EV3: every header that two rules see alike, in another category, or only one of them."""
     lines = adapt(spark, sf_dir, LINES)
-    ours = line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section")
+    ours = materialized(line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
     other = ours.where("line_no % 5 <> 0").withColumn("section", F.when(F.col("line_no") % 3 == 0, "wineGlass").otherwise(F.col("section")))
     wrong = lines.where("line like '%Brand#%' and line_no % 11 = 3").withColumn("section", F.lit("shot"))
     return E.compare_headers(ours, other.unionByName(wrong))

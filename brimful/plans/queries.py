@@ -20,6 +20,7 @@ from brimful.operators import search as H
 from brimful.operators import sessions as D
 from brimful.operators import value as V
 from brimful.plans.adapters import CATALOG, EDITS, LINES, OFFERS, PACKAGES, QUERIES, RAW, SESSIONS, adapt, sql_of
+from brimful.sources.sinks import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY: dict[str, Query] = {}
@@ -596,6 +597,6 @@ def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV2, EV3: section headers against those of another rule."""
     lines = adapt(spark, sf_dir, LINES)
-    ours = L.line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section")
+    ours = materialized(L.line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
     other = ours.where("line_no % 5 <> 0").withColumn("section", F.when(F.col("line_no") % 3 == 0, "wineGlass").otherwise(F.col("section")))
     return E.compare_headers(ours, other).groupBy("list_id", "change").agg(F.count("*").alias("n"))
