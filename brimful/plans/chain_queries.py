@@ -77,17 +77,17 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_report(done.ranked, done.resolved)
 
 
-#: Lines in a file of the stream of lists; a batch takes one file, so their number grows with the input.
+#: Lines in a file of the stream of lists, whose number grows with the input.
 LINES_PER_FILE = 50_000
 
 
 @query(RANKED, i=ITEMS, b=SEED_BRANDS, s=SEED_STYLES)
 def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM2: lists ranked as their files arrive, one file a batch; each list is in one file."""
+    """SM2: lists ranked as their files arrive; each list is in one file. A batch takes a file for each task, since a batch costs its planning and its jobs however few lines it has."""
     folder = shared_path(spark, "lists")
     lines = adapt(spark, sf_dir, LINES)
     lines.repartition(lines.count() // LINES_PER_FILE + 1, "list_id").write.parquet(f"{folder}/lines")
-    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", spark.conf.get("spark.sql.shuffle.partitions")).parquet(f"{folder}/lines")
     keep = lambda ranked, epoch: Z.write_epoch(ranked, f"{folder}/ranked", epoch)
     Z.stream_lists(stream, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/ranked").drop("epoch")
