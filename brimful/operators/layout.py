@@ -490,7 +490,8 @@ def table_lines(rows: DataFrame) -> DataFrame:
 def promote_candidate(readings: DataFrame, most: int = 3) -> DataFrame:
     """(page_id, line_no, line): of the first `most` readings of a line the first with an anchored price, else the first."""
     plain = ~has_anchored_price(F.col("line"))
-    return readings.where(F.col("candidate_no") < most).groupBy("page_id", "line_no").agg(F.min_by("line", F.struct(plain.alias("plain"), "candidate_no")).alias("line"))
+    few = dealt(readings.where(F.col("candidate_no") < most), "page_id", "line_no", times=8)  # the aggregate sorts what a task holds
+    return few.groupBy("page_id", "line_no").agg(F.min_by("line", F.struct(plain.alias("plain"), "candidate_no")).alias("line"))
 
 
 def select_reading(scores: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY13: the reading of each line that has an anchored price."""
-    first = adapt(spark, sf_dir, LINES).withColumnRenamed("list_id", "page_id").withColumn("candidate_no", F.lit(0))
+    first = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "page_id").withColumn("candidate_no", F.lit(0))
     other = first.where("line_no % 4 = 0").withColumn("line", F.concat(F.lit("Special $"), F.col("line_no").cast("string"))).withColumn("candidate_no", F.lit(2))
     return Y.promote_candidate(first.unionByName(other))
 
@@ -270,7 +270,7 @@ def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT list_id AS photo_id, line_no, line, CAST(max(CASE WHEN line_no % 3 = 0 AND contains(line, '$') THEN 1 ELSE 0 END) OVER (PARTITION BY list_id) AS INT) AS candidate_no FROM l", l=LINES)
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY14: of two readings of each list, the better one."""
-    lines = adapt(spark, sf_dir, LINES).withColumnRenamed("list_id", "photo_id")
+    lines = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "photo_id")
     torn = lines.withColumn("line", F.when(F.col("line_no") % 3 == 0, F.substring_index("line", "$", 1)).otherwise(F.col("line")))
     return P.best_reading(torn.withColumn("candidate_no", F.lit(0)).unionByName(lines.withColumn("candidate_no", F.lit(1))))
 
@@ -283,7 +283,7 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV1: the first twelve places of each page where two readings differ, with both lines."""
-    ours = adapt(spark, sf_dir, LINES).withColumnRenamed("list_id", "page_id")
+    ours = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "page_id")
     changed = ours.where("line_no % 31 <> 0").withColumn("line", F.when(F.col("line_no") % 9 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
     recorded = changed.unionByName(ours.where("line_no % 50 = 1").withColumn("line_no", F.col("line_no") + 10000))
     return E.compare_lines(ours, recorded)[1]
@@ -312,7 +312,7 @@ def catalog_with_abv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edits_in_parts(spark: SparkSession, sf_dir: str, folder: str, then: Callable[[DataFrame], None], parts: int = 4) -> None:
     """Lays the edit log down in four parts, each of which `then` has to take in as a stream before the next one comes."""
-    edits = adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long"))
+    edits = materialized(adapt(spark, sf_dir, EDITS).withColumn("seq", F.col("seq").cast("long")), "edits")
     longest = edits.agg(F.max("seq")).first()[0] or 0
     for part in range(parts):
         edits.where((F.col("seq") > part * longest / parts) & (F.col("seq") <= (part + 1) * longest / parts)).write.mode("append").parquet(f"{folder}/events")
