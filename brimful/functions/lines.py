@@ -13,12 +13,28 @@ from brimful.functions.money import price_cents
 
 EDGES = r"^[.,|:;\-–—()/]+|[.,|:;\-–—()/]+$"
 TRAILING = r"[ \-–—|:,•·.]+$"
+#: Where a token ends, in a pattern over a whole line; `$` of a pattern over a token also stands before a last line end.
+ENDS = r"(?:\r\n|[\n\r\u0085\u2028\u2029])?(?![^ ])"
+TOKEN_EDGES = rf"(?=[.,|:;\-–—()/])(?:(?<![^ ])[.,|:;\-–—()/]+|[.,|:;\-–—()/]+(?={ENDS}))"
+#: Tokens that are no part of a name: strengths, sizes and dashes.
+MEASURES = rf"(?<![^ ])(?:[aA][bB][vV](?![^ ])|(?:[<>]*[\p{{N}}.]+%\.*|[\p{{N}}.]+[oO][zZ]\.*|[-–—]+){ENDS})"
 
 
 def is_in(word: Column, words: list[str]) -> Column:
     return word.isin(*words)
 
 
+def without_blank_ends(text: Column) -> Column:
+    """text without spaces, tabs and line ends around it; the pattern is only tried where spaces are not all there is."""
+    odd = lambda t: is_in(F.substring(t, 1, 1), list("\t\n\r")) | is_in(F.substring(t, -1, 1), list("\t\n\r\u0085\u2028\u2029"))
+    return let(F.trim(text), lambda t: F.when(odd(t), F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")).otherwise(t))
+
+
+def without_trailing(text: Column) -> Column:
+    """text without marks and spaces at its end."""
+    return let(text, lambda t: F.when(is_in(F.substring(t, -1, 1), list(" -–—|:,•·.\n\r\u0085\u2028\u2029")), F.regexp_replace(t, TRAILING, "")).otherwise(t))
+
+
 def has_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
@@ -30,7 +46,7 @@ def has_anchored_price(line: Column) -> Column:
 def detect_abv(line: Column) -> Column:
     """The first percentage over 0 and up to 100."""
     found = F.transform(F.regexp_extract_all(line, F.lit(r"([\p{N}.]*)%"), F.lit(1)), lambda d: d.try_cast("double"))
-    return F.get(F.filter(found, lambda v: (v > 0) & (v <= 100)), F.lit(0))
+    return F.when(F.contains(line, F.lit("%")), F.get(F.filter(found, lambda v: (v > 0) & (v <= 100)), F.lit(0)))
 
 
 def detect_size(line: Column) -> Column:
@@ -41,19 +57,24 @@ def detect_size(line: Column) -> Column:
 
 
 def without_separators(line: Column) -> Column:
-    return F.translate(line, "•·…|/_", "      ")
+    return F.regexp_replace(line, "[•·…|/_]", " ")
 
 
 def without_dot_runs(line: Column) -> Column:
     return F.regexp_replace(line, r"\.{2,}", " ")
 
 
+def spaced(line: Column) -> Column:
+    """The line with spaces for separators and runs of dots, in one pass."""
+    return F.regexp_replace(line, r"[•·…|/_]|\.{2,}", " ")
+
+
 def has_dot_leader(line: Column) -> Column:
     return F.contains(line, F.lit(".."))
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda t: t != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def strip_edges(token: Column) -> Column:
@@ -86,7 +107,8 @@ def dollar_value(token: Column) -> Column:
 
 def is_measure(word: Column) -> Column:
     """A measurement, price or separator; `word` is lower-case without edge marks."""
-    return is_in(word, ["|", "-", "/", "&", "$", "abv"]) | word.startswith("+") | pure_number(word).isNotNull() | word.rlike(r"(oz\.?|%|ml)$")
+    measure = is_in(word, ["|", "-", "/", "&", "$", "abv"]) | word.startswith("+") | pure_number(word).isNotNull() | word.rlike(r"(oz\.?|%|ml)$")
+    return word.rlike(r"^(?:[|\-/&$+\p{N}.]|[sS][\p{N}.]|abv)|(?:oz\.?|%|ml)$") & measure  # most words end at the first pattern
 
 
 def is_percent(token: Column) -> Column:
@@ -109,17 +131,22 @@ def clean_name(name: Column) -> Column:
         spaced = second.rlike("^[-–—]+$") | is_in(second, [".", ":"])
         return F.when(number & marked, F.slice(ts, F.lit(2), F.size(ts))).when(number & spaced, F.slice(ts, F.lit(3), F.size(ts))).otherwise(ts)
 
-    kept = F.filter(let(tokens(name), numbered), lambda t: ~((F.lower(t) == "abv") | is_percent(t) | is_size(t) | t.rlike("^[-–—]+$")))
-    return F.regexp_replace(F.array_join(kept, " "), TRAILING, "")
+    def kept(listed: Column) -> Column:
+        bare = F.when(listed.rlike(r"%|[-–—]|[oO][zZ]|[aA][bB][vV]"), F.regexp_replace(listed, MEASURES, "")).otherwise(listed)
+        return let(bare, lambda x: F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x)))
+
+    listed = lambda n: F.when(n.rlike(r"^ *#?[.,|:;\-–—()/]*\p{N}"), F.array_join(let(tokens(n), numbered), " ")).otherwise(n)
+    return without_trailing(let(let(name, listed), kept))
+
 
+def parse_item(line: Column, flat: Column | None = None) -> Column:
+    """struct(dollars, name): from the first $, else a bare run of four digits or more, else a last pure number.
 
-def parse_item(line: Column) -> Column:
-    """struct(dollars, name): from the first $, else a bare run of four digits or more, else a last pure number."""
+    `flat`, if known, is spaced(line), here and below.
+    """
 
-    def of_tokens(text: Column, ts: Column) -> Column:
-        has_dollar = F.contains(text, F.lit("$"))
+    def without_price(text: Column, ts: Column) -> Column:
         bare = F.array_position(F.transform(ts, lambda t: strip_edges(t).rlike(r"^\p{N}{4,}$")), F.lit(True)).cast("int")
-        number = let(F.regexp_extract(repaired_digits(F.regexp_replace(text, r"^[^$]*\$", "")), r"^[\p{N}.]+", 0), lambda after: F.when(after != "", normalized_dollars(after)))
         up_to = lambda n: F.array_join(F.slice(ts, F.lit(1), n), " ")
 
         def without_dollar(at: Column, last: Column) -> Column:
@@ -127,11 +154,15 @@ def parse_item(line: Column) -> Column:
             long = F.struct(normalized_dollars(strip_edges(F.get(ts, at - 1))).alias("dollars"), up_to(at - 1).alias("part"))
             return F.when(at > 0, long).otherwise(F.struct(last.alias("dollars"), F.when(last.isNotNull(), up_to(F.size(ts) - 1)).otherwise(text).alias("part")))
 
-        plain = let(bare, lambda at: let(pure_number(F.try_element_at(ts, F.lit(-1))), lambda last: without_dollar(at, last)))
-        return F.when(has_dollar, F.struct(number.alias("dollars"), F.substring_index(text, "$", 1).alias("part"))).otherwise(plain)
+        return let(bare, lambda at: let(pure_number(F.try_element_at(ts, F.lit(-1))), lambda last: without_dollar(at, last)))
 
-    named = lambda x: F.struct(x.dollars.alias("dollars"), clean_name(F.regexp_replace(F.regexp_replace(x.part, r"^[ \t\n\r]+|[ \t\n\r]+$", ""), TRAILING, "")).alias("name"))
-    return let(without_dot_runs(without_separators(line)), lambda text: let(tokens(text), lambda ts: let(of_tokens(text, ts), named)))
+    def priced(text: Column) -> Column:
+        number = let(repaired_digits(F.regexp_extract(text, r"^[^$]*\$([\p{N}.sSoO]*)", 1)), lambda after: F.when(after != "", normalized_dollars(after)))
+        with_dollar = F.struct(number.alias("dollars"), F.substring_index(text, "$", 1).alias("part"))
+        return F.when(F.contains(text, F.lit("$")), with_dollar).otherwise(let(tokens(text), lambda ts: without_price(text, ts)))
+
+    named = lambda x: F.struct(x.dollars.alias("dollars"), clean_name(without_trailing(without_blank_ends(x.part))).alias("name"))
+    return let(let(spaced(line) if flat is None else flat, priced), named)
 
 
 def outside_brackets(line: Column) -> Column:
@@ -151,26 +182,31 @@ def outside_brackets(line: Column) -> Column:
 
 def is_attribute_line(line: Column) -> Column:
     """States attributes of the drink above and names none of its own."""
-    outside = outside_brackets(line)
 
     def measured(t: Column) -> Column:
-        w = _plain(t)
-        return ~w.rlike(r"[\p{L}\p{N}]") | is_measure(w) | is_percent(w) | is_size(w) | (w == "abv") | w.rlike(r"^[\p{N}.]*[% ]*abv$")
+        return let(_plain(t), lambda w: ~w.rlike(r"[\p{L}\p{N}]") | is_measure(w) | is_percent(w) | is_size(w) | (w == "abv") | w.rlike(r"^[\p{N}.]*[% ]*abv$"))
+
+    def states(outside: Column) -> Column:
+        only = F.forall(tokens(without_separators(outside)), measured)
+        stated = detect_abv(line).isNotNull() | detect_size(line).isNotNull()
+        return only & F.when(outside != line, line.rlike(r"\p{L}")).otherwise(stated)
+
+    return ~F.contains(line, F.lit("$")) & let(outside_brackets(line), states)
+
 
-    only = F.forall(tokens(without_separators(outside)), measured)
-    stated = detect_abv(line).isNotNull() | detect_size(line).isNotNull()
-    return ~F.contains(line, F.lit("$")) & only & F.when(outside != line, line.rlike(r"\p{L}")).otherwise(stated)
+def _plain_tokens(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.regexp_replace(line, TOKEN_EDGES, "")), " "), "")
 
 
 def plain_words(line: Column) -> Column:
     """Lower-case words without edge marks, separators taken as spaces."""
-    return F.filter(F.transform(tokens(without_separators(line)), _plain), lambda w: w != "")
+    return _plain_tokens(without_separators(line))
 
 
 def is_pure_label(ws: Column) -> Column:
     """Of plain words: nothing but section words, vessels, prices and filler, with a section word."""
     section = lambda w: ~is_measure(w) & ~is_in(w, V.LABEL_FILLER) & is_in(w, V.SECTION_WORDS)
-    passes = lambda w: is_measure(w) | is_in(w, V.LABEL_FILLER) | is_in(w, V.SECTION_WORDS) | is_in(w, V.VESSEL_WORDS)
+    passes = lambda w: is_in(w, [*V.LABEL_FILLER, *V.SECTION_WORDS, *V.VESSEL_WORDS]) | is_measure(w)
     return F.forall(ws, passes) & F.exists(ws, section)
 
 
@@ -180,8 +216,8 @@ def label_category(ws: Column) -> Column:
 
 def _header_keyword(line: Column) -> Column:
     """struct(category, keyword) of the first keyword in order that the line contains."""
-    lowered = F.lower(line)
-    return F.coalesce(*(F.when(F.contains(lowered, F.lit(k)), F.struct(F.lit(category).alias("category"), F.lit(k).alias("keyword"))) for category, keywords in V.HEADER_KEYWORDS for k in keywords))
+    first = lambda lowered: F.coalesce(*(F.when(F.contains(lowered, F.lit(k)), F.struct(F.lit(category).alias("category"), F.lit(k).alias("keyword"))) for category, keywords in V.HEADER_KEYWORDS for k in keywords))
+    return let(F.lower(line), first)
 
 
 def is_plausible_header(line: Column, ws: Column, keyword: Column, most: int = 2) -> Column:
@@ -209,13 +245,14 @@ def is_wine_sub_label(ws: Column) -> Column:
     return (F.size(ws) > 0) & F.forall(ws, lambda w: is_in(w, V.WINE_SUB_LABELS))
 
 
-def is_food_header(line: Column) -> Column:
-    ws = F.filter(F.transform(tokens(line), _plain), lambda w: ~((w == "") | (w == "&") | is_in(w, V.LABEL_FILLER) | is_in(w, V.FOOD_SECTION_FILLER)))
-    return (F.size(ws) > 0) & F.forall(ws, lambda w: is_in(w, V.FOOD_SECTION_WORDS))
+def is_food_header(line: Column, words: Column | None = None) -> Column:
+    """`words`, if known, are the line's lower-case words without edge marks, here and below; separators are no spaces to them."""
+    ws, filler = _plain_tokens(line) if words is None else words, ["&", *V.LABEL_FILLER, *V.FOOD_SECTION_FILLER]
+    return F.forall(ws, lambda w: is_in(w, [*filler, *V.FOOD_SECTION_WORDS])) & F.exists(ws, lambda w: ~is_in(w, filler))
 
 
-def is_food(line: Column) -> Column:
-    return F.exists(tokens(line), lambda t: is_in(_plain(t), V.FOOD_WORDS))
+def is_food(line: Column, words: Column | None = None) -> Column:
+    return F.exists(_plain_tokens(line) if words is None else words, lambda w: is_in(w, V.FOOD_WORDS))
 
 
 def is_url(line: Column) -> Column:
@@ -227,13 +264,13 @@ def is_non_alcoholic(line: Column) -> Column:
 
 
 def is_description(line: Column) -> Column:
-    return line.rlike("[•·]") | line.rlike(",.*,") | (F.size(tokens(line)) > 6)
+    return F.contains(line, F.lit("•")) | F.contains(line, F.lit("·")) | (F.contains(line, F.lit(",")) & line.rlike(",.*,")) | (F.size(tokens(line)) > 6)
 
 
 def title_words(name: Column) -> Column:
     """The words of a name that can make it a title."""
-    real = lambda w: (F.length(w) >= 2) & w.rlike(r"\p{L}") & ~is_measure(w) & ~is_in(w, V.LABEL_FILLER)
-    return F.filter(F.transform(tokens(name), _plain), real)
+    real = lambda w: (F.length(w) >= 2) & ~is_in(w, V.LABEL_FILLER) & w.rlike(r"\p{L}") & ~is_measure(w)
+    return F.filter(_plain_tokens(name), real)
 
 
 def is_rankable(name: Column) -> Column:
@@ -246,7 +283,7 @@ def is_rankable(name: Column) -> Column:
     return let(title_words(name), titled)
 
 
-def marks(line: Column) -> Column:
+def marks(line: Column, flat: Column | None = None) -> Column:
     """array<struct<token, price, size, label>>: what each token is to a line of several prices."""
 
     def sized(t: Column, lowered: Column) -> Column:
@@ -265,7 +302,14 @@ def marks(line: Column) -> Column:
         other = let(let(_plain(t), lambda lowered: sized(t, lowered)), lambda x: F.struct(t.alias("token"), F.lit(None).cast("double").alias("price"), x["size"].alias("size"), x.label.alias("label")))
         return let(dollar_value(t), lambda price: F.when(F.coalesce(price > 0, F.lit(False)), known(price)).otherwise(other))
 
-    return F.transform(tokens(without_dot_runs(without_separators(line))), mark)
+    return F.transform(tokens(spaced(line) if flat is None else flat), mark)
+
+
+def may_have_marks(flat: Column) -> Column:
+    """False only for lines that are neither a grid nor hold two prices: the first token is none of a grid, and no two tokens begin as prices."""
+    sizes = "|".join(V.SIZE_WORDS)
+    grid = rf"""^ *(?:[$s][\p{{N}}.so]|[.,|:;\-–—()/"*°'•·\p{{N}}+&$]|abv|{sizes}|[^ ]*(?:oz|ml|%))"""
+    return F.lower(flat).rlike(grid + r"|(?s)[$s](?<![^ ].)[\p{N}.so].* [$s][\p{N}.so]")
 
 
 def grid_price(marked: Column) -> Column:
@@ -278,18 +322,20 @@ def grid_price(marked: Column) -> Column:
 
 def line_features(lines: DataFrame) -> DataFrame:
     """lines with one column for each thing the list reader asks of a line."""
-    trimmed = F.regexp_replace(F.coalesce("line", F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    out = lines.withColumn("text", trimmed).withColumn("item", parse_item(F.col("text"))).withColumn("marks", marks(F.col("text"))).withColumn("ws", plain_words(F.col("text")))
-    text = F.col("text")
+    text, flat = F.col("text"), F.col("flat")
+    out = lines.withColumn("text", without_blank_ends(F.coalesce("line", F.lit("")))).withColumn("flat", spaced(text))
+    ws = F.when(has_dot_leader(text), plain_words(text)).otherwise(_plain_tokens(flat))
+    out = out.withColumns({"item": parse_item(text, flat), "marks": F.when(may_have_marks(flat), marks(text, flat)), "ws": ws})
+    out = out.withColumn("words", F.when(flat == text, F.col("ws")).otherwise(_plain_tokens(text)))
     return out.select(
         *lines.columns,
         "text",
         (text == "").alias("is_blank"),
-        is_food_header(text).alias("is_food_header"),
+        is_food_header(text, F.col("words")).alias("is_food_header"),
         is_attribute_line(text).alias("is_attribute"),
         section_category(text, F.col("ws"), F.col("item.dollars")).alias("section"),
         is_wine_sub_label(F.col("ws")).alias("is_sub_label"),
-        is_food(text).alias("is_food"),
+        is_food(text, F.col("words")).alias("is_food"),
         is_url(text).alias("is_url"),
         is_non_alcoholic(F.coalesce("line", F.lit(""))).alias("is_non_alcoholic"),
         price_cents(grid_price(F.col("marks"))).alias("grid_cents"),
