@@ -320,6 +320,21 @@ def grid_price(marked: Column) -> Column:
     return F.when(grid, F.array_min(prices))
 
 
+#: A line that ends in its only price, a token of dollars and cents above zero.
+PLAIN_PRICE = r"^([^$]* )\$((?=[0.]*[1-9])[0-9]{1,6}\.[0-9]{2})\z"
+
+
+def line_kind(text: Column) -> Column:
+    """A line with all the features of `text` but its price, text and non-alcoholic marks: the same line at one fixed price, if it ends in its only price and is no grid."""
+    plain = text.rlike(PLAIN_PRICE) & ~may_have_marks(spaced(text))
+    return F.when(plain, F.concat(F.substring_index(text, "$", 1), F.lit("$1.11"))).otherwise(text)
+
+
+def priced_kind(text: Column, kind: Column, cents: Column) -> Column:
+    """The price of `text` where `cents` is that of its kind."""
+    return F.when(kind == text, cents).otherwise(price_cents(F.substring_index(text, "$", -1).try_cast("double")))
+
+
 def line_features(lines: DataFrame) -> DataFrame:
     """lines with one column for each thing the list reader asks of a line."""
     text, flat = F.col("text"), F.col("flat")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brimful.functions.lines import TRAILING, is_in, line_features, title_words
+from brimful.functions.lines import TRAILING, is_in, is_non_alcoholic, line_features, line_kind, priced_kind, title_words, without_blank_ends
 from brimful.functions.vocabulary import PROMO_LEADS, RECIPE_WORDS, SECTION_WORDS, SIZE_WORDS, VESSEL_WORDS
 from brimful.operators.dealing import dealt
+from brimful.sources.sinks import materialized
 
 #: Names and ounces of two prices without a size: the lower, then the higher.
 GLASS, BOTTLE = (5.0, "glass"), (25.36, "bottle")
@@ -68,6 +69,26 @@ def with_sizes(features: DataFrame) -> DataFrame:
     return rows.drop("__priced", "__base", "__ends", "__gaps", "__taken", "__words", "__entries")
 
 
+#: Kinds of lines up to which their features are sent to every task; where there are more, each line's are computed where it stands.
+MOST_KINDS = 100_000
+
+
+def features(lines: DataFrame, deal: bool = False) -> DataFrame:
+    """line_features() with `sizes`, computed once for all lines that differ in their price alone, however many lists hold them.
+
+    With `deal`, lists are dealt to tasks before their lines meet the features. Reads the lines twice.
+    """
+    text = without_blank_ends(F.coalesce("line", F.lit("")))
+    kinds = materialized(lines.select(line_kind(text).alias("line")).distinct(), "kinds")
+    own = dealt(lines, "list_id") if deal else lines
+    if kinds.count() > MOST_KINDS:
+        return with_sizes(line_features(own))
+    known = with_sizes(line_features(kinds))
+    rows = own.withColumn("text", text).withColumn("kind", line_kind(F.col("text"))).join(F.broadcast(known.withColumnRenamed("line", "kind").drop("text")), "kind")
+    rows = rows.withColumn("price_cents", priced_kind(F.col("text"), F.col("kind"), F.col("price_cents"))).withColumn("is_non_alcoholic", is_non_alcoholic(F.coalesce("line", F.lit(""))))
+    return rows.select(*lines.columns, "text", *(c for c in known.columns if c not in ("line", "text")))
+
+
 def gated(lines: DataFrame) -> DataFrame:
     """Features of each line with `at` (its place), `gate`, the running `category` and `header_cents`, its `items` and how many came before.
 
@@ -85,8 +106,7 @@ def gated(lines: DataFrame) -> DataFrame:
     c = F.col
     in_list = Window.partitionBy("list_id").orderBy("line_no", "line")
     before, up_to = in_list.rowsBetween(Window.unboundedPreceding, -1), in_list.rowsBetween(Window.unboundedPreceding, 0)
-    dealt_lines = dealt(lines.select("list_id", "line_no", "line"), "list_id")
-    f = with_sizes(line_features(dealt_lines)).withColumn("at", F.row_number().over(in_list))
+    f = features(lines.select("list_id", "line_no", "line"), deal=True).withColumn("at", F.row_number().over(in_list))
     filled, food, section = ~c("is_blank"), ~c("is_blank") & c("is_food_header"), c("section").isNotNull()
     f = f.withColumn("in_food", flag(last(food, filled & (food | section), before)))
     no_drink = c("in_food") | c("is_food") | c("is_url")
@@ -155,7 +175,7 @@ def section_state(lines: DataFrame) -> DataFrame:
 
     The part of parse_lists() that needs no items: attribute lines and price grids play no role.
     """
-    f = line_features(dealt(lines, "list_id"))
+    f = features(lines, deal=True)
     upto = Window.partitionBy("list_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("list_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     is_header = F.col("section").isNotNull() & ~F.col("is_food_header")

@@ -16,7 +16,7 @@ from brimful.plans import pipeline as P
 from brimful.plans.adapters import LINES, adapt
 from brimful.plans.name_queries import GLYPH_BEST
 from brimful.plans.queries import BRANDS as PART_BRANDS
-from brimful.plans.queries import DEFAULT_OZ, FIRST_BRAND, FIRST_STYLE, PROFILE, REFERENCE, SQL, VALUE, query
+from brimful.plans.queries import DEFAULT_OZ, FIRST_BRAND, FIRST_STYLE, PROFILE, REFERENCE, SQL, VALUE, query, written_lines
 from brimful.plans.queries import STYLES as PART_STYLES
 from brimful.sources.sinks import shared_path
 from brimful.streaming import streams as Z
@@ -54,7 +54,7 @@ RANKED = f"{CHAIN} SELECT * FROM ranked"
 @query(RANKED, i=ITEMS, b=SEED_BRANDS, s=SEED_STYLES)
 def rank_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG8: lists from their lines to the ranking."""
-    return P.rank_lists(adapt(spark, sf_dir, LINES), brand_table(spark), style_table(spark)).ranked
+    return P.rank_lists(written_lines(spark, sf_dir), brand_table(spark), style_table(spark)).ranked
 
 
 NUMBER = lambda x: f"regexp_replace(printf('%.4f', round({x}, 4)), '\\.?0+$', '')"
@@ -73,7 +73,7 @@ NUMBER = lambda x: f"regexp_replace(printf('%.4f', round({x}, 4)), '\\.?0+$', ''
 )
 def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5, SNK6, AG9: the report of each list, line by line."""
-    done = P.rank_lists(adapt(spark, sf_dir, LINES), brand_table(spark), style_table(spark))
+    done = P.rank_lists(written_lines(spark, sf_dir), brand_table(spark), style_table(spark))
     return session_report(done.ranked, done.resolved)
 
 

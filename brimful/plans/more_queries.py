@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brimful.functions.lines import line_features
 from brimful.operators import evaluate as E
 from brimful.operators import layout as Y
 from brimful.operators.catalog import require_abv
 from brimful.operators.dealing import dealt
+from brimful.operators.lists import features
 from brimful.plans import pipeline as P
 from brimful.plans.adapters import CATALOG, EDITS, LINES, adapt
-from brimful.plans.queries import BASE, EDITED, query
+from brimful.plans.queries import BASE, EDITED, query, written_lines
 from brimful.sources.readers import brand_dimension, export_boxes, log_blocks, read_bc, read_catalog, read_exports, read_facts, read_wholesale, recorded_lines, relevant_facts
 from brimful.sources.sinks import materialized, shared_path, write_catalog
 from brimful.streaming import streams as Z
@@ -262,7 +262,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY13: the reading of each line that has an anchored price."""
-    first = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "page_id").withColumn("candidate_no", F.lit(0))
+    first = written_lines(spark, sf_dir).withColumnRenamed("list_id", "page_id").withColumn("candidate_no", F.lit(0))
     other = first.where("line_no % 4 = 0").withColumn("line", F.concat(F.lit("Special $"), F.col("line_no").cast("string"))).withColumn("candidate_no", F.lit(2))
     return Y.promote_candidate(first.unionByName(other))
 
@@ -270,7 +270,7 @@ def promoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT list_id AS photo_id, line_no, line, CAST(max(CASE WHEN line_no % 3 = 0 AND contains(line, '$') THEN 1 ELSE 0 END) OVER (PARTITION BY list_id) AS INT) AS candidate_no FROM l", l=LINES)
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY14: of two readings of each list, the better one."""
-    lines = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "photo_id")
+    lines = written_lines(spark, sf_dir).withColumnRenamed("list_id", "photo_id")
     torn = lines.withColumn("line", F.when(F.col("line_no") % 3 == 0, F.substring_index("line", "$", 1)).otherwise(F.col("line")))
     return P.best_reading(torn.withColumn("candidate_no", F.lit(0)).unionByName(lines.withColumn("candidate_no", F.lit(1))))
 
@@ -283,7 +283,7 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV1: the first twelve places of each page where two readings differ, with both lines."""
-    ours = materialized(adapt(spark, sf_dir, LINES), "lines").withColumnRenamed("list_id", "page_id")
+    ours = written_lines(spark, sf_dir).withColumnRenamed("list_id", "page_id")
     changed = ours.where("line_no % 31 <> 0").withColumn("line", F.when(F.col("line_no") % 9 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
     recorded = changed.unionByName(ours.where("line_no % 50 = 1").withColumn("line_no", F.col("line_no") + 10000))
     return E.compare_lines(ours, recorded)[1]
@@ -297,8 +297,8 @@ def compare_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def header_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV2, EV3: every header that two rules see alike, in another category, or only one of them."""
-    lines = adapt(spark, sf_dir, LINES)
-    ours = materialized(line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
+    lines = written_lines(spark, sf_dir)
+    ours = materialized(features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
     other = ours.where("line_no % 5 <> 0").withColumn("section", F.when(F.col("line_no") % 3 == 0, "wineGlass").otherwise(F.col("section")))
     wrong = lines.where("line like '%Brand#%' and line_no % 11 = 3").withColumn("section", F.lit("shot"))
     return E.compare_headers(ours, other.unionByName(wrong))

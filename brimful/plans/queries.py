@@ -42,6 +42,11 @@ def query(sql: str | None = None, **tables: str) -> Callable[[Query], Query]:
     return register
 
 
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of price lists, written once, since reading lists takes them twice."""
+    return materialized(adapt(spark, sf_dir, LINES), "lines")
+
+
 VALUE = "CASE WHEN price_cents > 0 THEN greatest(0e0, size_oz) * (greatest(0e0, abv) / 100) / 0.6e0 / (price_cents / 100e0) ELSE 0e0 END"
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY value DESC, name, item_no) AS rank FROM (SELECT *, {VALUE} AS value FROM o WHERE category <> 'nonAlcoholic' AND price_cents > 0) v"
 
@@ -494,7 +499,7 @@ GATES = f"""{STATES},
 @query(f"{STATES} SELECT list_id, line_no, category, in_food, header_cents FROM s", l=LINES)
 def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2, ST3, LN11, LN12: the running section, its price and food regions, by windows."""
-    return R.section_state(adapt(spark, sf_dir, LINES)).drop("line")
+    return R.section_state(written_lines(spark, sf_dir)).drop("line")
 
 
 @query(
@@ -507,13 +512,13 @@ def section_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1, LN7, LN9, LN10, LN14, LN16: items of price lists read in order."""
-    return R.parse_lists(adapt(spark, sf_dir, LINES))
+    return R.parse_lists(written_lines(spark, sf_dir))
 
 
 @query(f"{GATES} SELECT list_id, line_no, gate FROM t", l=LINES)
 def list_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: what the reader took every line for."""
-    return R.trace_lists(adapt(spark, sf_dir, LINES))
+    return R.trace_lists(written_lines(spark, sf_dir))
 
 
 @query("SELECT list_id, count(*) AS lines, CAST(count(*) FILTER (contains(line, '$') AND regexp_matches(line, '[A-Za-z]')) AS BIGINT) AS priced_rows, CAST(count(*) FILTER (contains(line, '$') AND contains(line, 'ABV')) AS BIGINT) AS complete_rows FROM l GROUP BY list_id", l=LINES)
@@ -596,7 +601,7 @@ def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compare_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV2, EV3: section headers against those of another rule."""
-    lines = adapt(spark, sf_dir, LINES)
-    ours = materialized(L.line_features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
+    lines = written_lines(spark, sf_dir)
+    ours = materialized(R.features(lines).where("section is not null").select("list_id", "line_no", "line", "section"), "headers")
     other = ours.where("line_no % 5 <> 0").withColumn("section", F.when(F.col("line_no") % 3 == 0, "wineGlass").otherwise(F.col("section")))
     return E.compare_headers(ours, other).groupBy("list_id", "change").agg(F.count("*").alias("n"))
