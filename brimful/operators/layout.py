@@ -380,9 +380,10 @@ def each_page(tried: DataFrame, kind: type[Page], read: Callable[[Page], list[tu
     return tried.mapInPandas(run, f"page_id string, param_id string, {columns}")
 
 
-def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
+def assemble(boxes: DataFrame, params: DataFrame | None = None, placed: bool = False) -> DataFrame:
     """(page_id, line_no, line) of boxes (page_id, box_id, text, min_x, min_y, max_x, max_y), y upwards.
 
+    `placed` tells that the boxes of a page already stand together in one partition, by box_id; they are not shuffled then.
     `params`, rows with param_id and columns named like Thresholds (null: as usual), has every page assembled under each
     of them in turn; param_id comes out too.
     """
@@ -412,8 +413,9 @@ def assemble(boxes: DataFrame, params: DataFrame | None = None) -> DataFrame:
             last = pages[-1:]
         yield read(last)
 
-    ordered = dealt(tokens_of(boxes), "page_id").sortWithinPartitions("page_id", "box_id")
-    return ordered.mapInPandas(run, "page_id string, line_no int, line string")
+    tokens = tokens_of(boxes)
+    ordered = tokens if placed else dealt(tokens, "page_id").sortWithinPartitions("page_id", "box_id")
+    return ordered.select("page_id", *TOKEN).mapInPandas(run, "page_id string, line_no int, line string")
 
 
 #: The variants of the bench: rules against gutters that rows run across and against columns of prices, and chaining of rows.

@@ -20,13 +20,15 @@ from brimful.sources.sinks import materialized, shared_path, write_catalog
 from brimful.streaming import streams as Z
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boxes(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """Words of price-list lines, 40 lines to a page, at places that follow from line and word.
 
     Pages are dealt to tasks as lines, before their words become boxes; steps by page and by row of a page need no other shuffle.
+    With `placed` the lines are sorted too, so that the boxes of a page come one after the other, by box_id.
     """
     lines = adapt(spark, sf_dir, LINES)
     pages = dealt(lines.select(F.concat(F.col("list_id"), F.lit("-"), F.floor(F.col("line_no") / 40).cast("string")).alias("page_id"), (F.col("line_no") % 40).alias("row_no"), "line"), "page_id", times=4)
+    pages = pages.sortWithinPartitions("page_id", "row_no") if placed else pages
     words = pages.select("page_id", "row_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
     x0 = F.when(F.col("text").startswith("$"), 180).otherwise(10 + 12 * F.col("k"))
     y = 1000 - F.col("row_no") * 24
@@ -77,7 +79,7 @@ def page_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY row_no) - 1 AS INT) AS line_no, string_agg(text, ' ' ORDER BY min_x, box_id) AS line FROM b WHERE text <> '' GROUP BY page_id, row_no", b=DUCK_BOXES)
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LY1 to LY3, LY5, LY9, LY10: boxes assembled to lines."""
-    return Y.assemble(_boxes(spark, sf_dir))
+    return Y.assemble(_boxes(spark, sf_dir, placed=True), placed=True)
 
 
 @query(
