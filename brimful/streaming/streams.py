@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -18,12 +18,14 @@ ITEM = "item_id long, name string, category string, price_cents int, abv double,
 OUTPUT = f"session_id long, seq long, late long, {ITEM}"
 SEEN = "last long, late long"
 FIELDS = tuple(c.split()[0] for c in ITEM.split(", "))
+SHOWN = Row("session_id", "seq", "late", *FIELDS)
+Event = namedtuple("Event", "seq item_id kind name cents value count category abv size_oz")
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _known(x: Any) -> Any:
-    """The value, or None for what pandas shows in place of null."""
-    return None if pd.isna(x) else x
+    """The value, or None for a number that is none."""
+    return None if x != x else x
 
 
 def apply_one(items: dict[int, dict[str, Any]], event: Any) -> None:
@@ -49,7 +51,10 @@ def apply_one(items: dict[int, dict[str, Any]], event: Any) -> None:
 
 
 class Session(StatefulProcessor):
-    """One session: a state entry for each live item, the last seq and the late events; it ends after `idle_ms` without events."""
+    """One session: a state entry for each live item, the last seq and the late events; it ends after `idle_ms` without events.
+
+    A call of the store costs more than many items: they are read in one call, and those that changed are written.
+    """
 
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
@@ -59,32 +64,31 @@ class Session(StatefulProcessor):
         self.items = handle.getMapState("items", "item_id long", ITEM.removeprefix("item_id long, "))
         self.seen = handle.getValueState("seen", SEEN)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, late = self.seen.get() if self.seen.exists() else (-1, 0)
-        events = pd.concat(list(rows)).sort_values("seq")
-        late += int((events["seq"] <= last).sum())
-        events = events[events["seq"] > last]
-        stored = {i: self.items.getValue((i,)) for i in events["item_id"].unique().tolist()}
-        before = {i: dict(zip(FIELDS[1:], values, strict=True)) for i, values in stored.items() if values is not None}
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        seen = self.seen.get()
+        last, late = seen or (-1, 0)
+        events = sorted((Event(*(row[c] for c in Event._fields)) for row in rows), key=lambda e: e.seq)
+        late += sum(e.seq <= last for e in events)
+        events = [e for e in events if e.seq > last]
+        before = {i: dict(zip(FIELDS[1:], values, strict=True)) for (i,), values in self.items.iterator()} if seen else {}
         after = {i: dict(values) for i, values in before.items()}
-        for event in events.itertuples(index=False):
+        for event in events:
             apply_one(after, event)
-        for i in stored:
+        for i in dict.fromkeys(e.item_id for e in events):
             if i in after and after[i] != before.get(i):
                 self.items.updateValue((i,), tuple(after[i][c] for c in FIELDS[1:]))
             elif i in before and i not in after:
                 self.items.removeKey((i,))
-        last = max([last, *events["seq"].tolist()])
-        self.seen.update((int(last), late))
+        last = max([last, *(e.seq for e in events)])
+        self.seen.update((int(last), int(late)))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        live = [(key[0], last, late, i, *values) for (i,), values in self.items.iterator()]
-        out = pd.DataFrame(live or [(key[0], last, late, *[None] * len(FIELDS))], columns=["session_id", "seq", "late", *FIELDS])
-        yield out.astype({"item_id": "Int64", "price_cents": "Int32", "count": "Int32", "abv": "float64", "size_oz": "float64", "abv_estimated": "boolean", "size_estimated": "boolean"})
+        live = [(i, *(item[c] for c in FIELDS[1:])) for i, item in after.items()] or [(None,) * len(FIELDS)]
+        return (SHOWN(key[0], int(last), int(late), *values) for values in live)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.items.clear()
         self.seen.clear()
         return iter([])
@@ -103,7 +107,7 @@ def stream_sessions(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     needs a query that goes on, since Spark runs batches for timers even without data. Start it with started().
     """
     mode = "ProcessingTime" if idle_ms else "None"
-    return valid_edits(events).groupBy("session_id").transformWithStateInPandas(Session(idle_ms), OUTPUT, "Update", mode)
+    return valid_edits(events).groupBy("session_id").transformWithState(Session(idle_ms), OUTPUT, "Update", mode)
 
 
 def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
