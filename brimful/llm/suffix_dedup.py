@@ -16,8 +16,8 @@ bucket, and only there they are sorted:
    hash of their bytes; equal ones of a chunk are first collapsed to those of its smallest doc_id.
 4. The ranges return to their documents and are cut out.
 
-Documents are handled in chunks dealt by the hash of doc_id; the number of chunks and buckets grows with
-the input, so that their usual size does not. In step 2 all runs of one gram meet in one bucket, 20 bytes
+Documents are handled in chunks dealt by the hash of doc_id; the number of buckets grows with the input, so that
+their usual size does not, and so does that of chunks up to MOST_CHUNKS: messages between them grow no faster than the input. In step 2 all runs of one gram meet in one bucket, 20 bytes
 each; in step 3 a window that every chunk has comes once from each chunk. Hashes of runs (64 bits within one gram's bucket)
 stand for their bytes in step 2.
 
@@ -41,6 +41,8 @@ from brimful.llm.suffix_sort import sort_windows
 
 WIDTH, GRAM = 50, 24
 CHUNK_TEXT_BYTES, BUCKET_TEXT_BYTES = 512 << 10, 4 << 20
+#: Every chunk has a message for nearly every bucket. So beyond so many chunks they grow, up to a size that a task holds with ease.
+MOST_CHUNKS, MOST_CHUNK_BYTES = 2048, 32 << 20
 SEGMENT = 1 << 19
 #: Different runs of one gram above which their windows are dealt one by one.
 HOT_RUNS = 1024
@@ -284,6 +286,12 @@ def whole_characters(gone: np.ndarray, data: np.ndarray, offsets: np.ndarray) ->
     return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(data))))
 
 
+def dealing(size: int) -> tuple[int, int]:
+    """(chunks, buckets) of so many bytes of text."""
+    chunk = min(MOST_CHUNK_BYTES, max(CHUNK_TEXT_BYTES, math.ceil(size / MOST_CHUNKS)))
+    return max(8, math.ceil(size / chunk)), max(8, math.ceil(size / BUCKET_TEXT_BYTES))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS, characters: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of docs.
 
@@ -291,7 +299,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     """
     rows = texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, n_buckets = max(8, math.ceil(size / CHUNK_TEXT_BYTES)), max(8, math.ceil(size / BUCKET_TEXT_BYTES))
+    n_chunks, n_buckets = dealing(size)
 
     def cut(key: tuple, chunk: pa.Table, cuts: pa.Table) -> pa.Table:
         if not len(chunk):
