@@ -40,9 +40,9 @@ from brimful.llm.common import mix64, texts, utf8
 from brimful.llm.suffix_sort import sort_windows
 
 WIDTH, GRAM = 50, 24
-CHUNK_TEXT_BYTES, BUCKET_TEXT_BYTES = 512 << 10, 4 << 20
+CHUNK_TEXT_BYTES, BUCKET_TEXT_BYTES = 2 << 20, 4 << 20
 #: Every chunk has a message for nearly every bucket. So beyond so many chunks they grow, up to a size that a task holds with ease.
-MOST_CHUNKS, MOST_CHUNK_BYTES = 2048, 32 << 20
+MOST_CHUNKS, MOST_CHUNK_BYTES = 1024, 32 << 20
 SEGMENT = 1 << 19
 #: Different runs of one gram above which their windows are dealt one by one.
 HOT_RUNS = 1024
