@@ -13,7 +13,7 @@ from brimful.operators import knowledge as K
 from brimful.operators.knowledge import brand_table, style_table
 from brimful.operators.quality import session_report
 from brimful.plans import pipeline as P
-from brimful.plans.adapters import LINES, adapt
+from brimful.plans.adapters import adapt
 from brimful.plans.name_queries import GLYPH_BEST
 from brimful.plans.queries import BRANDS as PART_BRANDS
 from brimful.plans.queries import DEFAULT_OZ, FIRST_BRAND, FIRST_STYLE, PROFILE, REFERENCE, SQL, VALUE, query, written_lines
@@ -79,15 +79,17 @@ def session_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Lines in a file of the stream of lists, whose number grows with the input.
 LINES_PER_FILE = 50_000
+#: Files that a batch takes for each task: planning and jobs of a batch cost as much as some hundred thousand lines.
+FILES_PER_TASK = 16
 
 
 @query(RANKED, i=ITEMS, b=SEED_BRANDS, s=SEED_STYLES)
 def stream_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM2: lists ranked as their files arrive; each list is in one file. A batch takes a file for each task, since a batch costs its planning and its jobs however few lines it has."""
+    """SM2: lists ranked as their files arrive; each list is in one file. A batch takes several files for each task, since a batch costs its planning and its jobs however few lines it has."""
     folder = shared_path(spark, "lists")
-    lines = adapt(spark, sf_dir, LINES)
+    lines = written_lines(spark, sf_dir)
     lines.repartition(lines.count() // LINES_PER_FILE + 1, "list_id").write.parquet(f"{folder}/lines")
-    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", spark.conf.get("spark.sql.shuffle.partitions")).parquet(f"{folder}/lines")
+    stream = spark.readStream.schema("list_id string, line_no int, line string").option("maxFilesPerTrigger", FILES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))).parquet(f"{folder}/lines")
     keep = lambda ranked, epoch: Z.write_epoch(ranked, f"{folder}/ranked", epoch)
     Z.stream_lists(stream, brand_table(spark), style_table(spark), keep, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/ranked").drop("epoch")
